@@ -13,6 +13,7 @@ from .common import table
 from .line_dedup import drop_boilerplate_lines
 from .pii import KINDS, find_personal_data
 from .sharding import assign_slots, rendezvous_shard
+from .simhash import near_duplicates
 
 SHARDS = 24
 
@@ -62,15 +63,20 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_line_dedup, op3_rendezvous_shard, op5_personal_data)}
+    return {f.__name__: f for f in (op1_chat_format, op2_line_dedup, op3_rendezvous_shard, op5_personal_data, op9_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": """
 WITH l AS (
-  SELECT source, unnest(list_distinct(list_filter(list_transform(string_split(text, chr(10)), x -> trim(x, ' ')), x -> x <> ''))) AS line
+  SELECT source, unnest(list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''))) AS line
   FROM documents
 ), c AS (
   SELECT source, line, count(*) AS n FROM l WHERE source IS NOT NULL GROUP BY source, line HAVING count(*) >= 5
@@ -80,8 +86,8 @@ WITH l AS (
 )
 SELECT doc_id,
   CASE WHEN bad IS NULL OR text IS NULL THEN text
-       ELSE array_to_string(list_filter(string_split(text, chr(10)), x -> NOT (trim(x, ' ') <> '' AND list_contains(bad, trim(x, ' ')))), chr(10)) END AS text,
+       ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT (trim(x, ' ') <> '' AND list_contains(bad, trim(x, ' ')))), chr(10)) END AS text,
   CASE WHEN bad IS NULL OR text IS NULL THEN 0
-       ELSE len(string_split(text, chr(10))) - len(list_filter(string_split(text, chr(10)), x -> NOT (trim(x, ' ') <> '' AND list_contains(bad, trim(x, ' '))))) END::BIGINT AS n_dropped
+       ELSE len(string_split(text, chr(10))) - len(list_filter(string_split(text, chr(10)), lambda x: NOT (trim(x, ' ') <> '' AND list_contains(bad, trim(x, ' '))))) END::BIGINT AS n_dropped
 FROM documents LEFT JOIN b USING (source)""",
     }
