@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import format_conversations
 from .chat_digest import read_back
 from .common import table
+from .langid import fit, held_out, identify
 from .line_dedup import drop_boilerplate_lines
 from .pii import KINDS, find_personal_data
 from .sharding import assign_slots, rendezvous_shard
@@ -47,6 +48,12 @@ def op3_rendezvous_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id")))
+    model = fit(docs.filter(~F.col("held_out")))
+    return identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -69,7 +76,7 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_line_dedup, op3_rendezvous_shard, op5_personal_data, op9_simhash_dedup)}
+    return {f.__name__: f for f in (op1_chat_format, op2_line_dedup, op3_rendezvous_shard, op4_language_id, op5_personal_data, op9_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
