@@ -122,7 +122,7 @@ class LabelModel:
     posterior: dict[str, float]
 
 
-def estimate(patterns: dict[str, int], rounds: int = 200, first: float = 0.9, prior: float = 0.5) -> LabelModel:
+def estimate(patterns: dict[str, int], rounds: int = 200, first: float = 0.9, prior: float = 0.6) -> LabelModel:
     """Expectation-maximisation over pattern counts. An abstention is no evidence.
 
     Every rule starts with accuracy ``first``, and stays at or above a half: rules are built to be
@@ -143,7 +143,7 @@ def estimate(patterns: dict[str, int], rounds: int = 200, first: float = 0.9, pr
         new = 1 / (1 + np.exp(-np.clip(log, -700, 700)))
         right = says[0] * (1 - new[:, None]) + says[1] * new[:, None]
         accuracy = np.clip(((n * right).sum(0) + 9 * first) / ((n * voted).sum(0) + 9), 0.5, 0.999)
-            done = np.abs(new - good).max() < 1e-9
+        done = np.abs(new - good).max() < 1e-9
         good = new
         if done:
             break
