@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import format_conversations
 from .chat_digest import read_back
 from .common import table
+from .decontaminate import find_leaks
 from .langid import fit, held_out, identify
 from .line_dedup import drop_boilerplate_lines
 from .pii import KINDS, find_personal_data
@@ -75,13 +76,17 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_line_dedup, op3_rendezvous_shard, op4_language_id, op5_personal_data, op7_quality, op9_simhash_dedup)}
+    return {f.__name__: f for f in (op1_chat_format, op2_line_dedup, op3_rendezvous_shard, op4_language_id, op5_personal_data, op7_quality, op8_decontamination, op9_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
