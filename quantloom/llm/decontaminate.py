@@ -7,8 +7,8 @@ words (0.8 by default).
 1. Windows. Every word position of every text starts one window of each size class (item sizes,
    rounded up). A window can only leak an item if it shares enough word trigrams with the items of
    its class: one edit destroys at most three of them. Windows with fewer are skipped, and of a
-   leak only the windows that start at a shared trigram are looked at (the first one that the edits
-   left is at the leak's start or a few words after it).
+   leak only windows that start at a shared trigram or a few words before it are looked at (the
+   first one that the edits left is at the leak's start or a few words after it).
 2. CGK. A window is embedded by a walk: step i writes the word under the cursor and moves on if a
    random bit of (i, word) says so. Small edit distance becomes small Hamming distance.
 3. LSH. A few sampled steps make a key; ``tables`` keys come from independent walks and samples. An
@@ -44,6 +44,8 @@ BLOCK = 2000
 #: probability of about 0.7: 1 - (1 - 0.7 ** 3) ** 16 = 0.998.
 TABLES, SAMPLED = 16, 3
 SIZE_STEP = 8
+#: Windows start at a shared trigram and these many words before it.
+BACK = (0, 2, 4, 7)
 UNKNOWN = 0
 
 
@@ -180,6 +182,8 @@ def windows(docs: DataFrame, block: Items, tables: int, sampled: int, id_col: st
         for bit, (size, least) in enumerate(items.sizes):
             starts = _starts((classes >> bit) & 1, size, least)
             doc = np.searchsorted(begin, starts, "right") - 1
+            starts = np.unique(np.concatenate([np.maximum(starts - back, begin[doc]) for back in BACK])) if len(starts) else starts
+            doc = np.searchsorted(begin, starts, "right") - 1
             for k in range(0, len(starts), 4096):
                 at, of = starts[k : k + 4096], doc[k : k + 4096]
                 end = begin[of + 1] - 2  # two empty places after each text

@@ -14,11 +14,14 @@ from .decontaminate import find_leaks
 from .langid import fit, held_out, identify
 from .line_dedup import drop_boilerplate_lines
 from .pii import KINDS, find_personal_data
+from .pieces import round_trip
 from .quality import judge
 from .sharding import assign_slots, rendezvous_shard
 from .simhash import near_duplicates
 
 SHARDS = 24
+#: A public SentencePiece model of this box; a parameter of the operator.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,8 +88,13 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = round_trip(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "round_trip")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_line_dedup, op3_rendezvous_shard, op4_language_id, op5_personal_data, op7_quality, op8_decontamination, op9_simhash_dedup)}
+    return {f.__name__: f for f in (op1_chat_format, op2_line_dedup, op3_rendezvous_shard, op4_language_id, op5_personal_data, op7_quality, op8_decontamination, op9_simhash_dedup, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
