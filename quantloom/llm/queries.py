@@ -12,6 +12,7 @@ from .chat_digest import read_back
 from .common import table
 from .decontaminate import find_leaks
 from .langid import fit, held_out, identify
+from .licenses import scan_licenses
 from .line_dedup import drop_boilerplate_lines
 from .pii import KINDS, find_personal_data
 from .pieces import round_trip
@@ -75,6 +76,10 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -94,7 +99,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_line_dedup, op3_rendezvous_shard, op4_language_id, op5_personal_data, op7_quality, op8_decontamination, op9_simhash_dedup, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_chat_format, op2_line_dedup, op3_rendezvous_shard, op4_language_id, op5_personal_data, op6_license_scan, op7_quality, op8_decontamination, op9_simhash_dedup, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
