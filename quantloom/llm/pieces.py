@@ -20,12 +20,13 @@ an empty table gives none; other columns pass through.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,7 +38,7 @@ MAX_UNIT, MAX_BLANKS = 64, 16
 UNIT = f"[\\x00-\\x0C\\x0E-\\x1F]|{BLANK}{{0,{MAX_BLANKS}}}[^{BLANK}\\x00-\\x0C\\x0E-\\x1F]{{1,{MAX_UNIT}}}|{BLANK}{{1,{MAX_BLANKS}}}"
 _UNIT = re.compile(UNIT)
 #: Pieces that may be broadcast, and frequent units that every task may hold.
-MAX_PIECES, CACHED = 1_000_000, 1 << 18
+MAX_PIECES, CACHED = 1_000_000, 1 << 17
 
 
 @dataclass(frozen=True)
@@ -176,22 +177,45 @@ def segment(units: DataFrame, pieces: Pieces) -> DataFrame:
     return found.select("unit", "n", F.when(F.exists("path", lambda x: x["id"] < 0), full).otherwise(plain).alias("ids"))
 
 
+def _frequent(known: DataFrame, most: int) -> list[bytes]:
+    """The ids of the most frequent units, at most ``most``, packed in the tasks: little reaches the driver.
+
+    The units with a count above a level are taken; there are far fewer counts than units.
+    """
+    counts = known.groupBy("n").agg(F.count(F.lit(1)).alias("units"))
+    above = F.sum("units").over(Window.orderBy(F.desc("n")))
+    level = counts.withColumn("above", above).filter(F.col("above") <= most).agg(F.min("n").alias("n")).first()["n"]
+    if level is None:
+        return []
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = {}
+        for batch in batches:
+            part.update(zip(batch.column(0).to_pylist(), map(tuple, batch.column(1).to_pylist())))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(part)], pa.binary())], ["part"])
+
+    return [r["part"] for r in known.filter(F.col("n") >= level).select("unit", "ids").mapInArrow(pack, "part binary").collect()]
+
+
+def _unpacked(parts: list[bytes]) -> dict[str, tuple[int, ...]]:
+    return {unit: ids for part in parts for unit, ids in pickle.loads(part).items()}
+
+
 def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_col: str = "ids", cached: int = CACHED) -> DataFrame:
     """``docs`` plus ``ids_col``: the piece ids of its whole texts."""
     spark = docs.sparkSession
     key_a, key_b, rare_col = free_name(docs, "key_a", "key_b", "rare")
     units = docs.filter(F.col(text_col).isNotNull()).select(F.explode(_units(F.col(text_col))).alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
     known = written(segment(units, pieces), "units")
-    top = known.orderBy(F.desc("n"), "unit").limit(cached).select("unit", "ids").collect()
-    common = spark.sparkContext.broadcast({r["unit"]: r["ids"] for r in top})
-    if len(top) < cached:  # all units are common
+    common = spark.sparkContext.broadcast(_frequent(known, cached))
+    if known.count() <= cached:  # all units are common
         joined = docs.withColumn(rare_col, F.lit(None).cast("array<struct<unit:string,ids:array<int>>>"))
     else:
         # two hashes of the whole row's content stand for a text; equal rows share their ids anyway
         keyed = docs.withColumn(key_a, F.xxhash64(*docs.columns)).withColumn(key_b, F.xxhash64(F.lit(1), *docs.columns))
 
         def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            have = common.value
+            have = _unpacked(common.value)
             for batch in batches:
                 a, b, out = [], [], []
                 for x, y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -214,7 +238,7 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_col: str
     names = [f.name for f in kept]
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = common.value
+        have = _unpacked(common.value)
         for batch in batches:
             out: list[list[int] | None] = []
             rare_at = batch.schema.get_field_index(rare_col)
