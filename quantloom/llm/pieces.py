@@ -110,17 +110,23 @@ def _units(text: Column) -> Column:
     return F.regexp_extract_all(normal, F.lit(UNIT), F.lit(0))
 
 
-def _viterbi(n: Column, edges: Column, unknown: float) -> Column:
-    """array<struct<start, id>>: the best path over ``edges`` (end, start, id, score)."""
+#: An edge's place as one number, so that sorting by end, then start, compares once.
+PLACE = 1 << 16
+
 
-    spelled = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("end"), (i - 1).alias("start"), F.lit(-1).alias("id"), F.lit(unknown).alias("score")))
+def _viterbi(n: Column, edges: Column, unknown: float) -> Column:
+    """array<struct<start, id>>: the best path over ``edges`` (at: end * PLACE + start, id, score)."""
+    ends = lambda found: F.transform(F.filter(found, lambda e: F.pmod(e["at"], F.lit(PLACE)) + 1 == F.shiftright(e["at"], 16)), lambda e: F.shiftright(e["at"], 16))
+    # a character with a piece of its own never needs its bytes
+    bare = F.transform(F.array_except(F.sequence(F.lit(1), n), ends(edges)), lambda i: F.struct((i * PLACE + i - 1).alias("at"), F.lit(-1).alias("id"), F.lit(unknown).alias("score")))
 
     def step(acc: Column, e: Column) -> Column:
         """``done`` holds the best for every end before ``at``; the rest of ``acc`` is the best for ``at``."""
-        score = e["score"] + F.when(e["start"] == acc["at"], acc["score"]).otherwise(F.get(acc["done"], e["start"])["score"])
+        end, start = F.shiftright(e["at"], 16), e["at"].bitwiseAND(F.lit(PLACE - 1))
+        score = e["score"] + F.when(start == acc["at"], acc["score"]).otherwise(F.get(acc["done"], start)["score"])
+        taken = lambda done: F.struct(end.alias("at"), score.alias("score"), start.alias("start"), e["id"].alias("id"), done.alias("done"))
         done = F.concat(acc["done"], F.array(F.struct(acc["score"].alias("score"), acc["start"].alias("start"), acc["id"].alias("id"))))
-        taken = lambda end, done: F.struct(end.alias("at"), score.alias("score"), e["start"].alias("start"), e["id"].alias("id"), done.alias("done"))
-        return F.when(e["end"] > acc["at"], taken(e["end"], done)).when(score >= acc["score"], taken(acc["at"], acc["done"])).otherwise(acc)
+        return F.when(end > acc["at"], taken(done)).when(score >= acc["score"], taken(acc["done"])).otherwise(acc)
 
     def path(state: Column) -> Column:
         nothing = F.array().cast("array<struct<start:int,id:int>>")
@@ -140,7 +146,7 @@ def _viterbi(n: Column, edges: Column, unknown: float) -> Column:
     first = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(-1).alias("id"), F.array().cast("array<struct<score:double,start:int,id:int>>").alias("done"))
     last = lambda acc: path(F.concat(acc["done"], F.array(F.struct(acc["score"].alias("score"), acc["start"].alias("start"), acc["id"].alias("id")))))
     # by end, then start: of equal scores the later start, which is the shorter piece, wins
-    return F.aggregate(F.array_sort(F.concat(edges, spelled)), first, step, last)
+    return F.aggregate(F.array_sort(F.concat(edges, bare)), first, step, last)
 
 
 def segment(units: DataFrame, pieces: Pieces) -> DataFrame:
@@ -148,22 +154,16 @@ def segment(units: DataFrame, pieces: Pieces) -> DataFrame:
     spark = units.sparkSession
     table = spark.createDataFrame(pieces.rows, "piece string, id int, score double")
     size = F.length("unit")
-    cuts = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), size),
-            lambda s: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(pieces.longest), size - s + 1)),
-                lambda m: F.struct((s - 1).alias("start"), (s - 1 + m).alias("end"), F.substring("unit", s, m).alias("piece")),
-            ),
-        )
+    starts = units.select("unit", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
+    cuts = starts.select("unit", "n", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), size - F.col("start")))).alias("m")).select(
+        "unit", "n", ((F.col("start") + F.col("m")) * PLACE + F.col("start")).alias("at"), F.substring("unit", F.col("start") + 1, F.col("m")).alias("piece")
     )
     edges = (
-        units.select("unit", "n", F.inline(cuts))
-        .join(F.broadcast(table), "piece", "left")
+        cuts.join(F.broadcast(table), "piece", "left")
         # one row without a piece stays for each unit, so that one of unknown characters is kept
-        .filter(F.col("id").isNotNull() | (F.col("end") == 1))
+        .filter(F.col("id").isNotNull() | (F.col("at") == PLACE))
         .groupBy("unit", "n")
-        .agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("end", "start", "id", "score"))).alias("edges"))
+        .agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", "id", "score"))).alias("edges"))
     )
     found = edges.select("unit", "n", _viterbi(size, F.col("edges"), pieces.unknown_score).alias("path"))
     byte_ids = F.array(*[F.lit(i) for i in pieces.bytes_])
