@@ -191,7 +191,7 @@ def rolling(daily: DataFrame, window: int = 10, partition: Sequence[str] = ()) -
     n = F.size("seen")
     below = F.size(F.filter("seen", lambda v: v < F.col("size"))) + 0.5 * F.size(F.filter("seen", lambda v: v == F.col("size")))
     return x.select(
-        *partition, "d", F.round(F.avg("net").over(trail), 6).alias("sma"), F.round("velocity", 4).alias("velocity"),
+        *partition, "d", F.round(F.avg("net").over(trail), 6).alias("sma"), F.round("velocity", 8).alias("velocity"),
         F.round(F.when(F.count("delta").over(trail) >= 2, F.stddev_pop("delta").over(trail)), 2).alias("delta_volatility"),
         F.when(n >= 5, F.round(below / n * 100, 6)).alias("percentile"), F.when((n >= 5) & (F.col("sd") > 0), F.round(F.try_divide(F.col("size") - F.col("mean"), "sd"), 4)).alias("z"),
     )

@@ -147,7 +147,7 @@ def gex_concentration_centroid(s, d):
 
 @query(DAILY + """, x AS (SELECT d, net_c * 1e-4::DOUBLE AS net, abs(net_c * 1e-4::DOUBLE) AS size FROM daily), y AS (SELECT *, net - lag(net) OVER (ORDER BY d) AS delta, CAST(d - lag(d) OVER (ORDER BY d) AS DOUBLE) AS dt FROM x),
 z AS (SELECT *, avg(net) OVER w AS sma, count(delta) OVER w AS nd, stddev_pop(delta) OVER w AS dv, list(size) OVER w AS seen, avg(size) OVER w AS m, stddev_pop(size) OVER w AS sd FROM y WINDOW w AS (ORDER BY d ROWS 9 PRECEDING))
-SELECT d, round(sma, 6) AS sma, round(delta / dt, 4) AS velocity, round(CASE WHEN nd >= 2 THEN dv END, 2) AS delta_volatility,
+SELECT d, round(sma, 6) AS sma, round(delta / dt, 8) AS velocity, round(CASE WHEN nd >= 2 THEN dv END, 2) AS delta_volatility,
   CASE WHEN len(seen) >= 5 THEN round((len(list_filter(seen, lambda v: v < size)) + 0.5::DOUBLE * len(list_filter(seen, lambda v: v = size))) / len(seen) * 100, 6) END AS percentile, CASE WHEN len(seen) >= 5 AND sd > 0 THEN round((size - m) / sd, 4) END AS z FROM z""")
 def gex_rolling(s, d):
     return G.rolling(_daily(s, d))
