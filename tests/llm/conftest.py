@@ -1,35 +1,4 @@
-import os
-import sys
-
 import pytest
-from pyspark.sql import SparkSession
-
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
-sys.path.insert(0, ROOT)
-
-
-@pytest.fixture(scope="session")
-def spark():
-    session = (
-        SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
-        .config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "3g")
-        .getOrCreate()
-    )
-    session.sparkContext.setLogLevel("ERROR")
-    return session
-
-
-@pytest.fixture(scope="session")
-def sf_dir():
-    found = "/root/testdata/sf0.001"
-    if not os.path.isdir(found):
-        pytest.skip("no test data")
-    return found
-
 
 DOCS = "doc_id long, text string"
 
