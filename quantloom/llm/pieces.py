@@ -197,6 +197,13 @@ def _frequent(known: DataFrame, most: int) -> list[bytes]:
     return [r["part"] for r in known.filter(F.col("n") >= level).select("unit", "ids").mapInArrow(pack, "part binary").collect()]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that the ids of a batch are never all Python objects at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def _unpacked(parts: list[bytes]) -> dict[str, tuple[int, ...]]:
     return {unit: ids for part in parts for unit, ids in pickle.loads(part).items()}
 
@@ -239,7 +246,7 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_col: str
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = _unpacked(common.value)
-        for batch in batches:
+        for batch in _slices(batches):
             out: list[list[int] | None] = []
             rare_at = batch.schema.get_field_index(rare_col)
             for text, extra in zip(batch.column(batch.schema.get_field_index(text_col)), batch.column(rare_at)):
@@ -264,7 +271,7 @@ def decode(docs: DataFrame, pieces: Pieces, ids_col: str = "ids", text_out: str
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             texts = [None if ids is None else shared.value.decode(ids) for ids in (x.as_py() for x in batch.column(batch.schema.get_field_index(ids_col)))]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(texts, pa.string())], [*names, text_out])
 
