@@ -154,9 +154,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = written(found, "labels")
     lowest = found.groupBy("label").agg(F.min("low").alias("component_id"))
     return prints.join(found.join(lowest, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5) -> DataFrame:
-    """``docs`` without near-duplicates: of each component the row with the smallest id stays."""
-    kept = near_duplicates(docs, id_col, text_col, words_per_shingle).filter(F.col("doc_id") == F.col("component_id"))
-    return docs.join(kept.select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_semi")
