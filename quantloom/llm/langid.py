@@ -95,9 +95,24 @@ class Model:
     families: list[list[int]]
     family_machines: np.ndarray
     pair_machines: dict[tuple[int, int], np.ndarray] = field(default_factory=dict)
+    #: Log of each feature's frequency against chance, a language a row; what a text must reach on it.
+    profiles: np.ndarray | None = None
+    least: np.ndarray | None = None
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        return self._place(features(text))
+
+    def knows(self, text: str | None, min_score: float) -> bool:
+        """Whether the predicted language has the score, and the text's letter groups are those of that language."""
         x = features(text)
+        lang, score = self._place(x)
+        if lang == UND or score < min_score:
+            return False
+        i = self.languages.index(lang)
+        chance = 2.0 / np.sqrt(np.count_nonzero(x))  # a short text may be of rare words
+        return self.profiles is None or float((x * x) @ self.profiles[i]) >= self.least[i] - chance
+
+    def _place(self, x: np.ndarray | None) -> tuple[str, float]:
         if x is None or not self.languages:
             return UND, 0.0
         family, margin = self.families[0], 1.0
@@ -118,6 +133,24 @@ class Model:
         return self.languages[best], float(1.0 / (1.0 + np.exp(-2.0 * margin)))
 
 
+def _profile(squares: np.ndarray) -> np.ndarray:
+    mass = squares.sum(0) + 0.1 * len(squares) / BINS  # a feature that was never seen counts as a tenth of chance
+    return np.log(mass / mass.sum() * BINS)
+
+
+def evidence(x: np.ndarray, share: float = 0.3, tail: float = 0.01, enough: int = 8) -> tuple[np.ndarray, float]:
+    """A language's profile, and the mean log frequency (0: chance) that a text of it reaches.
+
+    Rows are held out in turn: half of them make a profile, the others are measured on it. A text
+    must reach ``share`` of their median, or less if more than ``tail`` of them do not reach that.
+    """
+    squares, even = x * x, np.arange(len(x)) % 2 == 0
+    if len(x) < enough:
+        return _profile(squares), -np.inf
+    held = np.concatenate([squares[~even] @ _profile(squares[even]), squares[even] @ _profile(squares[~even])])
+    return _profile(squares), float(min(share * np.median(held), np.quantile(held, tail)))
+
+
 def train(rows: list[tuple[str, np.ndarray]]) -> Model:
     """A model of labelled feature vectors."""
     languages = sorted({r[0] for r in rows})
@@ -132,7 +165,8 @@ def train(rows: list[tuple[str, np.ndarray]]) -> Model:
         for i, j in combinations(f, 2):
             at = (of == i) | (of == j)
             pairs[i, j] = _svm(x[at], np.where(of[at] == i, 1.0, -1.0).astype(np.float32))
-    return Model(languages, families, np.stack(machines) if machines else np.zeros((1, BINS + 1), np.float32), pairs)
+    profiles, least = zip(*(evidence(x[of == i]) for i in range(len(languages))))
+    return Model(languages, families, np.stack(machines) if machines else np.zeros((1, BINS + 1), np.float32), pairs, np.stack(profiles).astype(np.float32), np.array(least))
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS) -> Model:
@@ -192,7 +226,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def keep_known(docs: DataFrame, labelled: DataFrame, min_score: float = 0.1) -> DataFrame:
-    """``docs`` without those that no machine claims: ``und``, or a score under ``min_score``."""
-    model = fit(labelled)
-    found = identify(docs.select("*", F.col("text").alias("text_")), model, "text_", "lang_pred_", "score_")
-    return found.filter((F.col("lang_pred_") != UND) & (F.col("score_") >= min_score)).select(*docs.columns)
+    """``docs`` without those in no known language: ``und``, a score under ``min_score``, or letter groups too rare in the language predicted.
+
+    A language of fewer than 8 learned rows has no limit on letter groups.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fit(labelled))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([shared.value.knows(t, min_score) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
