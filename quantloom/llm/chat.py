@@ -5,7 +5,8 @@ choose turn-aligned spans of new turns; a window repeats the system turn and the
 earlier turns within the history budget, and its loss mask covers the new assistant turns only.
 
 Conversations are worked on in chunks of ``chunk_turns`` turn numbers, so one of any length is
-spread over many tasks; a chunk starts without history from the chunk before it.
+spread over many tasks; a chunk is handed the last turns before it as history. A window still ends
+where its chunk ends.
 
 Defined cases: null text or role is empty; null turn numbers come first; turns with the same
 number are ordered by role, then text; equal rows are separate turns; a null ``conv_id`` is a
@@ -19,7 +20,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed template: <s>ROLE[INST]TEXT[/INST]</s>
@@ -27,6 +28,9 @@ BOS, OPEN, CLOSE, EOS = "<s>", "[INST]", "[/INST]", "</s>"
 _CONTROL = re.compile(r"\\|<(?=/?s>)|\[(?=/?INST\])")
 _TURN = re.compile(r"<s>(.*?)\[INST\](.*?)\[/INST\]</s>", re.S)
 
+#: What the marks of a turn cost in tokens.
+MARKS = 4
+
 WINDOWS = (
     "conv_id long, chunk long, window int, formatted string, n_repeated int, n_tokens long, over_budget boolean,"
     " loss_spans array<struct<start:int,end:int>>"
@@ -52,15 +56,15 @@ def count_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"))
 
 
-def plan_windows(tokens: list[int], budget: int, history: int, reserved: list[int]) -> list[tuple[int, int, int]]:
+def plan_windows(tokens: list[int], budget: int, history: int, reserved: list[int], begin: int = 0) -> list[tuple[int, int, int]]:
     """(history start, start, end) of each window over turns with these token counts.
 
-    ``reserved[i]``: tokens of the system turn to repeat in a window that starts at turn i.
+    ``reserved[i]``: tokens of the system turn to repeat in a window that starts at turn i; turns before ``begin`` are history only.
     """
     prefix = [0]
     for t in tokens:
         prefix.append(prefix[-1] + t)
-    out, start, n = [], 0, len(tokens)
+    out, start, n = [], begin, len(tokens)
     while start < n:
         first = start
         while first > 0 and prefix[start] - prefix[first - 1] <= history:
@@ -93,7 +97,7 @@ def format_conversations(
         F.coalesce("role", F.lit("")).alias("role"),
         text.alias("text"),
         # what the marks cost, so that an empty turn is not free
-        (F.coalesce(tokens if tokens is not None else count_tokens(text), F.lit(0)) + 4).cast("long").alias("tokens"),
+        (F.coalesce(tokens if tokens is not None else count_tokens(text), F.lit(0)) + MARKS).cast("long").alias("tokens"),
     ).withColumn("chunk", F.coalesce(F.floor(F.col("turn") / chunk_turns), F.lit(-(2**62))).cast("long"))
     chunks = (
         t.groupBy("conv_id", "chunk")
@@ -108,6 +112,11 @@ def format_conversations(
     joined = chunks.join(system, F.col("conv_id").eqNullSafe(F.col("sys_conv")), "left").select(
         "conv_id", "chunk", "turns", "system"
     )
+    if most := history // MARKS:
+        tails = _tails(t, chunks, most)
+        joined = joined.join(tails, F.col("conv_id").eqNullSafe(F.col("to_conv")) & (F.col("chunk") == F.col("to")), "left").drop("to_conv", "to")
+    else:
+        joined = joined.withColumn("before", F.lit(None).cast(joined.schema["turns"].dataType))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = None
@@ -127,15 +136,30 @@ def format_conversations(
     return joined.mapInArrow(windows, WINDOWS)
 
 
+def _tails(turns: DataFrame, chunks: DataFrame, most: int) -> DataFrame:
+    """to_conv, to, before: for each chunk the last ``most`` turns before it; no history has more, as each costs its marks."""
+    ahead = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(1, most)
+    sizes = turns.groupBy("conv_id", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    later = sizes.select("conv_id", "chunk", F.collect_list(F.struct("chunk", "n")).over(ahead).alias("later")).filter(F.size("later") > 0)
+    between = F.aggregate(F.slice("later", 1, F.col("at")), F.lit(0).cast("long"), lambda n, c: n + c["n"])
+    later = later.select("conv_id", "chunk", "later", F.posexplode("later").alias("at", "c")).filter(between < most)
+    later = later.select(F.col("conv_id").alias("to_conv"), F.col("chunk").alias("of"), F.col("c.chunk").alias("to"))
+    last = lambda a: F.slice(a, F.greatest(F.size(a) - most, F.lit(0)) + 1, most)
+    sent = chunks.join(later, F.col("conv_id").eqNullSafe(F.col("to_conv")) & (F.col("chunk") == F.col("of"))).select("to_conv", "to", "of", last("turns").alias("tail"))
+    parts = sent.groupBy("to_conv", "to").agg(F.array_sort(F.collect_list(F.struct("of", "tail"))).alias("parts"))
+    return parts.select("to_conv", "to", last(F.flatten(F.col("parts.tail"))).alias("before"))
+
+
 def _windows_of(row: dict, budget: int, history: int, loss_role: str) -> Iterator[tuple]:
-    turns, system = row["turns"], row["system"]
+    before, system = row["before"] or [], row["system"]
+    turns = [*before, *row["turns"]]
     at = None
-    if system and system["chunk"] == row["chunk"]:  # its place among this chunk's turns
-        at = next(i for i, t in enumerate(turns) if t["role"] == "system" and (t["turn"], t["text"]) == (system["turn"], system["text"]))
+    if system and system["chunk"] <= row["chunk"]:  # its place among these turns, if it is there
+        at = next((i for i, t in enumerate(turns) if t["role"] == "system" and (t["turn"], t["text"]) == (system["turn"], system["text"])), None)
     elif not system or system["chunk"] > row["chunk"]:
         at = len(turns)
     repeats = [system["tokens"] if at is None or at < i else 0 for i in range(len(turns))]
-    for k, (first, start, end) in enumerate(plan_windows([t["tokens"] for t in turns], budget, history, repeats)):
+    for k, (first, start, end) in enumerate(plan_windows([t["tokens"] for t in turns], budget, history, repeats, len(before))):
         lead = [system | {"role": "system"}] if repeats[start] and (at is None or at < first) else []
         shown = [*lead, *turns[first:end]]
         repeated = len(lead) + start - first
