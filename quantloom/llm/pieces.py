@@ -1,30 +1,39 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
-1. Texts fall into units no piece of the table reaches across: a run of blanks with the characters
-   after it, or a control character (but U+000D). Only distinct units are worked on.
+1. Texts fall into words (a run of blanks with the characters after it) and words into units: a word
+   is cut wherever no piece of the table holds the two characters side by side, so that no piece
+   reaches across a cut. Only distinct units are worked on.
 2. Lattice: every substring of a unit, up to the longest piece, is exploded and equality-joined to
    the piece table (its size is checked before it is broadcast); the edges are grouped by unit.
-3. Viterbi: a higher-order ``aggregate`` keeps, for every end, the best score and the last piece.
+3. A higher-order ``aggregate`` folds the edges of a unit to its best segmentation:
+   - a table of log probabilities: Viterbi; the largest sum of scores, of equal ones that whose last
+     piece is shortest;
+   - a table of merge ranks (scores 0, -1, -2, ...): sums of ranks mean nothing and do not give the
+     ids of the model, so the fold keeps the open cuts as bits and applies, of the edges that join
+     two neighbouring pieces, the best-ranked one (the leftmost of equal ones) until none is left.
+     These are the ids that the model itself gives.
+   Units over ``FOLDED`` characters (a run that can be cut nowhere, such as one letter many
+   times) get the same result in linear space inside the tasks.
 4. Texts are put together from their units. The most frequent units (at most ``cached``) come from
    a broadcast table; the others are joined by unit and by text.
 
-The best segmentation is the one with the largest sum of the table's scores; of equal ones that
-whose last piece is shortest. A character without a piece costs more than any piece and becomes
-its UTF-8 bytes. For a table of merge ranks this differs from replaying the merges.
+A character without a piece costs more than any piece and becomes its UTF-8 bytes.
 
 Defined cases: a null text has null ids; an empty one none; blanks U+2581 in a text decode as
-spaces; units are cut after ``MAX_UNIT`` characters, runs of blanks after ``MAX_BLANKS`` (longer ones
-cannot be cut elsewhere without holding all of a text without blanks); equal texts get equal ids;
-an empty table gives none; other columns pass through.
+spaces; words of any length are encoded whole; equal texts get equal ids; an empty table gives none;
+other columns pass through, whatever their names and types; a column named like the new one is
+replaced.
 """
 
 from __future__ import annotations
 
-import pickle
+import heapq
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,12 +42,13 @@ from pyspark.sql import types as T
 from .common import free_name, written
 
 BLANK = "▁"
-MAX_UNIT, MAX_BLANKS = 64, 16
-#: The same in Java and Python.
-UNIT = f"[\\x00-\\x0C\\x0E-\\x1F]|{BLANK}{{0,{MAX_BLANKS}}}[^{BLANK}\\x00-\\x0C\\x0E-\\x1F]{{1,{MAX_UNIT}}}|{BLANK}{{1,{MAX_BLANKS}}}"
-_UNIT = re.compile(UNIT)
+_WORD = re.compile(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
 #: Pieces that may be broadcast, and frequent units that every task may hold.
 MAX_PIECES, CACHED = 1_000_000, 1 << 17
+#: The most characters of a unit in the fold: its cuts and its end are bits of one long.
+FOLDED = 60
+#: Distinct words that a task counts or remembers before it starts anew.
+WORDS_HELD = 100_000
 
 
 @dataclass(frozen=True)
@@ -48,6 +58,13 @@ class Pieces:
     rows: list[tuple[str, int, float]]
     bytes_: list[int]
     strings: list[str | int | None]
+    #: whether the scores are merge ranks, not log probabilities
+    merges: bool = False
+    #: pairs of characters that some piece holds side by side
+    joins: frozenset[str] = field(init=False)
+
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "joins", frozenset(p[i : i + 2] for p, _, _ in self.rows for i in range(len(p) - 1)))
 
     @staticmethod
     def load(path: str) -> Pieces:
@@ -65,14 +82,15 @@ class Pieces:
             else:
                 rows.append((piece, i, model.get_score(i)))
                 strings.append(piece)
-        return Pieces(rows, at_byte, strings).checked()
+        # only ranks are whole numbers
+        return Pieces(rows, at_byte, strings, merges=all(s == int(s) for _, _, s in rows)).checked()
 
     def checked(self) -> Pieces:
         if len(self.rows) > MAX_PIECES:
             raise ValueError(f"{len(self.rows)} pieces are too many for a broadcast")
         for piece, _, _ in self.rows:
-            if len(piece) > 1 and re.search(rf"[\x00-\x0C\x0E-\x1F]|[^{BLANK}]{BLANK}", piece):
-                raise ValueError(f"the piece {piece!r} reaches across units")
+            if len(piece) > 1 and re.search(rf"\n|[^{BLANK}]{BLANK}", piece):
+                raise ValueError(f"the piece {piece!r} reaches across words")
         return self
 
     @property
@@ -83,11 +101,30 @@ class Pieces:
     def unknown_score(self) -> float:
         return min((r[2] for r in self.rows), default=0.0) - 10.0
 
+    def ranked(self) -> list[tuple[str, int, float, int]]:
+        """(piece, id, score, rank): the best score has rank 0."""
+        at = {s: k for k, s in enumerate(sorted({-r[2] for r in self.rows}))}
+        return [(*r, at[-r[2]]) for r in self.rows]
+
+    def units(self, word: str) -> list[str]:
+        """A word, cut where no piece reaches across."""
+        joins, cuts = self.joins, [0]
+        cuts += [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joins]
+        return [word[a:b] for a, b in zip(cuts, [*cuts[1:], len(word)])]
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids. Bytes that are no UTF-8 become U+FFFD."""
+        strings = self.strings
+        out = [strings[i] for i in ids]
+        if any(s.__class__ is not str for s in out):
+            out = self._with_bytes(out)
+        text = "".join(out).replace(BLANK, " ")
+        return text[1:] if text.startswith(" ") else text
+
+    @staticmethod
+    def _with_bytes(found: list[str | int | None]) -> list[str]:
         out, pending = [], bytearray()
-        for i in ids:
-            s = self.strings[i]
+        for s in found:
             if isinstance(s, int):
                 pending.append(s)
                 continue
@@ -97,17 +134,12 @@ class Pieces:
             if s:
                 out.append(s)
         out.append(pending.decode("utf-8", "replace"))
-        text = "".join(out).replace(BLANK, " ")
-        return text[1:] if text.startswith(" ") else text
-
-
-def normalise(text: str) -> str:
-    return BLANK + text.replace(" ", BLANK) if text else ""
+        return out
 
 
-def _units(text: Column) -> Column:
-    normal = F.when(text == "", F.lit("")).otherwise(F.concat(F.lit(BLANK), F.replace(text, F.lit(" "), F.lit(BLANK))))
-    return F.regexp_extract_all(normal, F.lit(UNIT), F.lit(0))
+def words_of(text: str) -> list[str]:
+    """The words of a text, with blanks for spaces and one blank before it."""
+    return _WORD.findall(BLANK + text.replace(" ", BLANK)) if text else []
 
 
 #: An edge's place as one number, so that sorting by end, then start, compares once.
@@ -149,23 +181,77 @@ def _viterbi(n: Column, edges: Column, unknown: float) -> Column:
     return F.aggregate(F.array_sort(F.concat(edges, bare)), first, step, last)
 
 
+def _bit(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), k.cast("int"))
+
+
+#: How an edge is packed into a long: rank, start (6 bits), end (6 bits), id (21 bits).
+ID_BITS, AT_BITS = 21, 6
+
+
+def _merged(n: Column, packed: Column) -> Column:
+    """array<struct<start, id>> of the segmentation that merging by rank gives; id -1: no piece.
+
+    A cut between two characters is a bit. An edge applies if its two ends and one cut between
+    them are open, and closes that cut. The lowest packed edge has the best rank, then start.
+    """
+    at = lambda p, shift: F.shiftright(p, shift).bitwiseAND(F.lit((1 << AT_BITS) - 1))
+
+    def opened(p: Column) -> Column:
+        start, end = at(p, ID_BITS + AT_BITS), at(p, ID_BITS)
+        ends, span = _bit(start) + _bit(end), _bit(end + 1) - _bit(start)
+        return F.struct(p.alias("key"), ends.alias("ends"), span.alias("span"), F.bitwise_not(span).bitwiseOR(ends).alias("keep"))
+
+    def kept(edges: Column, cuts: Column, wanted: Callable[[Column], Column]) -> Column:
+        """The edges whose ends are open, with a ``wanted`` number of open cuts from end to end."""
+        return F.filter(edges, lambda e: (cuts.bitwiseAND(e["ends"]) == e["ends"]) & wanted(F.bit_count(cuts.bitwiseAND(e["span"]))))
+
+    def step(cuts: Column, edges: Column) -> Column:
+        after = F.transform(kept(edges, cuts, lambda k: k == 3), lambda e: F.struct(e["key"], cuts.bitwiseAND(e["keep"]).alias("after")))
+        # a negative number says that no edge is left
+        return F.when(cuts < 0, cuts).otherwise(F.coalesce(F.array_min(after)["after"], -cuts))
+
+    def path(cuts: Column, edges: Column) -> Column:
+        found = F.transform(kept(edges, cuts, lambda k: k == 2), lambda e: F.struct(at(e["key"], ID_BITS + AT_BITS).cast("int").alias("start"), e["key"].bitwiseAND(F.lit((1 << ID_BITS) - 1)).cast("int").alias("id")))
+        single = F.filter(F.sequence(F.lit(0), n - 1), lambda i: cuts.bitwiseAND(_bit(i) + _bit(i + 1)) == _bit(i) + _bit(i + 1))
+        bare = F.transform(F.array_except(single, F.transform(found, lambda f: f["start"])), lambda i: F.struct(i.alias("start"), F.lit(-1).alias("id")))
+        return F.array_sort(F.when(F.size(found) == F.bit_count(cuts) - 1, found).otherwise(F.concat(found, bare)))
+
+    every = F.transform(packed, opened)
+    # the state holds the edges too, so that each is opened once
+    first = F.struct((_bit(n + 1) - 1).alias("cuts"), every.alias("all"), F.filter(every, lambda e: F.bit_count(e["span"]) > 2).alias("multi"))
+    return F.aggregate(
+        F.sequence(F.lit(1), n),
+        first,
+        lambda acc, _: F.struct(step(acc["cuts"], acc["multi"]).alias("cuts"), acc["all"].alias("all"), acc["multi"].alias("multi")),
+        lambda acc: path(F.abs(acc["cuts"]), acc["all"]),
+    )
+
+
 def segment(units: DataFrame, pieces: Pieces) -> DataFrame:
     """unit, n, ids: the best segmentation of each distinct ``unit`` (with its count ``n``)."""
     spark = units.sparkSession
-    table = spark.createDataFrame(pieces.rows, "piece string, id int, score double")
-    size = F.length("unit")
-    starts = units.select("unit", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
-    cuts = starts.select("unit", "n", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), size - F.col("start")))).alias("m")).select(
-        "unit", "n", ((F.col("start") + F.col("m")) * PLACE + F.col("start")).alias("at"), F.substring("unit", F.col("start") + 1, F.col("m")).alias("piece")
-    )
+    code = F.shiftleft(F.col("rank").cast("long"), ID_BITS + 2 * AT_BITS) + F.col("id")
+    table = spark.createDataFrame(pieces.ranked(), "piece string, id int, score double, rank int").withColumn("code", code)
+    size, short = F.length("unit"), units.filter(F.length("unit") <= FOLDED)
+    # no two units are equal, so the hash only makes the grouping's sort cheap
+    starts = short.select(F.xxhash64("unit").alias("h"), "unit", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
+    cuts = starts.select("h", "unit", "n", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), size - F.col("start")))).alias("m"))
+    cuts = cuts.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("m")))
+    end = F.col("start") + F.col("m")
+    if pieces.merges:
+        edge = F.col("code") + F.shiftleft(F.col("start").cast("long"), ID_BITS + AT_BITS) + F.shiftleft(end.cast("long"), ID_BITS)
+    else:
+        edge = F.struct((end * PLACE + F.col("start")).alias("at"), "id", "score")
     edges = (
         cuts.join(F.broadcast(table), "piece", "left")
         # one row without a piece stays for each unit, so that one of unknown characters is kept
-        .filter(F.col("id").isNotNull() | (F.col("at") == PLACE))
-        .groupBy("unit", "n")
-        .agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", "id", "score"))).alias("edges"))
+        .filter(F.col("id").isNotNull() | (end == 1))
+        .groupBy("h", "unit", "n")
+        .agg(F.collect_list(F.when(F.col("id").isNotNull(), edge)).alias("edges"))
     )
-    found = edges.select("unit", "n", _viterbi(size, F.col("edges"), pieces.unknown_score).alias("path"))
+    path = _merged(size, F.col("edges")) if pieces.merges else _viterbi(size, F.col("edges"), pieces.unknown_score)
+    found = edges.select("unit", "n", path.alias("path"))
     byte_ids = F.array(*[F.lit(i) for i in pieces.bytes_])
 
     def spelled(x: Column) -> Column:
@@ -174,11 +260,105 @@ def segment(units: DataFrame, pieces: Pieces) -> DataFrame:
 
     plain = F.transform("path", lambda x: x["id"])
     full = F.flatten(F.transform("path", lambda x: F.when(x["id"] >= 0, F.array(x["id"])).otherwise(spelled(x))))
-    return found.select("unit", "n", F.when(F.exists("path", lambda x: x["id"] < 0), full).otherwise(plain).alias("ids"))
+    folded = found.select("unit", "n", F.when(F.exists("path", lambda x: x["id"] < 0), full).otherwise(plain).alias("ids"))
+    return folded.unionByName(_long_units(units.filter(F.length("unit") > FOLDED), pieces))
 
 
-def _frequent(known: DataFrame, most: int) -> list[bytes]:
-    """The ids of the most frequent units, at most ``most``, packed in the tasks: little reaches the driver.
+def _long_units(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """The same for units over ``FOLDED`` characters, in space that is linear in the unit."""
+    shared = units.sparkSession.sparkContext.broadcast(pieces)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                find = find or finder(shared.value)
+                unit = batch.column(0)[k].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([unit]), batch.column(1).slice(k, 1), pa.array([find(unit)], pa.list_(pa.int32()))], ["unit", "n", "ids"])
+
+    return units.select("unit", "n").mapInArrow(run, "unit string, n long, ids array<int>")
+
+
+def finder(pieces: Pieces):
+    """A function from a unit to its ids."""
+    table = {p: (i, s, r) for p, i, s, r in pieces.ranked()}
+    longest, unknown = pieces.longest, pieces.unknown_score
+
+    def spelled(found: Iterable[str]) -> list[int]:
+        return [i for p in found for i in ((table[p][0],) if p in table else (pieces.bytes_[b] for b in p.encode()))]
+
+    def viterbi(unit: str) -> list[int]:
+        best, came = [0.0], [0]
+        for end in range(1, len(unit) + 1):
+            options = [(best[start] + table[unit[start:end]][1], start) for start in range(max(0, end - longest), end) if unit[start:end] in table]
+            if unit[end - 1] not in table:
+                options.append((best[end - 1] + unknown, end - 1))
+            score, start = max(options)
+            best.append(score)
+            came.append(start)
+        cuts = [len(unit)]
+        while cuts[-1]:
+            cuts.append(came[cuts[-1]])
+        cuts.reverse()
+        return spelled(unit[a:b] for a, b in zip(cuts, cuts[1:]))
+
+    def merged(unit: str) -> list[int]:
+        n = len(unit)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of each open cut the next and the last one
+        waiting: list[tuple[int, int, int, int]] = []
+
+        def offer(start: int, middle: int) -> None:
+            end = after[middle]
+            if end - start <= longest and (found := table.get(unit[start:end])):
+                heapq.heappush(waiting, (found[2], start, middle, end))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        closed = bytearray(n + 1)
+        while waiting:
+            _, start, middle, end = heapq.heappop(waiting)
+            if closed[start] or closed[middle] or after[start] != middle or after[middle] != end:
+                continue
+            closed[middle] = 1
+            after[start] = end
+            if end < n:
+                before[end] = start
+                offer(start, end)
+            if before[start] >= 0:
+                offer(before[start], start)
+        cuts = [i for i in range(n) if not closed[i]] + [n]
+        return spelled(unit[a:b] for a, b in zip(cuts, cuts[1:]))
+
+    return merged if pieces.merges else viterbi
+
+
+def distinct_units(docs: DataFrame, pieces: Pieces, text_col: str) -> DataFrame:
+    """unit, n: the distinct units of all texts and how often each occurs."""
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)
+
+    def cut(counts: Counter[str]) -> pa.RecordBatch:
+        units = shared.value.units
+        out: Counter[str] = Counter()
+        for word, n in counts.items():
+            for unit in units(word):
+                out[unit] += n
+        return pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.string()), pa.array(out.values(), pa.int64())], ["unit", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                counts.update(words_of(text.as_py() or ""))
+                if len(counts) > WORDS_HELD:
+                    yield cut(counts)
+                    counts.clear()
+        yield cut(counts)
+
+    return docs.select(text_col).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+
+
+def _frequent(known: DataFrame, most: int) -> list[pa.Buffer]:
+    """unit, ids of the most frequent units, at most ``most``, as Arrow streams written in the tasks.
 
     The units with a count above a level are taken; there are far fewer counts than units.
     """
@@ -189,77 +369,97 @@ def _frequent(known: DataFrame, most: int) -> list[bytes]:
         return []
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = {}
         for batch in batches:
-            part.update(zip(batch.column(0).to_pylist(), map(tuple, batch.column(1).to_pylist())))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(part)], pa.binary())], ["part"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part"])
+
+    return [bytes(r["part"]) for r in known.filter(F.col("n") >= level).select("unit", "ids").mapInArrow(pack, "part binary").collect()]
+
 
-    return [r["part"] for r in known.filter(F.col("n") >= level).select("unit", "ids").mapInArrow(pack, "part binary").collect()]
+def _unpacked(parts: list[bytes]) -> dict[str, bytes]:
+    """The ids of each frequent unit as the bytes of its 32-bit numbers."""
+    out = {}
+    for part in parts:
+        for batch in pa.ipc.open_stream(part):
+            ids = batch.column(1)
+            flat, at = ids.flatten().to_numpy().astype("<i4").tobytes(), (np.asarray(ids.offsets) - ids.offsets[0].as_py()) * 4
+            out |= {u: flat[a:b] for u, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist())}
+    return out
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
-    """Few rows at a time, so that the ids of a batch are never all Python objects at once."""
+    """Few rows at a time, so that what is made of a batch is never all in memory at once."""
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
 
 
-def _unpacked(parts: list[bytes]) -> dict[str, tuple[int, ...]]:
-    return {unit: ids for part in parts for unit, ids in pickle.loads(part).items()}
-
-
 def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_col: str = "ids", cached: int = CACHED) -> DataFrame:
     """``docs`` plus ``ids_col``: the piece ids of its whole texts."""
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     key_a, key_b, rare_col = free_name(docs, "key_a", "key_b", "rare")
-    units = docs.filter(F.col(text_col).isNotNull()).select(F.explode(_units(F.col(text_col))).alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
-    known = written(segment(units, pieces), "units")
-    common = spark.sparkContext.broadcast(_frequent(known, cached))
-    if known.count() <= cached:  # all units are common
-        joined = docs.withColumn(rare_col, F.lit(None).cast("array<struct<unit:string,ids:array<int>>>"))
-    else:
-        # two hashes of the whole row's content stand for a text; equal rows share their ids anyway
-        keyed = docs.withColumn(key_a, F.xxhash64(*docs.columns)).withColumn(key_b, F.xxhash64(F.lit(1), *docs.columns))
-
-        def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            have = _unpacked(common.value)
-            for batch in batches:
-                a, b, out = [], [], []
-                for x, y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                    mine = set(_UNIT.findall(normalise(text.as_py() or ""))) - have.keys()
-                    a += [x] * len(mine)
-                    b += [y] * len(mine)
-                    out += mine
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(out, pa.string())], ["a", "b", "unit"])
-
-        of_text = (
-            keyed.select(key_a, key_b, text_col)
-            .mapInArrow(rare, "a long, b long, unit string")
-            .join(known.select("unit", "ids"), "unit")
-            .groupBy(F.col("a").alias(key_a), F.col("b").alias(key_b))
-            .agg(F.collect_set(F.struct("unit", "ids")).alias(rare_col))
-        )
-        joined = keyed.join(of_text, [key_a, key_b], "left").drop(key_a, key_b)
+    known = written(segment(distinct_units(docs, pieces, text_col), pieces), "units")
+    common, shared = context.broadcast(_frequent(known, cached)), context.broadcast(pieces)
+    # two hashes of a row's content stand for it (types without a hash aside); equal rows share their units anyway
+    hashed = [F.col(f"`{f.name.replace('`', '``')}`") for f in docs.schema if not re.search("map<|variant", f.dataType.simpleString())]
+    keyed = docs.withColumn(key_a, F.xxhash64(*hashed)).withColumn(key_b, F.xxhash64(F.lit(1), *hashed))
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have, units = _unpacked(common.value), shared.value.units
+        rare_of: dict[str, tuple[str, ...]] = {}
+        for batch in _slices(batches, 512):
+            row, out = [], []
+            for k, text in enumerate(batch.column(2)):
+                mine: set[str] = set()
+                for word in set(words_of(text.as_py() or "")):
+                    if (found := rare_of.get(word)) is None:
+                        if len(rare_of) > WORDS_HELD:
+                            rare_of.clear()
+                        found = rare_of[word] = tuple(u for u in units(word) if u not in have)
+                    mine.update(found)
+                row += [k] * len(mine)
+                out += mine
+            at = pa.array(row, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(out, pa.string())], ["a", "b", "unit"])
+
+    of_text = (
+        keyed.select(key_a, key_b, text_col)
+        .mapInArrow(rare, "a long, b long, unit string")
+        .join(known.select("unit", "ids"), "unit")
+        .groupBy(F.col("a").alias(key_a), F.col("b").alias(key_b))
+        .agg(F.collect_set(F.struct("unit", "ids")).alias(rare_col))
+    )
+    joined = keyed.join(of_text, [key_a, key_b], "left").drop(key_a, key_b)
     kept = [f for f in docs.schema if f.name != ids_col]
     schema = T.StructType([*kept, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
     names = [f.name for f in kept]
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = _unpacked(common.value)
+        have, units = _unpacked(common.value), shared.value.units
+        done: dict[str, bytes | None] = {}
         for batch in _slices(batches):
-            out: list[list[int] | None] = []
+            sizes, flat = [0], []
             rare_at = batch.schema.get_field_index(rare_col)
-            for text, extra in zip(batch.column(batch.schema.get_field_index(text_col)), batch.column(rare_at)):
-                text = text.as_py()
-                if text is None:
-                    out.append(None)
-                    continue
-                more = {r["unit"]: r["ids"] for r in extra.as_py() or ()}
-                ids: list[int] = []
-                for unit in _UNIT.findall(normalise(text)):
-                    ids += have[unit] if unit in have else more[unit]
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(out, pa.list_(pa.int32()))], [*names, ids_col])
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            for text, extra in zip(texts, batch.column(rare_at)):
+                more = {r["unit"]: np.array(r["ids"], "<i4").tobytes() for r in extra.as_py() or ()}
+                out = []
+                for word in words_of(text.as_py() or ""):
+                    if word not in done:
+                        if len(done) > WORDS_HELD:
+                            done.clear()
+                        mine = units(word)
+                        # a word with a rare unit is put together in each text anew
+                        done[word] = b"".join([have[u] for u in mine]) if all(u in have for u in mine) else None
+                    if (ids := done[word]) is None:
+                        ids = b"".join([have[u] if u in have else more[u] for u in units(word)])
+                    out.append(ids)
+                flat.append(b"".join(out))
+                sizes.append(sizes[-1] + len(flat[-1]) // 4)
+            found = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.frombuffer(b"".join(flat), "<i4"), pa.int32()), mask=texts.is_null())
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), found], [*names, ids_col])
 
     return joined.mapInArrow(put_together, schema)
 

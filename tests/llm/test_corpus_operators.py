@@ -1,7 +1,6 @@
 """Language ID, SimHash, decontamination, piece ids and the pipeline against brute force."""
 
 import itertools
-import os
 import random
 import re
 from collections import defaultdict
@@ -11,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quantloom.llm import decontaminate as D
-from quantloom.llm import langid, pieces
+from quantloom.llm import langid
 from quantloom.llm import queries as Q
 from quantloom.llm.simhash import components, links, near_duplicates
 
@@ -155,52 +154,6 @@ def test_decontamination_odd(spark, odd_docs):
     assert D.find_leaks(odd_docs.limit(0), items).count() == 0 == D.find_leaks(odd_docs, items.limit(0)).count()
 
 
-# piece ids
-
-
-@pytest.fixture(scope="module")
-def table():
-    if not os.path.exists(Q.PIECES):
-        pytest.skip("no piece table")
-    return pieces.Pieces.load(Q.PIECES)
-
-
-def _best(unit, table):
-    score = {p: (s, i) for p, i, s in table.rows}
-    best = [(0.0, [])] + [None] * len(unit)
-    for end in range(1, len(unit) + 1):
-        options = []
-        for start in range(max(0, end - table.longest), end):
-            if unit[start:end] in score:
-                s, i = score[unit[start:end]]
-                options.append((best[start][0] + s, start, best[start][1] + [i]))
-        if unit[end - 1] not in score:
-            options.append((best[end - 1][0] + table.unknown_score, end - 1, best[end - 1][1] + [table.bytes_[b] for b in unit[end - 1].encode()]))
-        s, _, ids = max(options, key=lambda o: (o[0], o[1]))
-        best[end] = (s, ids)
-    return best[-1][1]
-
-
-def test_segments_are_best(spark, table):
-    rng = random.Random(6)
-    units = {"".join(rng.choices("▁theanois😀é\r;ɸ", k=rng.randint(1, 12))) for _ in range(150)} | {"▁the", "\n", "▁", "😀"}
-    units = {u for u in units if pieces._UNIT.fullmatch(u)}
-    found = pieces.segment(spark.createDataFrame([(u, 1) for u in units], "unit string, n long"), table).collect()
-    assert {r["unit"]: r["ids"] for r in found} == {u: _best(u, table) for u in units}
-
-
-@pytest.mark.parametrize("cached", [1 << 17, 3])
-def test_round_trip(spark, odd_docs, table, cached):
-    done = pieces.decode(pieces.encode(odd_docs, table, cached=cached), table)
-    assert done.columns == [*odd_docs.columns, "ids", "decoded"]
-    rows = done.collect()
-    assert len(rows) == odd_docs.count()
-    for r in rows:
-        assert r["decoded"] == (None if r["text"] is None else r["text"].replace("▁", " "))
-        if len(r["text"] or "") <= 1000 and r["text"] is not None:
-            assert r["ids"] == [i for u in pieces._UNIT.findall(pieces.normalise(r["text"])) for i in _best(u, table)]
-
-
 # pipeline
 
 
