@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,10 +29,10 @@ def describe(df: DataFrame, value: str, *by: str) -> DataFrame:
 def quintiles(df: DataFrame, feature: str, outcome: str, order: str) -> DataFrame:
     """Mean outcome in fifths of the sorted feature; the last fifth takes what is left over."""
     x = df.filter(F.col(feature).isNotNull() & F.col(outcome).isNotNull())
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    r = F.row_number().over(Window.orderBy(feature, order)) - 1
+    n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
+    r = F.row_number().over(Window.partitionBy("symbol").orderBy(feature, order)) - 1
     q = F.least(F.floor(F.try_divide(r, F.greatest(F.floor(n / 5), F.lit(1)))), F.lit(4)) + 1
-    return x.withColumn("quintile", q.cast("int")).groupBy("quintile").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(outcome), 6).alias("mean"), F.min(feature).alias("low"), F.max(feature).alias("high"))
+    return x.withColumn("quintile", q.cast("int")).groupBy("symbol", "quintile").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(outcome), 6).alias("mean"), F.min(feature).alias("low"), F.max(feature).alias("high"))
 
 
 def adjust(df: DataFrame, p: str, name: str) -> DataFrame:
@@ -50,7 +52,7 @@ def ols(df: DataFrame, y: str, x: str, *by: str) -> DataFrame:
 
 def signals(daily: DataFrame, ret: str = "ret") -> DataFrame:
     """One row for each signal a day gives, with the return in the signal's direction."""
-    w = Window.orderBy("d")  # one row a day
+    w = Window.partitionBy("symbol").orderBy("d")
     net, before = F.col("net_c"), F.lag("net_c").over(w)
     x = daily.withColumn("before", before).withColumn("change", net - before).withColumn("up", F.col("spot") - F.lag("spot").over(w))
     x = x.withColumn("accel", F.col("change") - F.lag("change").over(w)).filter(F.col(ret).isNotNull())
@@ -63,22 +65,22 @@ def signals(daily: DataFrame, ret: str = "ret") -> DataFrame:
         ("bullish_divergence", (F.col("up") <= 0) & (F.col("change") > 0), r),
     ]
     found = F.explode(F.array_compact(F.array(*(F.when(when, F.struct(F.lit(name).alias("signal"), value.alias("value"))) for name, when, value in rules))))
-    return x.select("d", found.alias("s")).select("d", "s.signal", "s.value")
+    return x.select("symbol", "d", found.alias("s")).select("symbol", "d", "s.signal", "s.value")
 
 
 def walk_forward(daily: DataFrame, share: float = 0.7) -> DataFrame:
     """Mean return by regime in the first ``share`` of days and in the rest."""
-    n, r = F.count(F.lit(1)).over(Window.partitionBy()), F.row_number().over(Window.orderBy("d"))
+    n, r = F.count(F.lit(1)).over(Window.partitionBy("symbol")), F.row_number().over(Window.partitionBy("symbol").orderBy("d"))
     part = F.when(r <= F.floor(n * share), "train").otherwise("test")
     x = daily.withColumn("part", part).withColumn("regime", regime(F.col("net_c"))).filter("ret is not null")
-    return x.groupBy("part", "regime").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ret"), 4).alias("mean"), F.round(F.avg((F.col("ret") > 0).cast("int")) * 100, 2).alias("win_pct"))
+    return x.groupBy("symbol", "part", "regime").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ret"), 4).alias("mean"), F.round(F.avg((F.col("ret") > 0).cast("int")) * 100, 2).alias("win_pct"))
 
 
-def robustness(df: DataFrame, value: str, by: str, trim: float = 0.05) -> DataFrame:
+def robustness(df: DataFrame, value: str, by: Sequence[str], trim: float = 0.05) -> DataFrame:
     """Mean with and without the extreme ``trim`` of each tail; ROBUST if both are large and agree in sign."""
-    n, r = F.count(F.lit(1)).over(Window.partitionBy(by)), F.row_number().over(Window.partitionBy(by).orderBy(value, "d"))
+    n, r = F.count(F.lit(1)).over(Window.partitionBy(*by)), F.row_number().over(Window.partitionBy(*by).orderBy(value, "d"))
     cut = F.greatest(F.floor(F.lit(trim) * n), F.lit(1))
     inner = F.when((r > cut) & (r <= n - cut), F.col(value))
-    x = df.withColumn("_inner", inner).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"), F.avg("_inner").alias("t"))
+    x = df.withColumn("_inner", inner).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"), F.avg("_inner").alias("t"))
     robust = (F.col("n") >= 30) & (F.abs("m") > 0.001) & (F.signum("m") == F.signum("t"))
-    return x.select(by, "n", F.round("m", 4).alias("mean"), F.round("t", 4).alias("trimmed"), F.coalesce(robust, F.lit(False)).alias("robust"))
+    return x.select(*by, "n", F.round("m", 4).alias("mean"), F.round("t", 4).alias("trimmed"), F.coalesce(robust, F.lit(False)).alias("robust"))

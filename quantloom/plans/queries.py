@@ -19,18 +19,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 # The views of sources.adapters, in SQL.
-CHAIN = """chain AS (SELECT CAST(l_shipdate AS DATE) AS d, CAST(CAST(l_shipdate AS DATE) + CAST(7 * (1 + l_partkey % 3) AS INTEGER) AS DATE) AS expiry,
+CHAIN = """chain AS (SELECT 'S' || l_partkey % 3 AS symbol, CAST(l_shipdate AS DATE) AS d, CAST(CAST(l_shipdate AS DATE) + CAST(7 * (1 + l_orderkey % 3) AS INTEGER) AS DATE) AS expiry,
   CAST(1000 + 50 * (l_suppkey % 20) AS BIGINT) AS strike, CASE l_returnflag WHEN 'A' THEN 'CE' WHEN 'R' THEN 'PE' ELSE 'XX' END AS option_type,
   CAST(round(l_discount * 100) AS BIGINT) AS gamma_c, CAST(l_quantity AS BIGINT) - 1 AS oi,
   CAST(1475 + 5 * ((7 * year(l_shipdate) + 3 * month(l_shipdate) + day(l_shipdate)) % 41 - 20) AS BIGINT) AS spot FROM lineitem)"""
 GEX = CHAIN + """, reasoned AS (SELECT *, CASE WHEN option_type NOT IN ('CE', 'PE') THEN 'INVALID_TYPE' WHEN spot <= 0 THEN 'INVALID_SPOT' WHEN strike <= 0 THEN 'INVALID_STRIKE'
   WHEN gamma_c IS NULL OR gamma_c < 0 THEN 'INVALID_GAMMA' WHEN oi IS NULL THEN 'MISSING_OI' WHEN oi <= 0 THEN 'ZERO_OI' END AS reason FROM chain),
 gex AS (SELECT *, (CASE WHEN option_type = 'CE' THEN 1 ELSE -1 END) * gamma_c * oi * spot * spot AS g FROM reasoned WHERE reason IS NULL)"""
-STRIKES = GEX + """, strikes AS (SELECT d, strike, spot, CAST(sum(oi) AS BIGINT) AS oi, CAST(sum(g) FILTER (option_type = 'CE') AS BIGINT) AS call_c, CAST(sum(g) FILTER (option_type = 'PE') AS BIGINT) AS put_c,
-  CAST(sum(g) AS BIGINT) AS net_c FROM gex GROUP BY d, strike, spot)"""
-DAILY = GEX + """, daily AS (SELECT d, spot, CAST(sum(g) AS BIGINT) AS net_c, CAST(coalesce(sum(g) FILTER (option_type = 'CE'), 0) AS BIGINT) AS call_c, CAST(coalesce(sum(g) FILTER (option_type = 'PE'), 0) AS BIGINT) AS put_c,
-  CAST(sum(abs(g)) AS BIGINT) AS gross_c, count(*) AS n_rows, count(DISTINCT strike) AS strikes FROM gex GROUP BY d, spot)"""
-FORWARD = DAILY + """, fwd AS (SELECT *, round((lead(spot, 5) OVER (ORDER BY d) - spot) * 100.0 / spot, 4) AS ret FROM daily)"""
+STRIKES = GEX + """, strikes AS (SELECT symbol, d, strike, spot, CAST(sum(oi) AS BIGINT) AS oi, CAST(sum(g) FILTER (option_type = 'CE') AS BIGINT) AS call_c, CAST(sum(g) FILTER (option_type = 'PE') AS BIGINT) AS put_c,
+  CAST(sum(g) AS BIGINT) AS net_c FROM gex GROUP BY symbol, d, strike, spot)"""
+DAILY = GEX + """, daily AS (SELECT symbol, d, spot, CAST(sum(g) AS BIGINT) AS net_c, CAST(coalesce(sum(g) FILTER (option_type = 'CE'), 0) AS BIGINT) AS call_c, CAST(coalesce(sum(g) FILTER (option_type = 'PE'), 0) AS BIGINT) AS put_c,
+  CAST(sum(abs(g)) AS BIGINT) AS gross_c, count(*) AS n_rows, count(DISTINCT strike) AS strikes FROM gex GROUP BY symbol, d, spot)"""
+FORWARD = DAILY + """, fwd AS (SELECT *, round((lead(spot, 5) OVER (PARTITION BY symbol ORDER BY d) - spot) * 100.0 / spot, 4) AS ret FROM daily)"""
 BARS = """bars AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS open_time, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS volume
   FROM events WHERE value IS NOT NULL GROUP BY ALL)"""
 TRADES = """trades AS (SELECT o_orderkey AS execution_id, o_custkey AS user_id, o_orderpriority AS strategy, CAST(o_orderdate AS DATE) AS exit_date, CAST(round(o_totalprice * 100) AS BIGINT) - 25000000 AS pnl_c FROM orders WHERE o_orderstatus = 'F')"""
@@ -75,79 +75,79 @@ def gex_eligibility_breakdown(s, d):
     return G.exclusions(S.chain(s, d))
 
 
-@query(STRIKES + """ SELECT d, strike, spot, oi, CAST(row_number() OVER (PARTITION BY d ORDER BY abs(net_c) DESC, strike) AS INTEGER) AS rank, call_c * 1e-4::DOUBLE AS call_gex, put_c * 1e-4::DOUBLE AS put_gex, net_c * 1e-4::DOUBLE AS net,
+@query(STRIKES + """ SELECT symbol, d, strike, spot, oi, CAST(row_number() OVER (PARTITION BY symbol, d ORDER BY abs(net_c) DESC, strike) AS INTEGER) AS rank, call_c * 1e-4::DOUBLE AS call_gex, put_c * 1e-4::DOUBLE AS put_gex, net_c * 1e-4::DOUBLE AS net,
   CASE WHEN call_c IS NOT NULL AND put_c IS NOT NULL THEN net_c ELSE 0 END * 1e-4::DOUBLE AS net_both, CASE WHEN call_c IS NOT NULL AND put_c IS NOT NULL THEN net_c END * 1e-4::DOUBLE AS net_strict, net_c FROM strikes""")
 def gex_strike_totals(s, d):
     return _strikes(s, d)
 
 
-@query(DAILY + """ SELECT d, spot, n_rows, strikes, net_c, call_c * 1e-4::DOUBLE AS call_gex, put_c * 1e-4::DOUBLE AS put_gex, net_c * 1e-4::DOUBLE AS net_gex, abs(net_c) * 1e-4::DOUBLE AS abs_net_gex, gross_c * 1e-4::DOUBLE AS gross_gex,
+@query(DAILY + """ SELECT symbol, d, spot, n_rows, strikes, net_c, call_c * 1e-4::DOUBLE AS call_gex, put_c * 1e-4::DOUBLE AS put_gex, net_c * 1e-4::DOUBLE AS net_gex, abs(net_c) * 1e-4::DOUBLE AS abs_net_gex, gross_c * 1e-4::DOUBLE AS gross_gex,
   greatest(net_c, 0) * 1e-4::DOUBLE AS positive_gex, least(net_c, 0) * 1e-4::DOUBLE AS negative_gex FROM daily""")
 def gex_timestamp_totals(s, d):
     return _daily(s, d)
 
 
-@query(GEX + """, e AS (SELECT d, expiry, CAST(sum(g) AS BIGINT) AS net_c, count(DISTINCT strike) AS strikes FROM gex GROUP BY d, expiry)
-SELECT d, expiry, strikes, net_c * 1e-4::DOUBLE AS net_gex, round(abs(net_c) * 100.0::DOUBLE / nullif(CAST(sum(abs(net_c)) OVER (PARTITION BY d) AS DOUBLE), 0), 6) AS concentration_pct FROM e""")
+@query(GEX + """, e AS (SELECT symbol, d, expiry, CAST(sum(g) AS BIGINT) AS net_c, count(DISTINCT strike) AS strikes FROM gex GROUP BY symbol, d, expiry)
+SELECT symbol, d, expiry, strikes, net_c * 1e-4::DOUBLE AS net_gex, round(abs(net_c) * 100.0::DOUBLE / nullif(CAST(sum(abs(net_c)) OVER (PARTITION BY symbol, d) AS DOUBLE), 0), 6) AS concentration_pct FROM e""")
 def gex_expiry_totals(s, d):
     return G.expiry_totals(S.chain(s, d))
 
 
-@query(DAILY + """, b AS (SELECT d, net_c, nullif(lag(net_c) OVER (ORDER BY d), 0) AS before_c FROM daily), c AS (SELECT *, net_c - before_c AS change_c FROM b)
-SELECT d, net_c * 1e-4::DOUBLE AS net_gex, change_c * 1e-4::DOUBLE AS gex_change, round(change_c * 100.0::DOUBLE / abs(before_c), 6) AS change_pct, (change_c - lag(change_c) OVER (ORDER BY d)) * 1e-4::DOUBLE AS acceleration FROM c""")
+@query(DAILY + """, b AS (SELECT symbol, d, net_c, nullif(lag(net_c) OVER (PARTITION BY symbol ORDER BY d), 0) AS before_c FROM daily), c AS (SELECT *, net_c - before_c AS change_c FROM b)
+SELECT symbol, d, net_c * 1e-4::DOUBLE AS net_gex, change_c * 1e-4::DOUBLE AS gex_change, round(change_c * 100.0::DOUBLE / abs(before_c), 6) AS change_pct, (change_c - lag(change_c) OVER (PARTITION BY symbol ORDER BY d)) * 1e-4::DOUBLE AS acceleration FROM c""")
 def gex_change_accel(s, d):
     return G.change(_daily(s, d))
 
 
-@query(DAILY + """, r AS (SELECT d, CASE WHEN net_c > 0 THEN 'POSITIVE' WHEN net_c < 0 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS regime FROM daily), p AS (SELECT *, lag(regime) OVER (ORDER BY d) AS previous FROM r),
-q AS (SELECT *, sum(CASE WHEN previous IS NOT DISTINCT FROM regime THEN 0 ELSE 1 END) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING) AS run FROM p)
-SELECT d, regime, previous, CASE WHEN previous <> regime THEN previous || '->' || regime END AS transition, CAST(row_number() OVER (PARTITION BY run ORDER BY d) AS INTEGER) AS run_length FROM q""")
+@query(DAILY + """, r AS (SELECT symbol, d, CASE WHEN net_c > 0 THEN 'POSITIVE' WHEN net_c < 0 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS regime FROM daily), p AS (SELECT *, lag(regime) OVER (PARTITION BY symbol ORDER BY d) AS previous FROM r),
+q AS (SELECT *, sum(CASE WHEN previous IS NOT DISTINCT FROM regime THEN 0 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY d ROWS UNBOUNDED PRECEDING) AS run FROM p)
+SELECT symbol, d, regime, previous, CASE WHEN previous <> regime THEN previous || '->' || regime END AS transition, CAST(row_number() OVER (PARTITION BY symbol, run ORDER BY d) AS INTEGER) AS run_length FROM q""")
 def gex_regime_runs(s, d):
     return G.regime_runs(_daily(s, d))
 
 
-@query(DAILY + """, l AS (SELECT list_sort(list(net_c)) AS a FROM daily), v AS (SELECT a[1 + CAST(floor(0.25 * (len(a) - 1)) AS INTEGER)] AS p25, a[1 + CAST(floor(0.5 * (len(a) - 1)) AS INTEGER)] AS p50, a[1 + CAST(floor(0.75 * (len(a) - 1)) AS INTEGER)] AS p75 FROM l)
-SELECT d, CASE WHEN net_c > 0 THEN 'POSITIVE' WHEN net_c < 0 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS regime,
-  CASE WHEN abs(net_c) <= 0.1 * abs(p50) THEN 'FLIP_ZONE' WHEN net_c > 0 AND net_c >= p75 THEN 'STRONG_POSITIVE' WHEN net_c > 0 THEN 'POSITIVE' WHEN net_c <= p25 THEN 'STRONG_NEGATIVE' ELSE 'NEGATIVE' END AS detail FROM daily, v""")
+@query(DAILY + """, l AS (SELECT symbol, list_sort(list(net_c)) AS a FROM daily GROUP BY symbol), v AS (SELECT symbol, a[1 + CAST(floor(0.25 * (len(a) - 1)) AS INTEGER)] AS p25, a[1 + CAST(floor(0.5 * (len(a) - 1)) AS INTEGER)] AS p50, a[1 + CAST(floor(0.75 * (len(a) - 1)) AS INTEGER)] AS p75 FROM l)
+SELECT symbol, d, CASE WHEN net_c > 0 THEN 'POSITIVE' WHEN net_c < 0 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS regime,
+  CASE WHEN abs(net_c) <= 0.1 * abs(p50) THEN 'FLIP_ZONE' WHEN net_c > 0 AND net_c >= p75 THEN 'STRONG_POSITIVE' WHEN net_c > 0 THEN 'POSITIVE' WHEN net_c <= p25 THEN 'STRONG_NEGATIVE' ELSE 'NEGATIVE' END AS detail FROM daily JOIN v USING (symbol)""")
 def gex_percentile_regimes(s, d):
     return G.percentile_regimes(_daily(s, d))
 
 
-@query(STRIKES + """, n AS (SELECT d, spot, strike, CAST(net_c AS DOUBLE) AS a, lead(strike) OVER w AS k2, CAST(lead(net_c) OVER w AS DOUBLE) AS b FROM strikes WINDOW w AS (PARTITION BY d ORDER BY strike)),
+@query(STRIKES + """, n AS (SELECT symbol, d, spot, strike, CAST(net_c AS DOUBLE) AS a, lead(strike) OVER w AS k2, CAST(lead(net_c) OVER w AS DOUBLE) AS b FROM strikes WINDOW w AS (PARTITION BY symbol, d ORDER BY strike)),
 x AS (SELECT *, b IS NOT NULL AND (a * b < 0 OR a = 0) AS ok FROM n),
 y AS (SELECT *, CASE WHEN NOT ok THEN NULL WHEN a = 0 THEN CAST(strike AS DOUBLE) ELSE strike + (k2 - strike) * (abs(a) / (abs(a) + abs(b))) END AS level, CASE WHEN NOT ok THEN NULL WHEN a = 0 THEN 1.0 ELSE 1 - least(abs(a), abs(b)) / greatest(abs(a), abs(b)) END AS sure FROM x),
-z AS (SELECT d, spot, count(*) AS strikes, count(level) AS crossings, arg_min(level, (abs(level - spot), level)) FILTER (level IS NOT NULL) AS flip, arg_min(sure, (abs(level - spot), level)) FILTER (level IS NOT NULL) AS sure FROM y GROUP BY d, spot)
-SELECT d, spot, crossings, CASE WHEN strikes < 2 THEN 'INSUFFICIENT_DATA' WHEN crossings = 0 THEN 'NO_CROSSING' ELSE 'FOUND' END AS status, round(flip, 6) AS flip, round(flip - spot, 6) AS distance, round(sure, 6) AS confidence FROM z""")
+z AS (SELECT symbol, d, spot, count(*) AS strikes, count(level) AS crossings, count(*) FILTER (level IS NOT NULL AND a = 0) AS exact, arg_min(level, (abs(level - spot), level)) FILTER (level IS NOT NULL) AS flip, arg_min(sure, (abs(level - spot), level)) FILTER (level IS NOT NULL) AS sure FROM y GROUP BY symbol, d, spot)
+SELECT symbol, d, spot, crossings, CASE WHEN strikes < 2 THEN 'INSUFFICIENT_DATA' WHEN crossings = 0 THEN 'NO_CROSSING' WHEN crossings = 1 AND exact = 1 THEN 'EXACT_ZERO' ELSE 'FOUND' END AS status, round(flip, 6) AS flip, round(flip - spot, 6) AS distance, round(sure, 6) AS confidence FROM z""")
 def gex_flip(s, d):
     return G.flips(_strikes(s, d))
 
 
-WALLS = STRIKES + """, w AS (SELECT *, CASE WHEN net_c > 0 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS side FROM strikes WHERE net_c <> 0), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY d, side ORDER BY abs(net_c) DESC, strike) AS INTEGER) AS rank FROM w)"""
+WALLS = STRIKES + """, w AS (SELECT *, CASE WHEN net_c > 0 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS side FROM strikes WHERE net_c <> 0), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY symbol, d, side ORDER BY abs(net_c) DESC, strike) AS INTEGER) AS rank FROM w)"""
 
 
-@query(WALLS + " SELECT d, side, rank, strike, net_c * 1e-4::DOUBLE AS net_gex, strike - spot AS distance, round((strike - spot) * 100.0::DOUBLE / spot, 6) AS distance_pct FROM ranked WHERE rank <= 3")
+@query(WALLS + " SELECT symbol, d, side, rank, strike, net_c * 1e-4::DOUBLE AS net_gex, strike - spot AS distance, round((strike - spot) * 100.0::DOUBLE / spot, 6) AS distance_pct FROM ranked WHERE rank <= 3")
 def gex_walls_top3(s, d):
     return G.walls(_strikes(s, d))
 
 
-@query(WALLS + """, f AS (SELECT d, max(strike) FILTER (side = 'POSITIVE') AS positive, max(strike) FILTER (side = 'NEGATIVE') AS negative FROM ranked WHERE rank = 1 GROUP BY d)
-SELECT *, positive - lag(positive) OVER (ORDER BY d) AS positive_move, negative - lag(negative) OVER (ORDER BY d) AS negative_move FROM f""")
+@query(WALLS + """, f AS (SELECT symbol, d, max(strike) FILTER (side = 'POSITIVE') AS positive, max(strike) FILTER (side = 'NEGATIVE') AS negative FROM ranked WHERE rank = 1 GROUP BY symbol, d)
+SELECT *, positive - lag(positive) OVER (PARTITION BY symbol ORDER BY d) AS positive_move, negative - lag(negative) OVER (PARTITION BY symbol ORDER BY d) AS negative_move FROM f""")
 def gex_wall_movement(s, d):
     return G.wall_moves(_strikes(s, d))
 
 
-@query(STRIKES + """, r AS (SELECT *, abs(net_c) AS size, row_number() OVER (PARTITION BY d ORDER BY abs(net_c) DESC, strike) AS rn FROM strikes),
-t AS (SELECT d, spot, CAST(sum(size) FILTER (rn <= 3) AS DOUBLE) AS t3, CAST(sum(size) FILTER (rn <= 5) AS DOUBLE) AS t5, CAST(sum(size) FILTER (rn <= 10) AS DOUBLE) AS t10, nullif(CAST(sum(size) AS DOUBLE), 0) AS total, CAST(sum(CAST(size AS HUGEINT) * strike) AS DOUBLE) AS moment FROM r GROUP BY d, spot),
-c AS (SELECT *, moment / total AS centre FROM t), s AS (SELECT *, centre - lag(centre) OVER (ORDER BY d) AS shift FROM c)
-SELECT d, round(t3 * 100 / total, 6) AS top3_pct, round(t5 * 100 / total, 6) AS top5_pct, round(t10 * 100 / total, 6) AS top10_pct, round(centre, 6) AS centroid,
+@query(STRIKES + """, r AS (SELECT *, abs(net_c) AS size, row_number() OVER (PARTITION BY symbol, d ORDER BY abs(net_c) DESC, strike) AS rn FROM strikes),
+t AS (SELECT symbol, d, spot, CAST(sum(size) FILTER (rn <= 3) AS DOUBLE) AS t3, CAST(sum(size) FILTER (rn <= 5) AS DOUBLE) AS t5, CAST(sum(size) FILTER (rn <= 10) AS DOUBLE) AS t10, nullif(CAST(sum(size) AS DOUBLE), 0) AS total, CAST(sum(CAST(size AS HUGEINT) * strike) AS DOUBLE) AS moment FROM r GROUP BY symbol, d, spot),
+c AS (SELECT *, moment / total AS centre FROM t), s AS (SELECT *, centre - lag(centre) OVER (PARTITION BY symbol ORDER BY d) AS shift FROM c)
+SELECT symbol, d, round(t3 * 100 / total, 6) AS top3_pct, round(t5 * 100 / total, 6) AS top5_pct, round(t10 * 100 / total, 6) AS top10_pct, round(centre, 6) AS centroid,
   CASE WHEN abs(shift) <= greatest(spot * 0.001::DOUBLE, 1) THEN 'STABLE' WHEN shift > 0 THEN 'UP' WHEN shift < 0 THEN 'DOWN' END AS migration FROM s""")
 def gex_concentration_centroid(s, d):
     return G.concentration(_strikes(s, d))
 
 
-@query(DAILY + """, x AS (SELECT d, net_c * 1e-4::DOUBLE AS net, abs(net_c * 1e-4::DOUBLE) AS size FROM daily), y AS (SELECT *, net - lag(net) OVER (ORDER BY d) AS delta, CAST(d - lag(d) OVER (ORDER BY d) AS DOUBLE) AS dt FROM x),
-z AS (SELECT *, avg(net) OVER w AS sma, count(delta) OVER w AS nd, stddev_pop(delta) OVER w AS dv, list(size) OVER w AS seen, avg(size) OVER w AS m, stddev_pop(size) OVER w AS sd FROM y WINDOW w AS (ORDER BY d ROWS 9 PRECEDING))
-SELECT d, round(sma, 6) AS sma, round(delta / dt, 8) AS velocity, round(CASE WHEN nd >= 2 THEN dv END, 2) AS delta_volatility,
+@query(DAILY + """, x AS (SELECT symbol, d, net_c * 1e-4::DOUBLE AS net, abs(net_c * 1e-4::DOUBLE) AS size FROM daily), y AS (SELECT *, net - lag(net) OVER (PARTITION BY symbol ORDER BY d) AS delta, CAST(d - lag(d) OVER (PARTITION BY symbol ORDER BY d) AS DOUBLE) AS dt FROM x),
+z AS (SELECT *, avg(net) OVER w AS sma, count(delta) OVER w AS nd, stddev_pop(delta) OVER w AS dv, list(size) OVER w AS seen, avg(size) OVER w AS m, stddev_pop(size) OVER w AS sd FROM y WINDOW w AS (PARTITION BY symbol ORDER BY d ROWS 9 PRECEDING))
+SELECT symbol, d, round(sma, 6) AS sma, round(delta / dt, 8) AS velocity, round(CASE WHEN nd >= 2 THEN dv END, 2) AS delta_volatility,
   CASE WHEN len(seen) >= 5 THEN round((len(list_filter(seen, lambda v: v < size)) + 0.5::DOUBLE * len(list_filter(seen, lambda v: v = size))) / len(seen) * 100, 6) END AS percentile, CASE WHEN len(seen) >= 5 AND sd > 0 THEN round((size - m) / sd, 4) END AS z FROM z""")
 def gex_rolling(s, d):
     return G.rolling(_daily(s, d))
@@ -213,23 +213,23 @@ def bars_upsert(s, d):
 # chain
 
 
-@query(CHAIN + """ SELECT d, CAST(sum(CASE WHEN option_type = 'CE' THEN oi ELSE 0 END) AS BIGINT) AS call_oi, CAST(sum(CASE WHEN option_type = 'PE' THEN oi ELSE 0 END) AS BIGINT) AS put_oi,
-  round(CAST(sum(CASE WHEN option_type = 'PE' THEN oi ELSE 0 END) AS DOUBLE) / nullif(CAST(sum(CASE WHEN option_type = 'CE' THEN oi ELSE 0 END) AS DOUBLE), 0), 6) AS pcr FROM chain GROUP BY d""")
+@query(CHAIN + """ SELECT symbol, d, CAST(sum(CASE WHEN option_type = 'CE' THEN oi ELSE 0 END) AS BIGINT) AS call_oi, CAST(sum(CASE WHEN option_type = 'PE' THEN oi ELSE 0 END) AS BIGINT) AS put_oi,
+  round(CAST(sum(CASE WHEN option_type = 'PE' THEN oi ELSE 0 END) AS DOUBLE) / nullif(CAST(sum(CASE WHEN option_type = 'CE' THEN oi ELSE 0 END) AS DOUBLE), 0), 6) AS pcr FROM chain GROUP BY symbol, d""")
 def put_call_ratio(s, d):
     return O.put_call_ratio(S.chain(s, d))
 
 
-@query(CHAIN + """, t AS (SELECT d, strike, sum(CASE WHEN option_type = 'CE' THEN oi ELSE 0 END) AS ce, sum(CASE WHEN option_type = 'PE' THEN oi ELSE 0 END) AS pe FROM chain WHERE option_type <> 'XX' GROUP BY d, strike),
-p AS (SELECT a.d, a.strike, CAST(sum(b.ce * greatest(a.strike - b.strike, 0) + b.pe * greatest(b.strike - a.strike, 0)) AS BIGINT) AS pain FROM t a JOIN t b ON a.d = b.d GROUP BY a.d, a.strike)
-SELECT d, arg_min(strike, (pain, strike)) AS max_pain, min(pain) AS pain FROM p GROUP BY d""")
+@query(CHAIN + """, t AS (SELECT symbol, d, strike, sum(CASE WHEN option_type = 'CE' THEN oi ELSE 0 END) AS ce, sum(CASE WHEN option_type = 'PE' THEN oi ELSE 0 END) AS pe FROM chain WHERE option_type <> 'XX' GROUP BY symbol, d, strike),
+p AS (SELECT a.symbol, a.d, a.strike, CAST(sum(b.ce * greatest(a.strike - b.strike, 0) + b.pe * greatest(b.strike - a.strike, 0)) AS BIGINT) AS pain FROM t a JOIN t b ON a.symbol = b.symbol AND a.d = b.d GROUP BY a.symbol, a.d, a.strike)
+SELECT symbol, d, arg_min(strike, (pain, strike)) AS max_pain, min(pain) AS pain FROM p GROUP BY symbol, d""")
 def max_pain(s, d):
     return O.max_pain(S.chain(s, d))
 
 
-@query(STRIKES + """, o AS (SELECT d, spot, sum(oi) AS oi FROM strikes GROUP BY d, spot), x AS (SELECT d, spot - lag(spot) OVER (ORDER BY d) AS p, oi - lag(oi) OVER (ORDER BY d) AS o FROM o)
-SELECT d, CASE WHEN p > 0 AND o > 0 THEN 'LONG_BUILDUP' WHEN p < 0 AND o > 0 THEN 'SHORT_BUILDUP' WHEN p > 0 AND o < 0 THEN 'SHORT_COVERING' WHEN p < 0 AND o < 0 THEN 'LONG_UNWINDING' ELSE 'NEUTRAL' END AS quadrant FROM x""")
+@query(STRIKES + """, o AS (SELECT symbol, d, spot, sum(oi) AS oi FROM strikes GROUP BY symbol, d, spot), x AS (SELECT symbol, d, spot - lag(spot) OVER (PARTITION BY symbol ORDER BY d) AS p, oi - lag(oi) OVER (PARTITION BY symbol ORDER BY d) AS o FROM o)
+SELECT symbol, d, CASE WHEN p > 0 AND o > 0 THEN 'LONG_BUILDUP' WHEN p < 0 AND o > 0 THEN 'SHORT_BUILDUP' WHEN p > 0 AND o < 0 THEN 'SHORT_COVERING' WHEN p < 0 AND o < 0 THEN 'LONG_UNWINDING' ELSE 'NEUTRAL' END AS quadrant FROM x""")
 def oi_quadrants(s, d):
-    return O.oi_quadrants(_strikes(s, d).groupBy("d", "spot").agg(F.sum("oi").alias("oi")))
+    return O.oi_quadrants(_strikes(s, d).groupBy("symbol", "d", "spot").agg(F.sum("oi").alias("oi")))
 
 
 @query(CHAIN + """ SELECT option_type, CASE WHEN oi IS NULL THEN 'NULL' WHEN oi = 0 THEN 'ZERO' WHEN oi < 0 THEN 'NEGATIVE' ELSE 'OK' END AS status, count(*) AS n, count(DISTINCT strike) AS strikes FROM chain GROUP BY ALL""")
@@ -237,7 +237,7 @@ def oi_status(s, d):
     return O.oi_status(S.chain(s, d))
 
 
-@query(CHAIN + """ SELECT d, expiry, strike, count(*) FILTER (option_type = 'CE') AS calls, count(*) FILTER (option_type = 'PE') AS puts FROM chain GROUP BY ALL HAVING calls > 0 AND puts > 0""")
+@query(CHAIN + """ SELECT symbol, d, expiry, strike, count(*) FILTER (option_type = 'CE') AS calls, count(*) FILTER (option_type = 'PE') AS puts FROM chain GROUP BY ALL HAVING calls > 0 AND puts > 0""")
 def ce_pe_pairs(s, d):
     return O.call_put_pairs(S.chain(s, d))
 
@@ -253,14 +253,14 @@ def missing_instruments(s, d):
     return known.join(S.table(s, d, "lineitem").select(F.col("l_suppkey").alias("instrument")), "instrument", "left_anti").groupBy("instrument").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(CHAIN + """, t AS (SELECT d, spot, list_sort(list(DISTINCT strike)) AS a, arg_min(strike, (abs(strike - spot), strike)) AS atm FROM chain GROUP BY d, spot)
-SELECT d, atm, a[greatest(list_position(a, atm) - 2, 1)] AS below, a[least(list_position(a, atm) + 2, len(a))] AS above FROM t""")
+@query(CHAIN + """, t AS (SELECT symbol, d, spot, list_sort(list(DISTINCT strike)) AS a, arg_min(strike, (abs(strike - spot), strike)) AS atm FROM chain GROUP BY symbol, d, spot)
+SELECT symbol, d, atm, a[greatest(list_position(a, atm) - 2, 1)] AS below, a[least(list_position(a, atm) + 2, len(a))] AS above FROM t""")
 def resolve_atm(s, d):
     return O.at_the_money(S.chain(s, d))
 
 
-@query(CHAIN + """, e AS (SELECT DISTINCT d, expiry FROM chain), x AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY expiry) AS n FROM e WHERE expiry >= d), m AS (SELECT date_trunc('month', expiry) AS m, max(expiry) AS monthly FROM e GROUP BY 1),
-y AS (SELECT d, max(expiry) FILTER (n = 1) AS current_week, max(expiry) FILTER (n = 2) AS next_week FROM x GROUP BY d) SELECT d, current_week, next_week, monthly FROM y LEFT JOIN m ON date_trunc('month', d) = m""")
+@query(CHAIN + """, e AS (SELECT DISTINCT symbol, d, expiry FROM chain), x AS (SELECT *, row_number() OVER (PARTITION BY symbol, d ORDER BY expiry) AS n FROM e WHERE expiry >= d), m AS (SELECT date_trunc('month', expiry) AS m, max(expiry) AS monthly FROM e GROUP BY 1),
+y AS (SELECT symbol, d, max(expiry) FILTER (n = 1) AS current_week, max(expiry) FILTER (n = 2) AS next_week FROM x GROUP BY symbol, d) SELECT symbol, d, current_week, next_week, monthly FROM y LEFT JOIN m ON date_trunc('month', d) = m""")
 def resolve_expiry(s, d):
     return O.expiries(S.chain(s, d))
 
@@ -326,13 +326,13 @@ DESCRIBE = """count(*) AS n, round(avg(ret), 4) AS mean, round(median(ret), 4) A
   list_sort(list(ret))[1 + CAST(least(floor(3 * count(*) / 4), count(*) - 1) AS INTEGER)] AS p75, min(ret) AS min, max(ret) AS max"""
 
 
-@query(FORWARD + f" SELECT CASE WHEN net_c > 0 THEN 'POSITIVE' WHEN net_c < 0 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS regime, {DESCRIBE} FROM fwd WHERE ret IS NOT NULL GROUP BY 1")
+@query(FORWARD + f" SELECT CASE WHEN net_c > 0 THEN 'POSITIVE' WHEN net_c < 0 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS regime, symbol, {DESCRIBE} FROM fwd WHERE ret IS NOT NULL GROUP BY ALL")
 def stats_by_regime(s, d):
-    return R.describe(_forward(s, d).withColumn("regime", G.regime(F.col("net_c"))), "ret", "regime")
+    return R.describe(_forward(s, d).withColumn("regime", G.regime(F.col("net_c"))), "ret", "symbol", "regime")
 
 
-@query(FORWARD + """, x AS (SELECT net_c, ret, row_number() OVER (ORDER BY net_c, d) - 1 AS r, count(*) OVER () AS n FROM fwd WHERE ret IS NOT NULL)
-SELECT CAST(least(floor(r / greatest(floor(n / 5), 1)), 4) + 1 AS INTEGER) AS quintile, count(*) AS n, round(avg(ret), 6) AS mean, min(net_c) AS low, max(net_c) AS high FROM x GROUP BY 1""")
+@query(FORWARD + """, x AS (SELECT net_c, ret, row_number() OVER (PARTITION BY symbol ORDER BY net_c, d) - 1 AS r, count(*) OVER (PARTITION BY symbol) AS n, symbol FROM fwd WHERE ret IS NOT NULL)
+SELECT CAST(least(floor(r / greatest(floor(n / 5), 1)), 4) + 1 AS INTEGER) AS quintile, symbol, count(*) AS n, round(avg(ret), 6) AS mean, min(net_c) AS low, max(net_c) AS high FROM x GROUP BY ALL""")
 def quintile_returns(s, d):
     return R.quintiles(_forward(s, d), "net_c", "ret", "d")
 
@@ -347,35 +347,35 @@ def multiple_testing(s, d):
     return R.adjust(tests, "p", "test")
 
 
-@query(FORWARD + """ SELECT CASE WHEN net_c > 0 THEN 'POSITIVE' WHEN net_c < 0 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS regime, regr_count(ret, x) AS n, nullif(round(regr_slope(ret, x), 8), 'nan'::DOUBLE) AS beta, round(regr_intercept(ret, x), 6) AS alpha, round(regr_r2(ret, x), 6) AS r2
-  FROM (SELECT *, net_c * 1e-10::DOUBLE AS x FROM fwd) GROUP BY 1""")
+@query(FORWARD + """ SELECT CASE WHEN net_c > 0 THEN 'POSITIVE' WHEN net_c < 0 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS regime, symbol, regr_count(ret, x) AS n, nullif(round(regr_slope(ret, x), 8), 'nan'::DOUBLE) AS beta, round(regr_intercept(ret, x), 6) AS alpha, round(regr_r2(ret, x), 6) AS r2
+  FROM (SELECT *, net_c * 1e-10::DOUBLE AS x FROM fwd) GROUP BY ALL""")
 def ols_by_regime(s, d):
-    return R.ols(_forward(s, d).withColumn("regime", G.regime(F.col("net_c"))).withColumn("x", F.col("net_c") * 1e-10), "ret", "x", "regime")
+    return R.ols(_forward(s, d).withColumn("regime", G.regime(F.col("net_c"))).withColumn("x", F.col("net_c") * 1e-10), "ret", "x", "symbol", "regime")
 
 
-SIGNALS = FORWARD + """, x AS (SELECT *, lag(net_c) OVER (ORDER BY d) AS before, net_c - lag(net_c) OVER (ORDER BY d) AS change, spot - lag(spot) OVER (ORDER BY d) AS up FROM fwd), y AS (SELECT *, change - lag(change) OVER (ORDER BY d) AS accel FROM x),
-signals AS (SELECT d, 'regime_shift' AS signal, ret AS value FROM y WHERE before < 0 AND net_c > 0 AND ret IS NOT NULL UNION ALL SELECT d, 'negative_expansion', abs(ret) FROM y WHERE net_c < 0 AND change < 0 AND ret IS NOT NULL
-UNION ALL SELECT d, 'acceleration', ret FROM y WHERE accel > 0 AND ret IS NOT NULL UNION ALL SELECT d, 'bearish_divergence', -ret FROM y WHERE up > 0 AND change <= 0 AND ret IS NOT NULL UNION ALL SELECT d, 'bullish_divergence', ret FROM y WHERE up <= 0 AND change > 0 AND ret IS NOT NULL)"""
+SIGNALS = FORWARD + """, x AS (SELECT *, lag(net_c) OVER (PARTITION BY symbol ORDER BY d) AS before, net_c - lag(net_c) OVER (PARTITION BY symbol ORDER BY d) AS change, spot - lag(spot) OVER (PARTITION BY symbol ORDER BY d) AS up FROM fwd), y AS (SELECT *, change - lag(change) OVER (PARTITION BY symbol ORDER BY d) AS accel FROM x),
+signals AS (SELECT symbol, d, 'regime_shift' AS signal, ret AS value FROM y WHERE before < 0 AND net_c > 0 AND ret IS NOT NULL UNION ALL SELECT symbol, d, 'negative_expansion', abs(ret) FROM y WHERE net_c < 0 AND change < 0 AND ret IS NOT NULL
+UNION ALL SELECT symbol, d, 'acceleration', ret FROM y WHERE accel > 0 AND ret IS NOT NULL UNION ALL SELECT symbol, d, 'bearish_divergence', -ret FROM y WHERE up > 0 AND change <= 0 AND ret IS NOT NULL UNION ALL SELECT symbol, d, 'bullish_divergence', ret FROM y WHERE up <= 0 AND change > 0 AND ret IS NOT NULL)"""
 
 
-@query(SIGNALS + " SELECT d, signal, value FROM signals")
+@query(SIGNALS + " SELECT symbol, d, signal, value FROM signals")
 def research_signals(s, d):
     return R.signals(_forward(s, d))
 
 
-@query(SIGNALS + f" SELECT signal, {DESCRIBE.replace('ret', 'value')} FROM signals GROUP BY signal")
+@query(SIGNALS + f" SELECT symbol, signal, {DESCRIBE.replace('ret', 'value')} FROM signals GROUP BY ALL")
 def signal_statistics(s, d):
-    return R.describe(R.signals(_forward(s, d)), "value", "signal")
+    return R.describe(R.signals(_forward(s, d)), "value", "symbol", "signal")
 
 
-@query(SIGNALS + """, r AS (SELECT *, count(*) OVER (PARTITION BY signal) AS c, row_number() OVER (PARTITION BY signal ORDER BY value, d) AS r FROM signals), t AS (SELECT signal, count(*) AS n, avg(value) AS m, avg(value) FILTER (r > greatest(floor(c * 0.05), 1) AND r <= c - greatest(floor(c * 0.05), 1)) AS t FROM r GROUP BY signal)
-SELECT signal, n, round(m, 4) AS mean, round(t, 4) AS trimmed, coalesce(n >= 30 AND abs(m) > 0.001 AND sign(m) = sign(t), false) AS robust FROM t""")
+@query(SIGNALS + """, r AS (SELECT *, count(*) OVER (PARTITION BY symbol, signal) AS c, row_number() OVER (PARTITION BY symbol, signal ORDER BY value, d) AS r FROM signals), t AS (SELECT symbol, signal, count(*) AS n, avg(value) AS m, avg(value) FILTER (r > greatest(floor(c * 0.05), 1) AND r <= c - greatest(floor(c * 0.05), 1)) AS t FROM r GROUP BY ALL)
+SELECT symbol, signal, n, round(m, 4) AS mean, round(t, 4) AS trimmed, coalesce(n >= 30 AND abs(m) > 0.001 AND sign(m) = sign(t), false) AS robust FROM t""")
 def signal_robustness(s, d):
-    return R.robustness(R.signals(_forward(s, d)), "value", "signal")
+    return R.robustness(R.signals(_forward(s, d)), "value", ["symbol", "signal"])
 
 
-@query(FORWARD + """, p AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY d) <= floor(count(*) OVER () * 0.7) THEN 'train' ELSE 'test' END AS part FROM fwd)
-SELECT part, CASE WHEN net_c > 0 THEN 'POSITIVE' WHEN net_c < 0 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS regime, count(*) AS n, round(avg(ret), 4) AS mean, round(avg(CASE WHEN ret > 0 THEN 1 ELSE 0 END) * 100, 2) AS win_pct FROM p WHERE ret IS NOT NULL GROUP BY ALL""")
+@query(FORWARD + """, p AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY d) <= floor(count(*) OVER (PARTITION BY symbol) * 0.7) THEN 'train' ELSE 'test' END AS part FROM fwd)
+SELECT symbol, part, CASE WHEN net_c > 0 THEN 'POSITIVE' WHEN net_c < 0 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS regime, count(*) AS n, round(avg(ret), 4) AS mean, round(avg(CASE WHEN ret > 0 THEN 1 ELSE 0 END) * 100, 2) AS win_pct FROM p WHERE ret IS NOT NULL GROUP BY ALL""")
 def walk_forward(s, d):
     return R.walk_forward(_forward(s, d))
 
@@ -391,22 +391,22 @@ def _cdf(x: str) -> str:
     return f"(CASE WHEN {x} = 0 THEN 0.5 WHEN {x} > 0 THEN 0.5 * (1 + {erf}) ELSE 0.5 * (1 - {erf}) END)"
 
 
-PRICED = CHAIN + """, o AS (SELECT DISTINCT d, expiry, strike, option_type, spot, CAST(expiry - d AS DOUBLE) / 365 AS t, 0.1::DOUBLE + 0.01::DOUBLE * (strike % 7) AS sigma FROM chain WHERE option_type <> 'XX')"""
+PRICED = CHAIN + """, o AS (SELECT DISTINCT symbol, d, expiry, strike, option_type, spot, CAST(expiry - d AS DOUBLE) / 365 AS t, 0.1::DOUBLE + 0.01::DOUBLE * (strike % 7) AS sigma FROM chain WHERE option_type <> 'XX')"""
 
 
 def _priced(s: SparkSession, d: str) -> DataFrame:
-    c = S.chain(s, d).filter("option_type <> 'XX'").select("d", "expiry", "strike", "option_type", "spot").distinct()
+    c = S.chain(s, d).filter("option_type <> 'XX'").select("symbol", "d", "expiry", "strike", "option_type", "spot").distinct()
     return c.withColumn("t", F.datediff("expiry", "d").cast("double") / 365).withColumn("sigma", 0.1 + 0.01 * (F.col("strike") % 7))
 
 
 @query(PRICED + f""", v AS (SELECT *, (ln(spot / strike) + (0.065::DOUBLE + sigma * sigma / 2) * t) / (sigma * sqrt(t)) AS d1, CASE option_type WHEN 'CE' THEN 1.0 ELSE -1.0 END::DOUBLE AS s FROM o), w AS (SELECT *, d1 - sigma * sqrt(t) AS d2, exp(-d1 * d1 / 2) / sqrt(2 * pi()) AS pdf, s * d1 AS sd1, s * (d1 - sigma * sqrt(t)) AS sd2 FROM v),
 n AS (SELECT *, {_cdf("d1")} AS n1, {_cdf("sd1")} AS ns1, {_cdf("sd2")} AS ns2 FROM w)
-SELECT d, expiry, strike, option_type, round(s * (spot * ns1 - strike * exp(-0.065::DOUBLE * t) * ns2), 4) AS price, round(CASE option_type WHEN 'CE' THEN n1 ELSE n1 - 1 END, 6) AS delta, round(pdf / (spot * sigma * sqrt(t)), 8) AS gamma,
+SELECT symbol, d, expiry, strike, option_type, round(s * (spot * ns1 - strike * exp(-0.065::DOUBLE * t) * ns2), 4) AS price, round(CASE option_type WHEN 'CE' THEN n1 ELSE n1 - 1 END, 6) AS delta, round(pdf / (spot * sigma * sqrt(t)), 8) AS gamma,
   round(spot * pdf * sqrt(t), 4) AS vega, round(-spot * pdf * sigma / (2 * sqrt(t)) - s * 0.065::DOUBLE * strike * exp(-0.065::DOUBLE * t) * ns2, 4) AS theta FROM n""")
 def bs_greeks(s, d):
     x = _priced(s, d)
     g = pricing.greeks(F.col("option_type"), F.col("spot").cast("double"), F.col("strike").cast("double"), F.col("t"), F.col("sigma"))
-    return x.select("d", "expiry", "strike", "option_type", *(F.round(g[n], 8 if n == "gamma" else 6 if n == "delta" else 4).alias(n) for n in ("price", "delta", "gamma", "vega", "theta")))
+    return x.select("symbol", "d", "expiry", "strike", "option_type", *(F.round(g[n], 8 if n == "gamma" else 6 if n == "delta" else 4).alias(n) for n in ("price", "delta", "gamma", "vega", "theta")))
 
 
 @query()
@@ -415,7 +415,7 @@ def implied_vol(s, d):
     x = _priced(s, d)
     g = pricing.greeks(F.col("option_type"), F.col("spot").cast("double"), F.col("strike").cast("double"), F.col("t"), F.col("sigma"))
     iv = pricing.implied_vol(F.col("option_type"), F.col("spot").cast("double"), F.col("strike").cast("double"), F.col("t"), F.col("price"))
-    return x.withColumn("price", g["price"]).withColumn("solved", iv).select("d", "expiry", "strike", "option_type", "sigma", "price", F.col("solved.iv").alias("iv"), F.col("solved.status").alias("status"))
+    return x.withColumn("price", g["price"]).withColumn("solved", iv).select("symbol", "d", "expiry", "strike", "option_type", "sigma", "price", F.col("solved.iv").alias("iv"), F.col("solved.status").alias("status"))
 
 
 STRATEGIES = """SELECT name, array(struct(type1 AS type, action1 AS action, double(k1) AS strike, 1 AS qty, double(p1) AS premium), struct(type2 AS type, action2 AS action, double(k2) AS strike, 1 AS qty, double(p2) AS premium)) AS legs FROM VALUES
@@ -434,8 +434,8 @@ def payoff_breakevens(s, d):
     return O.breakevens(O.payoff_curve(s.sql(STRATEGIES), 1200, 1800, 10))
 
 
-@query(CHAIN + """, c AS (SELECT d, spot, strike, CAST(sum(CASE option_type WHEN 'CE' THEN oi ELSE -oi END) AS BIGINT) AS oi FROM chain WHERE option_type <> 'XX' AND oi > 0 GROUP BY ALL), x AS (SELECT d, strike, oi, i, spot * (0.7::DOUBLE + 0.6::DOUBLE * i / 20) AS px, 30::DOUBLE / 365 AS t FROM c, generate_series(0, 20) g(i)),
-y AS (SELECT *, (ln(px / strike) + (0.065::DOUBLE + 0.02::DOUBLE) * t) / (0.2::DOUBLE * sqrt(t)) AS d1 FROM x) SELECT d, CAST(i AS INTEGER) AS i, round(sum(exp(-d1 * d1 / 2) / sqrt(2 * pi()) / (px * 0.2::DOUBLE * sqrt(t)) * oi * px * px * 0.01::DOUBLE), 2) AS net_gex FROM y GROUP BY d, i""")
+@query(CHAIN + """, c AS (SELECT symbol, d, spot, strike, CAST(sum(CASE option_type WHEN 'CE' THEN oi ELSE -oi END) AS BIGINT) AS oi FROM chain WHERE option_type <> 'XX' AND oi > 0 GROUP BY ALL), x AS (SELECT symbol, d, strike, oi, i, spot * (0.7::DOUBLE + 0.6::DOUBLE * i / 20) AS px, 30::DOUBLE / 365 AS t FROM c, generate_series(0, 20) g(i)),
+y AS (SELECT *, (ln(px / strike) + (0.065::DOUBLE + 0.02::DOUBLE) * t) / (0.2::DOUBLE * sqrt(t)) AS d1 FROM x) SELECT symbol, d, CAST(i AS INTEGER) AS i, round(sum(exp(-d1 * d1 / 2) / sqrt(2 * pi()) / (px * 0.2::DOUBLE * sqrt(t)) * oi * px * px * 0.01::DOUBLE), 2) AS net_gex FROM y GROUP BY symbol, d, i""")
 def spot_sweep(s, d):
     return O.spot_sweep(S.chain(s, d))
 

@@ -13,8 +13,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Option rows. ``gamma_c`` is gamma in hundredths, so that sums are of integers and exact."""
     return table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("S"), F.col("l_partkey") % 3).alias("symbol"),
         F.to_date("l_shipdate").alias("d"),
-        F.date_add(F.to_date("l_shipdate"), (7 * (1 + F.col("l_partkey") % 3)).cast("int")).alias("expiry"),
+        F.date_add(F.to_date("l_shipdate"), (7 * (1 + F.col("l_orderkey") % 3)).cast("int")).alias("expiry"),
         (1000 + 50 * (F.col("l_suppkey") % 20)).cast("long").alias("strike"),
         F.when(F.col("l_returnflag") == "A", "CE").when(F.col("l_returnflag") == "R", "PE").otherwise("XX").alias("option_type"),
         F.round(F.col("l_discount") * 100).cast("long").alias("gamma_c"),
