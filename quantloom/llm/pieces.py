@@ -14,8 +14,8 @@
      These are the ids that the model itself gives.
    Units over ``FOLDED`` characters (a run that can be cut nowhere, such as one letter many
    times) get the same result in linear space inside the tasks.
-4. Texts are put together from their units. The most frequent units (at most ``cached``) come from
-   a broadcast table; the others are joined by unit and by text.
+4. Texts are dealt into buckets of about ``bucket`` bytes by a hash of their row. A bucket's distinct
+   units are joined with their ids, and each bucket is put together from its own units.
 
 A character without a piece costs more than any piece and becomes its UTF-8 bytes.
 
@@ -29,26 +29,28 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, written
+from .common import free_name
 
 BLANK = "▁"
 _WORD = re.compile(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
-#: Pieces that may be broadcast, and frequent units that every task may hold.
-MAX_PIECES, CACHED = 1_000_000, 1 << 17
+#: Pieces that may be broadcast, and bytes of text in a bucket, which one task holds with its units.
+MAX_PIECES, BUCKET = 1_000_000, 16 << 20
 #: The most characters of a unit in the fold: its cuts and its end are bits of one long.
 FOLDED = 60
-#: Distinct words that a task counts or remembers before it starts anew.
-WORDS_HELD = 100_000
+#: Distinct words that a task remembers for a bucket before it starts anew.
+WORDS_HELD = 500_000
 
 
 @dataclass(frozen=True)
@@ -101,10 +103,12 @@ class Pieces:
     def unknown_score(self) -> float:
         return min((r[2] for r in self.rows), default=0.0) - 10.0
 
-    def ranked(self) -> list[tuple[str, int, float, int]]:
-        """(piece, id, score, rank): the best score has rank 0."""
+    def ranked(self) -> list[tuple[str, int, float, int, bool]]:
+        """(piece, id, score, rank, late): the best score has rank 0; late: a prefix or suffix of two characters or more ranks after the piece."""
         at = {s: k for k, s in enumerate(sorted({-r[2] for r in self.rows}))}
-        return [(*r, at[-r[2]]) for r in self.rows]
+        of = {p: at[-s] for p, _, s in self.rows}
+        parts = lambda p: (x for k in range(2, len(p)) for x in (p[:k], p[-k:]))
+        return [(p, i, s, of[p], any(of.get(x, -1) >= of[p] for x in parts(p))) for p, i, s in self.rows]
 
     def units(self, word: str) -> list[str]:
         """A word, cut where no piece reaches across."""
@@ -112,30 +116,6 @@ class Pieces:
         cuts += [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joins]
         return [word[a:b] for a, b in zip(cuts, [*cuts[1:], len(word)])]
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids. Bytes that are no UTF-8 become U+FFFD."""
-        strings = self.strings
-        out = [strings[i] for i in ids]
-        if any(s.__class__ is not str for s in out):
-            out = self._with_bytes(out)
-        text = "".join(out).replace(BLANK, " ")
-        return text[1:] if text.startswith(" ") else text
-
-    @staticmethod
-    def _with_bytes(found: list[str | int | None]) -> list[str]:
-        out, pending = [], bytearray()
-        for s in found:
-            if isinstance(s, int):
-                pending.append(s)
-                continue
-            if pending:
-                out.append(pending.decode("utf-8", "replace"))
-                pending.clear()
-            if s:
-                out.append(s)
-        out.append(pending.decode("utf-8", "replace"))
-        return out
-
 
 def words_of(text: str) -> list[str]:
     """The words of a text, with blanks for spaces and one blank before it."""
@@ -185,73 +165,94 @@ def _bit(k: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), k.cast("int"))
 
 
-#: How an edge is packed into a long: rank, start (6 bits), end (6 bits), id (21 bits).
+#: How an edge is packed into a long: rank, start (6 bits), end (6 bits), late (1 bit), id (21 bits).
 ID_BITS, AT_BITS = 21, 6
+END = ID_BITS + 1
+START = END + AT_BITS
+RANK = START + AT_BITS
 
 
 def _merged(n: Column, packed: Column) -> Column:
     """array<struct<start, id>> of the segmentation that merging by rank gives; id -1: no piece.
 
     A cut between two characters is a bit. An edge applies if its two ends and one cut between
-    them are open, and closes that cut. The lowest packed edge has the best rank, then start.
+    them are open, and closes that cut. The best-ranked edge that applies is taken, the leftmost of
+    equal ones; the packed edges sort that way.
+
+    One pass over the sorted edges does it, unless an edge closes a cut so that a better-ranked one,
+    already passed, now applies. Only an edge with a part of worse rank than its own (``late``) can do
+    so; a unit in which one does is folded again, looking at all edges for each cut.
     """
     at = lambda p, shift: F.shiftright(p, shift).bitwiseAND(F.lit((1 << AT_BITS) - 1))
 
     def opened(p: Column) -> Column:
-        start, end = at(p, ID_BITS + AT_BITS), at(p, ID_BITS)
+        start, end = at(p, START), at(p, END)
         ends, span = _bit(start) + _bit(end), _bit(end + 1) - _bit(start)
         return F.struct(p.alias("key"), ends.alias("ends"), span.alias("span"), F.bitwise_not(span).bitwiseOR(ends).alias("keep"))
 
-    def kept(edges: Column, cuts: Column, wanted: Callable[[Column], Column]) -> Column:
-        """The edges whose ends are open, with a ``wanted`` number of open cuts from end to end."""
-        return F.filter(edges, lambda e: (cuts.bitwiseAND(e["ends"]) == e["ends"]) & wanted(F.bit_count(cuts.bitwiseAND(e["span"]))))
+    def holds(cuts: Column, e: Column, count: int) -> Column:
+        """Whether the ends of an edge are open, and so many cuts from end to end."""
+        return (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(cuts.bitwiseAND(e["span"])) == count)
+
+    def quick(edges: Column, late: Column) -> Column:
+        """The open cuts after one pass; -1 if an edge that was passed applies."""
+
+        def step(cuts: Column, e: Column) -> Column:
+            after = cuts.bitwiseAND(e["keep"])
+            missed = F.exists(late, lambda f: (f["key"] < e["key"]) & holds(after, f, 3))
+            return F.when(cuts < 0, cuts).when(holds(cuts, e, 3), F.when(missed, F.lit(-1).cast("long")).otherwise(after)).otherwise(cuts)
+
+        return F.aggregate(edges, _bit(n + 1) - 1, step)
+
+    def again(edges: Column) -> Column:
+        def step(cuts: Column) -> Column:
+            after = F.transform(F.filter(edges, lambda e: holds(cuts, e, 3)), lambda e: F.struct(e["key"], cuts.bitwiseAND(e["keep"]).alias("after")))
+            # a negative number says that no edge is left
+            return F.when(cuts < 0, cuts).otherwise(F.coalesce(F.array_min(after)["after"], -cuts))
 
-    def step(cuts: Column, edges: Column) -> Column:
-        after = F.transform(kept(edges, cuts, lambda k: k == 3), lambda e: F.struct(e["key"], cuts.bitwiseAND(e["keep"]).alias("after")))
-        # a negative number says that no edge is left
-        return F.when(cuts < 0, cuts).otherwise(F.coalesce(F.array_min(after)["after"], -cuts))
+        return F.abs(F.aggregate(F.sequence(F.lit(1), n), _bit(n + 1) - 1, lambda cuts, _: step(cuts)))
 
-    def path(cuts: Column, edges: Column) -> Column:
-        found = F.transform(kept(edges, cuts, lambda k: k == 2), lambda e: F.struct(at(e["key"], ID_BITS + AT_BITS).cast("int").alias("start"), e["key"].bitwiseAND(F.lit((1 << ID_BITS) - 1)).cast("int").alias("id")))
+    def path(cuts: Column) -> Column:
+        inside = lambda p: (cuts.bitwiseAND(_bit(at(p, END) + 1) - _bit(at(p, START))) == _bit(at(p, START)) + _bit(at(p, END)))
+        found = F.transform(F.filter(packed, inside), lambda p: F.struct(at(p, START).cast("int").alias("start"), p.bitwiseAND(F.lit((1 << ID_BITS) - 1)).cast("int").alias("id")))
         single = F.filter(F.sequence(F.lit(0), n - 1), lambda i: cuts.bitwiseAND(_bit(i) + _bit(i + 1)) == _bit(i) + _bit(i + 1))
         bare = F.transform(F.array_except(single, F.transform(found, lambda f: f["start"])), lambda i: F.struct(i.alias("start"), F.lit(-1).alias("id")))
         return F.array_sort(F.when(F.size(found) == F.bit_count(cuts) - 1, found).otherwise(F.concat(found, bare)))
 
-    every = F.transform(packed, opened)
-    # the state holds the edges too, so that each is opened once
-    first = F.struct((_bit(n + 1) - 1).alias("cuts"), every.alias("all"), F.filter(every, lambda e: F.bit_count(e["span"]) > 2).alias("multi"))
-    return F.aggregate(
-        F.sequence(F.lit(1), n),
-        first,
-        lambda acc, _: F.struct(step(acc["cuts"], acc["multi"]).alias("cuts"), acc["all"].alias("all"), acc["multi"].alias("multi")),
-        lambda acc: path(F.abs(acc["cuts"]), acc["all"]),
-    )
+    # arrays of one bind a value, so that it is worked out once
+    bound = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    multi = F.transform(F.filter(F.sort_array(packed), lambda p: at(p, END) - at(p, START) > 1), opened)
+    late = lambda edges: F.filter(edges, lambda e: F.shiftright(e["key"], ID_BITS).bitwiseAND(F.lit(1)) == 1)
+    cuts = bound(multi, lambda edges: bound(bound(late(edges), lambda x: quick(edges, x)), lambda k: F.when(k < 0, again(edges)).otherwise(k)))
+    return bound(cuts, path)
 
 
 def segment(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """unit, n, ids: the best segmentation of each distinct ``unit`` (with its count ``n``)."""
+    """unit, ids: the best segmentation of each distinct ``unit`` (of at most ``FOLDED`` characters)."""
     spark = units.sparkSession
-    code = F.shiftleft(F.col("rank").cast("long"), ID_BITS + 2 * AT_BITS) + F.col("id")
-    table = spark.createDataFrame(pieces.ranked(), "piece string, id int, score double, rank int").withColumn("code", code)
-    size, short = F.length("unit"), units.filter(F.length("unit") <= FOLDED)
+    code = F.shiftleft(F.col("rank").cast("long"), RANK) + F.shiftleft(F.col("late").cast("long"), ID_BITS) + F.col("id")
+    table = spark.createDataFrame(pieces.ranked(), "piece string, id int, score double, rank int, late boolean")
+    table = table.select(F.xxhash64("piece").alias("key"), "piece", "id", "score", code.alias("code"))
+    size = F.length("unit")
     # no two units are equal, so the hash only makes the grouping's sort cheap
-    starts = short.select(F.xxhash64("unit").alias("h"), "unit", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
-    cuts = starts.select("h", "unit", "n", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), size - F.col("start")))).alias("m"))
-    cuts = cuts.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("m")))
+    starts = units.select(F.xxhash64("unit").alias("h"), "unit", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
+    cuts = starts.select("h", "unit", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), size - F.col("start")))).alias("m"))
+    cuts = cuts.withColumn("part", F.substring("unit", F.col("start") + 1, F.col("m")))
     end = F.col("start") + F.col("m")
     if pieces.merges:
-        edge = F.col("code") + F.shiftleft(F.col("start").cast("long"), ID_BITS + AT_BITS) + F.shiftleft(end.cast("long"), ID_BITS)
+        edge = F.col("code") + F.shiftleft(F.col("start").cast("long"), START) + F.shiftleft(end.cast("long"), END)
     else:
         edge = F.struct((end * PLACE + F.col("start")).alias("at"), "id", "score")
     edges = (
-        cuts.join(F.broadcast(table), "piece", "left")
+        # a hash, which joins faster, and the piece itself
+        cuts.join(F.broadcast(table), (F.xxhash64("part") == F.col("key")) & (F.col("part") == F.col("piece")), "left")
         # one row without a piece stays for each unit, so that one of unknown characters is kept
         .filter(F.col("id").isNotNull() | (end == 1))
-        .groupBy("h", "unit", "n")
+        .groupBy("h", "unit")
         .agg(F.collect_list(F.when(F.col("id").isNotNull(), edge)).alias("edges"))
     )
     path = _merged(size, F.col("edges")) if pieces.merges else _viterbi(size, F.col("edges"), pieces.unknown_score)
-    found = edges.select("unit", "n", path.alias("path"))
+    found = edges.select("unit", path.alias("path"))
     byte_ids = F.array(*[F.lit(i) for i in pieces.bytes_])
 
     def spelled(x: Column) -> Column:
@@ -260,28 +261,12 @@ def segment(units: DataFrame, pieces: Pieces) -> DataFrame:
 
     plain = F.transform("path", lambda x: x["id"])
     full = F.flatten(F.transform("path", lambda x: F.when(x["id"] >= 0, F.array(x["id"])).otherwise(spelled(x))))
-    folded = found.select("unit", "n", F.when(F.exists("path", lambda x: x["id"] < 0), full).otherwise(plain).alias("ids"))
-    return folded.unionByName(_long_units(units.filter(F.length("unit") > FOLDED), pieces))
-
-
-def _long_units(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """The same for units over ``FOLDED`` characters, in space that is linear in the unit."""
-    shared = units.sparkSession.sparkContext.broadcast(pieces)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = None
-        for batch in batches:
-            for k in range(batch.num_rows):
-                find = find or finder(shared.value)
-                unit = batch.column(0)[k].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([unit]), batch.column(1).slice(k, 1), pa.array([find(unit)], pa.list_(pa.int32()))], ["unit", "n", "ids"])
-
-    return units.select("unit", "n").mapInArrow(run, "unit string, n long, ids array<int>")
+    return found.select("unit", F.when(F.exists("path", lambda x: x["id"] < 0), full).otherwise(plain).alias("ids"))
 
 
 def finder(pieces: Pieces):
-    """A function from a unit to its ids."""
-    table = {p: (i, s, r) for p, i, s, r in pieces.ranked()}
+    """A function from a unit of any length to its ids, in space that is linear in it."""
+    table = {p: (i, s, r) for p, i, s, r, _ in pieces.ranked()}
     longest, unknown = pieces.longest, pieces.unknown_score
 
     def spelled(found: Iterable[str]) -> list[int]:
@@ -332,136 +317,157 @@ def finder(pieces: Pieces):
     return merged if pieces.merges else viterbi
 
 
-def distinct_units(docs: DataFrame, pieces: Pieces, text_col: str) -> DataFrame:
-    """unit, n: the distinct units of all texts and how often each occurs."""
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)
-
-    def cut(counts: Counter[str]) -> pa.RecordBatch:
-        units = shared.value.units
-        out: Counter[str] = Counter()
-        for word, n in counts.items():
-            for unit in units(word):
-                out[unit] += n
-        return pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.string()), pa.array(out.values(), pa.int64())], ["unit", "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                counts.update(words_of(text.as_py() or ""))
-                if len(counts) > WORDS_HELD:
-                    yield cut(counts)
-                    counts.clear()
-        yield cut(counts)
-
-    return docs.select(text_col).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+def _words(texts: pa.Array) -> tuple[list[str], pa.Array]:
+    """The distinct words of some texts, and for each text the places of its words among them.
 
-
-def _frequent(known: DataFrame, most: int) -> list[pa.Buffer]:
-    """unit, ids of the most frequent units, at most ``most``, as Arrow streams written in the tasks.
-
-    The units with a count above a level are taken; there are far fewer counts than units.
+    Most texts are cut at single spaces, all at once; those with other blanks one by one.
     """
-    counts = known.groupBy("n").agg(F.count(F.lit(1)).alias("units"))
-    above = F.sum("units").over(Window.orderBy(F.desc("n")))
-    level = counts.withColumn("above", above).filter(F.col("above") <= most).agg(F.min("n").alias("n")).first()["n"]
-    if level is None:
-        return []
+    odd = pc.match_substring_regex(texts, f"^ |  | $|{BLANK}|^$")
+    plain = texts.filter(pc.invert(odd))
+    tokens = pc.split_pattern(plain, " ")
+    coded = tokens.flatten().dictionary_encode()
+    known = [BLANK + w for w in coded.dictionary.to_pylist()]
+    places, sizes, at = [np.asarray(coded.indices)], [np.diff(np.asarray(tokens.offsets))], {}
+    if (rest := texts.filter(odd).drop_null()) and len(rest):
+        at = {w: i for i, w in enumerate(known)}
+        for text in rest.to_pylist():
+            found = [at.setdefault(w, len(at)) for w in words_of(text)]
+            places.append(np.array(found, np.int64))
+            sizes.append(np.array([len(found)]))
+        known = list(at)
+    ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(places), pa.int32()))
+    # back to the order of the texts; nulls stay null
+    is_odd, missing = np.asarray(pc.fill_null(odd, False)), np.asarray(texts.is_null())
+    order = np.where(is_odd, len(plain.drop_null()) + np.cumsum(is_odd) - 1, np.cumsum(~is_odd & ~missing) - 1)
+    return known, lists.take(pa.array(order, pa.int64(), mask=missing))
+
+
+def _sliced(texts: pa.Array | pa.ChunkedArray, most: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """(place, slice) of texts of about ``most`` bytes, so that what is made of a slice stays small."""
+    for chunk, first in _chunks(texts):
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(chunk), 0)) + 1)
+        begin = 0
+        while begin < len(chunk):
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + most, "right")))
+            yield first + begin, chunk.slice(begin, end - begin)
+            begin = end
+
+
+def _chunks(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[pa.Array, int]]:
+    first = 0
+    for chunk in texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]:
+        yield chunk, first
+        first += len(chunk)
+
+
+def _bucket_units(keyed: DataFrame, shared: Broadcast, bucket_col: str, text_col: str) -> DataFrame:
+    """bucket, unit: the distinct units of each bucket (some more than once)."""
+    places = [keyed.columns.index(bucket_col), keyed.columns.index(text_col)]
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = shared.value.units
+        seen: dict[int, set[str]] = defaultdict(set)
         for batch in batches:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema) as out:
-                out.write_batch(batch)
-            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part"])
-
-    return [bytes(r["part"]) for r in known.filter(F.col("n") >= level).select("unit", "ids").mapInArrow(pack, "part binary").collect()]
+            of, texts = (batch.column(i) for i in places)
+            for bucket in pc.unique(of).to_pylist():
+                mine = seen[bucket]
+                for _, part in _sliced(texts.filter(pc.equal(of, bucket))):
+                    new = [w for w in _words(part)[0] if w not in mine]
+                    if len(mine) > WORDS_HELD:
+                        mine.clear()
+                    mine.update(new)
+                    units = list({u for w in new for u in cut(w) if len(u) <= FOLDED})
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(units), pa.int64()), pa.array(units, pa.string())], ["bucket", "unit"])
+
+    # all columns go in, so that the rows are dealt out once for this and for what is put together
+    return keyed.mapInArrow(run, "bucket long not null, unit string not null")
+
+
+class _Known(dict):
+    """The ids of units as the bytes of 32-bit numbers; those of long units are found when asked for."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        self.find = finder(pieces)
+
+    def __missing__(self, unit: str) -> bytes:
+        if len(unit) <= FOLDED:
+            raise KeyError(unit)
+        return np.array(self.find(unit), "<i4").tobytes()
+
+
+def _encoded(texts: pa.Array, known: dict[str, bytes], cut: Callable[[str], list[str]]) -> pa.ListArray:
+    """The ids of texts from the ids of their units."""
+    words, places = _words(texts)
+    ids = [b"".join([known[u] for u in cut(w)]) for w in words]
+    ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)])
+    of_word = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32()))
+    of_place = of_word.take(places.flatten())
+    at = np.asarray(of_place.offsets) if len(of_place) else np.zeros(1, np.int64)
+    flat = of_place.flatten()
+    bounds = (at - at[0])[np.asarray(places.offsets) - places.offsets[0].as_py()]
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat, mask=texts.is_null())
+
+
+def _bucketed(docs: DataFrame, text_col: str, bucket_col: str, bucket: int) -> DataFrame:
+    """``docs`` with a bucket for each row, dealt out by it."""
+    size = docs.agg(F.sum(F.octet_length(text_col).cast("long") + 8)).first()[0] or 0
+    # types without a hash aside; equal rows share a bucket
+    hashed = [F.col(f"`{f.name.replace('`', '``')}`") for f in docs.schema if not re.search("map<|variant", f.dataType.simpleString())]
+    return docs.withColumn(bucket_col, F.pmod(F.xxhash64(*hashed), F.lit(max(1, -(-size // bucket)))).cast("long")).repartition(bucket_col)
 
 
-def _unpacked(parts: list[bytes]) -> dict[str, bytes]:
-    """The ids of each frequent unit as the bytes of its 32-bit numbers."""
-    out = {}
-    for part in parts:
-        for batch in pa.ipc.open_stream(part):
+def _put_together(docs: DataFrame, pieces: Pieces, text_col: str, bucket: int, added: list[tuple[str, T.DataType]], make: Callable) -> DataFrame:
+    """``docs`` plus the ``added`` columns, which ``make`` gives for a slice of texts and their ids."""
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)
+    (bucket_col,) = free_name(docs, "bucket_")
+    keyed = _bucketed(docs, text_col, bucket_col, bucket)
+    units = _bucket_units(keyed, shared, bucket_col, text_col).repartition("unit")
+    # the number keeps filters of the lattice above the exchange of the units, so that it serves both sides
+    distinct = units.withColumn("number", F.monotonically_increasing_id()).groupBy("unit").agg(F.min("number").alias("number"))
+    found = units.join(segment(distinct, pieces), "unit")
+    kept = [f for f in docs.schema if f.name not in [n for n, _ in added]]
+    schema = T.StructType([*kept, *(T.StructField(n, t) for n, t in added)])
+
+    def run(mine: pa.Table, dictionary: pa.Table) -> pa.Table:
+        known = _Known(shared.value)
+        for batch in dictionary.select(["unit", "ids"]).to_batches():
             ids = batch.column(1)
             flat, at = ids.flatten().to_numpy().astype("<i4").tobytes(), (np.asarray(ids.offsets) - ids.offsets[0].as_py()) * 4
-            out |= {u: flat[a:b] for u, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist())}
-    return out
+            known |= {u: flat[a:b] for u, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist())}
+        columns: list[list[pa.Array]] = [[] for _ in added]
+        for _, part in _sliced(mine.column(text_col)):
+            for column, values in zip(columns, make(part, _encoded(part, known, shared.value.units), shared.value)):
+                column.append(values)
+        out = {f.name: mine.column(f.name) for f in kept}
+        return pa.Table.from_arrays([*out.values(), *(pa.chunked_array(c) for c in columns)], [f.name for f in schema])
 
+    return keyed.groupBy(bucket_col).cogroup(found.groupBy("bucket")).applyInArrow(run, schema)
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
-    """Few rows at a time, so that what is made of a batch is never all in memory at once."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)
 
+_IDS = T.ArrayType(T.IntegerType())
 
-def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_col: str = "ids", cached: int = CACHED) -> DataFrame:
+
+def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_col: str = "ids", bucket: int = BUCKET) -> DataFrame:
     """``docs`` plus ``ids_col``: the piece ids of its whole texts."""
-    context = docs.sparkSession.sparkContext
-    key_a, key_b, rare_col = free_name(docs, "key_a", "key_b", "rare")
-    known = written(segment(distinct_units(docs, pieces, text_col), pieces), "units")
-    common, shared = context.broadcast(_frequent(known, cached)), context.broadcast(pieces)
-    # two hashes of a row's content stand for it (types without a hash aside); equal rows share their units anyway
-    hashed = [F.col(f"`{f.name.replace('`', '``')}`") for f in docs.schema if not re.search("map<|variant", f.dataType.simpleString())]
-    keyed = docs.withColumn(key_a, F.xxhash64(*hashed)).withColumn(key_b, F.xxhash64(F.lit(1), *hashed))
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have, units = _unpacked(common.value), shared.value.units
-        rare_of: dict[str, tuple[str, ...]] = {}
-        for batch in _slices(batches, 512):
-            row, out = [], []
-            for k, text in enumerate(batch.column(2)):
-                mine: set[str] = set()
-                for word in set(words_of(text.as_py() or "")):
-                    if (found := rare_of.get(word)) is None:
-                        if len(rare_of) > WORDS_HELD:
-                            rare_of.clear()
-                        found = rare_of[word] = tuple(u for u in units(word) if u not in have)
-                    mine.update(found)
-                row += [k] * len(mine)
-                out += mine
-            at = pa.array(row, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(out, pa.string())], ["a", "b", "unit"])
-
-    of_text = (
-        keyed.select(key_a, key_b, text_col)
-        .mapInArrow(rare, "a long, b long, unit string")
-        .join(known.select("unit", "ids"), "unit")
-        .groupBy(F.col("a").alias(key_a), F.col("b").alias(key_b))
-        .agg(F.collect_set(F.struct("unit", "ids")).alias(rare_col))
-    )
-    joined = keyed.join(of_text, [key_a, key_b], "left").drop(key_a, key_b)
-    kept = [f for f in docs.schema if f.name != ids_col]
-    schema = T.StructType([*kept, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
-    names = [f.name for f in kept]
-
-    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have, units = _unpacked(common.value), shared.value.units
-        done: dict[str, bytes | None] = {}
-        for batch in _slices(batches):
-            sizes, flat = [0], []
-            rare_at = batch.schema.get_field_index(rare_col)
-            texts = batch.column(batch.schema.get_field_index(text_col))
-            for text, extra in zip(texts, batch.column(rare_at)):
-                more = {r["unit"]: np.array(r["ids"], "<i4").tobytes() for r in extra.as_py() or ()}
-                out = []
-                for word in words_of(text.as_py() or ""):
-                    if word not in done:
-                        if len(done) > WORDS_HELD:
-                            done.clear()
-                        mine = units(word)
-                        # a word with a rare unit is put together in each text anew
-                        done[word] = b"".join([have[u] for u in mine]) if all(u in have for u in mine) else None
-                    if (ids := done[word]) is None:
-                        ids = b"".join([have[u] if u in have else more[u] for u in units(word)])
-                    out.append(ids)
-                flat.append(b"".join(out))
-                sizes.append(sizes[-1] + len(flat[-1]) // 4)
-            found = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.frombuffer(b"".join(flat), "<i4"), pa.int32()), mask=texts.is_null())
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), found], [*names, ids_col])
-
-    return joined.mapInArrow(put_together, schema)
+    return _put_together(docs, pieces, text_col, bucket, [(ids_col, _IDS)], lambda texts, ids, _: [ids])
+
+
+def _decoded(ids: pa.ListArray, pieces: Pieces) -> pa.Array:
+    """The texts of ids. Bytes that are no UTF-8 become U+FFFD."""
+    strings = pa.array([bytes([s]) if isinstance(s, int) else (s or "").encode() for s in pieces.strings], pa.large_binary())
+    flat, ends = strings.take(ids.flatten()), np.asarray(ids.offsets)
+    sizes = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(flat)), dtype=np.int64)])
+    raw = b"".join(flat.to_pylist()) if flat.offset else flat.buffers()[2].to_pybytes()[: sizes[-1]] if len(flat) else b""
+    bounds = sizes[ends - ends[0]]
+    missing = np.asarray(ids.is_null())
+    joined = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(bounds.astype("<i8").tobytes()), pa.py_buffer(raw)])
+    try:
+        texts = joined.cast(pa.large_string())
+    except pa.ArrowInvalid:
+        texts = pa.array([x.decode("utf-8", "replace") for x in joined.to_pylist()], pa.large_string())
+    texts = pc.replace_substring_regex(pc.replace_substring(texts, BLANK, " "), "^ ", "")
+    return pc.if_else(pa.array(missing), pa.scalar(None, pa.large_string()), texts).cast(pa.string())
 
 
 def decode(docs: DataFrame, pieces: Pieces, ids_col: str = "ids", text_out: str = "decoded") -> DataFrame:
@@ -471,15 +477,19 @@ def decode(docs: DataFrame, pieces: Pieces, ids_col: str = "ids", text_out: str
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            texts = [None if ids is None else shared.value.decode(ids) for ids in (x.as_py() for x in batch.column(batch.schema.get_field_index(ids_col)))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(texts, pa.string())], [*names, text_out])
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                texts = _decoded(part.column(part.schema.get_field_index(ids_col)), shared.value)
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in names), texts], [*names, text_out])
 
     return docs.mapInArrow(run, schema)
 
 
-def round_trip(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` plus ids and whether they decode to the text."""
-    pieces = Pieces.load(path)
-    done = decode(encode(docs, pieces), pieces)
-    return done.withColumn("round_trip", F.col("decoded").eqNullSafe(F.col("text"))).drop("decoded")
+def round_trip(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "round_trip", bucket: int = BUCKET) -> DataFrame:
+    """``docs`` plus ids and whether they decode to the text (null for a null text: true)."""
+
+    def make(texts: pa.Array, ids: pa.ListArray, pieces: Pieces) -> list[pa.Array]:
+        return [ids, pc.fill_null(pc.equal(_decoded(ids, pieces), texts), True)]
+
+    return _put_together(docs, Pieces.load(path), text_col, bucket, [(ids_col, _IDS), (out_col, T.BooleanType())], make)

@@ -49,12 +49,14 @@ def _library():
 
 
 def _segmented(spark, units, table):
-    return {r["unit"]: r["ids"] for r in pieces.segment(spark.createDataFrame([(u, 1) for u in units], "unit string, n long"), table).collect()}
+    return {r["unit"]: r["ids"] for r in pieces.segment(spark.createDataFrame([(u,) for u in units], "unit string"), table).collect()}
 
 
 def test_viterbi_is_best(spark, toy):
     rng = random.Random(6)
-    units = {"".join(rng.choices("▁theanx", k=rng.randint(1, 14))) for _ in range(200)} | {"▁the", "▁", "x", "a" * 59, "a" * 60, "a" * 61, "the" * 100 + "x"}
+    units = {"".join(rng.choices("▁theanx", k=rng.randint(1, 14))) for _ in range(200)} | {"▁the", "▁", "x", "a" * 59, "a" * 60, "the" * 19 + "x"}
+    long = ["a" * 61, "the" * 100 + "x", "x" * 90]
+    assert [pieces.finder(toy)(u) for u in long] == [_best(u, toy) for u in long]
     assert not toy.merges and _segmented(spark, units, toy) == {u: _best(u, toy) for u in units}
 
 
@@ -85,10 +87,10 @@ def test_units_are_cut_where_no_piece_reaches(table):
     assert model.get_piece_size() > len(table.rows)
 
 
-@pytest.mark.parametrize("cached", [1 << 17, 3, 0])
-def test_round_trip(spark, odd_docs, table, cached):
+@pytest.mark.parametrize("bucket", [16 << 20, 2000])
+def test_round_trip(spark, odd_docs, table, bucket):
     docs = odd_docs.withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
-    done = pieces.decode(pieces.encode(docs, table, cached=cached), table)
+    done = pieces.decode(pieces.encode(docs, table, bucket=bucket), table)
     assert done.columns == [*docs.columns, "ids", "decoded"]
     rows, model = done.collect(), _library()
     assert len(rows) == docs.count()
