@@ -32,12 +32,12 @@ class Kind:
     pattern_score: float
     check_score: float
     context_score: float
-    #: Lower-case words looked for in the ``CONTEXT`` characters before the span.
+    #: Lower-case words looked for in the ``CONTEXT`` characters before the span, back to the last match of the kind.
     context: str
     base: bool = True
 
 
-#: Characters before a span in which context words count.
+#: Most characters before a span in which context words count.
 CONTEXT = 40
 #: Kinds in their order of output.
 KINDS = (
@@ -94,42 +94,50 @@ def _confirmed(kind: Kind, match: Column) -> Column:
     return F.lit(True)
 
 
+def _before(sizes: Column, block: int = 256) -> Column:
+    """For each number of an array the sum of those before it.
+
+    Sums run within blocks, then over the blocks' totals, so that no step copies a long array.
+    """
+    within = lambda b: F.aggregate(
+        b,
+        F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("out")),
+        lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out")),
+    )
+    starts = F.when(F.size(sizes) > 0, F.sequence(F.lit(1), F.size(sizes), F.lit(block))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(
+        F.transform(starts, lambda k: within(F.slice(sizes, k, block))),
+        F.struct(F.lit(0).alias("sum"), F.array().cast("array<array<int>>").alias("out")),
+        lambda acc, b: F.struct((acc["sum"] + b["sum"]).alias("sum"), F.concat(acc["out"], F.array(F.transform(b["out"], lambda v: v + acc["sum"]))).alias("out")),
+        lambda acc: F.flatten(acc["out"]),
+    )
+
+
 def _spans(kind: Kind, text: Column, threshold: float) -> Column:
     """array<struct<kind, start, end, score>> of one kind."""
     pattern = F.lit(kind.pattern)
     if kind.name == "secret":  # only the long runs matter; the short ones need no matching
         pattern = F.lit(r"(?:\G|(?<![A-Za-z0-9_-]))[A-Za-z0-9_-]{32,}+")
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    start_of = F.aggregate(
-        F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("m"))),
-        F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["pos"] + x["gap"] + F.coalesce(F.length(x["m"]), F.lit(0))).alias("pos"),
-            F.when(x["m"].isNull(), acc["out"])
-            .otherwise(
-                F.concat(
-                    acc["out"],
-                    F.array(F.struct((acc["pos"] + x["gap"]).alias("start"), (acc["pos"] + x["gap"] + F.length(x["m"])).alias("end"), x["m"].alias("m"))),
-                )
-            )
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
+    # a gap and the match after it; the last gap has none
+    cut = F.zip_with(
+        F.split(text, pattern, -1),
+        F.regexp_extract_all(text, pattern, F.lit(0)),
+        lambda g, m: F.struct(F.length(g).alias("gap"), F.right(g, F.lit(CONTEXT)).alias("left"), m.alias("m"), (F.length(g) + F.coalesce(F.length(m), F.lit(0))).alias("size")),
     )
 
     def scored(x: Column) -> Column:
-        left = F.greatest(x["start"] - CONTEXT, F.lit(0))
-        before = F.lower(F.substr(text, left + 1, x["start"] - left))
-        score = F.lit(kind.pattern_score + kind.check_score) + F.when(before.rlike(kind.context), kind.context_score).otherwise(0.0)
-        return F.struct(F.lit(kind.name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.round(score, 3).alias("score"))
-
-    spans = F.transform(F.filter(start_of, lambda x: _confirmed(kind, x["m"])), scored)
-    if not kind.base:
-        spans = F.filter(spans, lambda s: s["score"] >= threshold)
+        score = F.lit(kind.pattern_score + kind.check_score) + F.when(F.lower(x["left"]).rlike(kind.context), kind.context_score).otherwise(0.0)
+        return F.struct(F.lit(kind.name).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("end"), F.round(score, 3).alias("score"))
+
+    def spans(cut: Column) -> Column:
+        placed = F.zip_with(cut, _before(F.transform(cut, lambda x: x["size"])), lambda x, at: F.struct((at + x["gap"]).alias("start"), x["left"].alias("left"), x["m"].alias("m")))
+        found = F.transform(F.filter(placed, lambda x: F.when(x["m"].isNull(), False).otherwise(_confirmed(kind, x["m"]))), scored)
+        return found if kind.base else F.filter(found, lambda s: s["score"] >= threshold)
+
     empty = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
     maybe = F.contains(text, F.lit(kind.needs)) if kind.needs else text.rlike(_RARE[kind.name])
-    return F.when(maybe, spans).otherwise(empty)
+    # an array of one, so that the text is cut once
+    return F.when(maybe, F.flatten(F.transform(F.array(cut), spans))).otherwise(empty)
 
 
 #: What a text must hold before a kind's costlier work starts.
