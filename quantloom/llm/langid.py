@@ -6,7 +6,7 @@ features are alike form a family. One linear support vector machine per family (
 chooses it; within it, one for each pair of languages votes.
 
 The machines are fitted on a bounded sample (``per_language`` rows of each language, chosen by a
-hash of the id, of all labelled rows handed to ``fit``); every row is predicted.
+hash of the text, of all labelled rows handed to ``fit``); every row is predicted.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; rows with null labels
 teach nothing; one language only is always predicted; no labelled row at all gives ``und`` for
@@ -30,7 +30,7 @@ UND = "und"
 #: Hashed features.
 BINS = 1 << 13
 #: Training rows of each language, and of all languages together.
-PER_LANGUAGE, MOST_ROWS = 500, 4000
+PER_LANGUAGE, MOST_ROWS, LEAST_ROWS = 500, 4000, 8
 
 _letters: np.ndarray | None = None
 
@@ -169,22 +169,25 @@ def train(rows: list[tuple[str, np.ndarray]]) -> Model:
     return Model(languages, families, np.stack(machines) if machines else np.zeros((1, BINS + 1), np.float32), pairs, np.stack(profiles).astype(np.float32), np.array(least))
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS) -> Model:
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS) -> Model:
     """Fit on a sample of ``labelled``: up to about ``per_language`` rows a language, ``most_rows`` in all.
 
-    The share of each language that is taken follows from its count of rows; the rows with the
-    lowest hash of id are in. Only sparse features of those rows come to the driver.
+    Every language is learned, from ``LEAST_ROWS`` rows at least. The share of each language that is
+    taken follows from its count of rows; the rows with the lowest hash of text are in. Only sparse
+    features of those rows come to the driver.
     """
     known = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_rows // 8).collect()
+    counts = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return train([])
-    each = min(per_language, most_rows // len(counts))
+    each = min(per_language, max(LEAST_ROWS, most_rows // len(counts)))
     share = F.lit(0.0)
     for r in counts:
         share = F.when(F.col(lang_col) == r["lang"], F.lit(each / r["n"])).otherwise(share)
-    luck = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), F.col(id_col).cast("string")), 12) / F.lit(float(2**52))
-    sample = known.filter(luck < share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    # equal texts teach once, however many rows have them
+    hashed = F.xxhash64(F.lit("langid"), F.col(text_col))
+    luck = F.shiftrightunsigned(hashed, 12) / F.lit(float(2**52))
+    sample = known.filter(luck < share).select(F.col(lang_col).alias("lang"), hashed.alias("h"), F.col(text_col).alias("text")).groupBy("lang", "h").agg(F.min("text").alias("text")).drop("h")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

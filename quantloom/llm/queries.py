@@ -70,7 +70,8 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
         "doc_id",
-        *(count(k) for k in base),
+        *(count(k.name) for k in KINDS),
+        (F.size("spans") > 0).alias("has_personal_data"),
         F.sha2(_joined(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
         _joined(F.col("spans")).alias("spans"),
     )
@@ -94,7 +95,7 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = round_trip(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
+    found = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
     return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "round_trip")
 
 
@@ -109,10 +110,10 @@ WITH l AS (
   SELECT source, unnest(list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''))) AS line
   FROM documents
 ), c AS (
-  SELECT source, line, count(*) AS n FROM l WHERE source IS NOT NULL GROUP BY source, line HAVING count(*) >= 5
+  SELECT source, line, count(*) AS n FROM l WHERE source IS NOT NULL GROUP BY source, line HAVING count(*) > 1
 ), b AS (
   SELECT c.source, list(c.line) AS bad FROM c JOIN (SELECT source, count(*) AS pages FROM documents GROUP BY source) t USING (source)
-  WHERE c.n >= 0.05::DOUBLE * t.pages GROUP BY c.source
+  WHERE c.n > 0.05::DOUBLE * t.pages GROUP BY c.source
 )
 SELECT doc_id,
   CASE WHEN bad IS NULL OR text IS NULL THEN text

@@ -14,8 +14,10 @@ is written out.
 Components come from rounds of minimum labels with shortcuts over the links.
 
 Defined cases: null text counts as one without words, whose fingerprint is 0 and links like any
-other; a text of fewer words than a shingle is one shingle; rows with equal ids and other texts
-are one node; equal rows give equal rows; an empty table gives none; other columns are not used.
+other; a text of fewer words than a shingle is one shingle; a row is placed by its text alone, so
+rows with equal ids and other texts may be in several components; equal rows give equal rows; a row
+without an id links the others, and its component's smallest id is null only if none of it has one;
+an empty table gives none; other columns are not used and may have any name.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, discard, written
 
 _WORD = re.compile(WORD)
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -139,6 +141,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         )
         new = written(small, "edges")
         same = new.count() == edges.count() and new.exceptAll(edges).isEmpty()
+        discard(edges)
         edges = new
         if same:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("label"))
