@@ -22,7 +22,8 @@ SQL: dict[str, str] = {}
 CHAIN = """chain AS (SELECT 'S' || l_partkey % 3 AS symbol, CAST(l_shipdate AS DATE) AS d, CAST(CAST(l_shipdate AS DATE) + CAST(7 * (1 + l_orderkey % 3) AS INTEGER) AS DATE) AS expiry,
   CAST(1000 + 50 * (l_suppkey % 20) AS BIGINT) AS strike, CASE l_returnflag WHEN 'A' THEN 'CE' WHEN 'R' THEN 'PE' ELSE 'XX' END AS option_type,
   CAST(round(l_discount * 100) AS BIGINT) AS gamma_c, CAST(l_quantity AS BIGINT) - 1 AS oi,
-  CAST(1475 + 5 * ((7 * year(l_shipdate) + 3 * month(l_shipdate) + day(l_shipdate)) % 41 - 20) AS BIGINT) AS spot FROM lineitem)"""
+  CAST(1475 + 5 * ((7 * year(l_shipdate) + 3 * month(l_shipdate) + day(l_shipdate)) % 41 - 20) AS BIGINT) AS spot,
+  CAST(round(l_extendedprice / l_quantity) AS BIGINT) AS ltp, CAST(1000 + 37 * (l_orderkey % 50) + CAST(round(l_tax * 100) AS BIGINT) AS BIGINT) AS iv_bp FROM lineitem)"""
 GEX = CHAIN + """, reasoned AS (SELECT *, CASE WHEN option_type NOT IN ('CE', 'PE') THEN 'INVALID_TYPE' WHEN spot <= 0 THEN 'INVALID_SPOT' WHEN strike <= 0 THEN 'INVALID_STRIKE'
   WHEN gamma_c IS NULL OR gamma_c < 0 THEN 'INVALID_GAMMA' WHEN oi IS NULL THEN 'MISSING_OI' WHEN oi <= 0 THEN 'ZERO_OI' END AS reason FROM chain),
 gex AS (SELECT *, (CASE WHEN option_type = 'CE' THEN 1 ELSE -1 END) * gamma_c * oi * spot * spot AS g FROM reasoned WHERE reason IS NULL)"""

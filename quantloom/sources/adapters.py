@@ -11,7 +11,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Option rows. ``gamma_c`` is gamma in hundredths, so that sums are of integers and exact."""
+    """Option rows. ``gamma_c`` is gamma in hundredths, ``iv_bp`` volatility in 1/10,000, so that sums are of integers and exact."""
     return table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("S"), F.col("l_partkey") % 3).alias("symbol"),
         F.to_date("l_shipdate").alias("d"),
@@ -21,6 +21,8 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.col("l_discount") * 100).cast("long").alias("gamma_c"),
         (F.col("l_quantity").cast("long") - 1).alias("oi"),
         (1475 + 5 * ((7 * F.year("l_shipdate") + 3 * F.month("l_shipdate") + F.dayofmonth("l_shipdate")) % 41 - 20)).cast("long").alias("spot"),
+        F.round(F.col("l_extendedprice") / F.col("l_quantity")).cast("long").alias("ltp"),
+        (1000 + 37 * (F.col("l_orderkey") % 50) + F.round(F.col("l_tax") * 100).cast("long")).alias("iv_bp"),
     )
 
 
@@ -49,3 +51,18 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("long").alias("quantity"),
         F.round(F.col("l_extendedprice") / F.col("l_quantity") * 100).cast("long").alias("price_c"),
     )
+
+
+def strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """strategy_id, legs: an order as a strategy, its lines as legs; premiums in cents."""
+    leg = F.struct(
+        F.col("l_linenumber").cast("long").alias("leg"),
+        F.when(F.col("l_returnflag") == "A", "CE").otherwise("PE").alias("type"),
+        F.when(F.col("l_linestatus") == "F", "buy").otherwise("sell").alias("action"),
+        (1000 + 50 * (F.col("l_suppkey") % 20)).cast("long").alias("strike"),
+        (1 + F.col("l_linenumber") % 3).cast("long").alias("qty"),
+        (F.round(F.col("l_discount") * 100).cast("long") * 700 + 500).alias("premium_c"),
+        (F.col("l_partkey") % 4 == 0).alias("far"),
+        F.col("l_partkey").alias("part"),
+    )
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("strategy_id")).agg(F.array_sort(F.collect_list(leg)).alias("legs"))
