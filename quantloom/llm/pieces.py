@@ -14,8 +14,9 @@
      These are the ids that the model itself gives.
    Units over ``FOLDED`` characters (a run that can be cut nowhere, such as one letter many
    times) get the same result in linear space inside the tasks.
-4. Texts are dealt into buckets of about ``bucket`` bytes by a hash of their row. A bucket's distinct
-   units are joined with their ids, and each bucket is put together from its own units.
+4. Rows are packed in compressed slices, in buckets of about ``bucket`` bytes of text from one input
+   partition, and the buckets are dealt out once. A bucket's distinct units are joined with their ids,
+   and each bucket is put together from its own units.
 
 A character without a piece costs more than any piece and becomes its UTF-8 bytes.
 
@@ -36,20 +37,20 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
+import zstandard
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name
 
 BLANK = "▁"
 _WORD = re.compile(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
-#: Pieces that may be broadcast, and bytes of text in a bucket, which one task holds with its units.
-MAX_PIECES, BUCKET = 1_000_000, 16 << 20
+#: Pieces that may be broadcast, bytes of text in a bucket, whose units one task holds, and in a slice.
+MAX_PIECES, BUCKET, SLICE = 1_000_000, 32 << 20, 2 << 20
 #: The most characters of a unit in the fold: its cuts and its end are bits of one long.
 FOLDED = 60
-#: Distinct words that a task remembers for a bucket before it starts anew.
+#: Distinct words that a task remembers of a bucket before it starts anew.
 WORDS_HELD = 500_000
 
 
@@ -343,45 +344,59 @@ def _words(texts: pa.Array) -> tuple[list[str], pa.Array]:
     return known, lists.take(pa.array(order, pa.int64(), mask=missing))
 
 
-def _sliced(texts: pa.Array | pa.ChunkedArray, most: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
-    """(place, slice) of texts of about ``most`` bytes, so that what is made of a slice stays small."""
-    for chunk, first in _chunks(texts):
-        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(chunk), 0)) + 1)
-        begin = 0
-        while begin < len(chunk):
-            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + most, "right")))
-            yield first + begin, chunk.slice(begin, end - begin)
-            begin = end
+def _sliced(batch: pa.RecordBatch, texts: pa.Array) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """Slices of a batch with about ``SLICE`` bytes of text, and those bytes."""
+    ends, begin = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64) + 8), 0
+    while begin < len(texts):
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + SLICE, "right")))
+        yield batch.slice(begin, end - begin), int(ends[end - 1] - before)
+        begin = end
 
 
-def _chunks(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[pa.Array, int]]:
-    first = 0
-    for chunk in texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]:
-        yield chunk, first
-        first += len(chunk)
+def _packed(docs: DataFrame, text_col: str, bucket: int) -> DataFrame:
+    """bucket, rows: compressed slices of ``docs``, dealt out by bucket."""
+    at = docs.columns.index(text_col)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, filled, squeeze = TaskContext.get().partitionId() << 32, 0, zstandard.ZstdCompressor(3)
+        for batch in batches:
+            for part, size in _sliced(batch, batch.column(at)):
+                if filled and filled + size > bucket:
+                    number, filled = number + 1, 0
+                filled += size
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as out:
+                    out.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([squeeze.compress(sink.getvalue())], pa.binary())], ["bucket", "rows"])
+
+    return docs.mapInArrow(run, "bucket long not null, rows binary not null").repartition("bucket")
+
+
+def _unpacked(rows: pa.BinaryScalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(rows.as_py())).read_next_batch()
 
-def _bucket_units(keyed: DataFrame, shared: Broadcast, bucket_col: str, text_col: str) -> DataFrame:
+
+def _bucket_units(packed: DataFrame, shared: Broadcast, at: int) -> DataFrame:
     """bucket, unit: the distinct units of each bucket (some more than once)."""
-    places = [keyed.columns.index(bucket_col), keyed.columns.index(text_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = shared.value.units
-        seen: dict[int, set[str]] = defaultdict(set)
+        words: dict[int, set[str]] = defaultdict(set)
+        units: dict[int, set[str]] = defaultdict(set)
         for batch in batches:
-            of, texts = (batch.column(i) for i in places)
-            for bucket in pc.unique(of).to_pylist():
-                mine = seen[bucket]
-                for _, part in _sliced(texts.filter(pc.equal(of, bucket))):
-                    new = [w for w in _words(part)[0] if w not in mine]
-                    if len(mine) > WORDS_HELD:
-                        mine.clear()
-                    mine.update(new)
-                    units = list({u for w in new for u in cut(w) if len(u) <= FOLDED})
-                    yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(units), pa.int64()), pa.array(units, pa.string())], ["bucket", "unit"])
+            for bucket, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
+                have, known = words[bucket], units[bucket]
+                if len(have) > WORDS_HELD:
+                    have.clear()
+                    known.clear()
+                new = [w for w in _words(_unpacked(rows).column(at))[0] if w not in have]
+                have.update(new)
+                fresh = {u for w in new for u in cut(w) if len(u) <= FOLDED} - known
+                known |= fresh
+                yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(fresh), pa.int64()), pa.array(fresh, pa.string())], ["bucket", "unit"])
 
-    # all columns go in, so that the rows are dealt out once for this and for what is put together
-    return keyed.mapInArrow(run, "bucket long not null, unit string not null")
+    return packed.mapInArrow(run, "bucket long not null, unit string not null")
 
 
 class _Known(dict):
@@ -409,40 +424,33 @@ def _encoded(texts: pa.Array, known: dict[str, bytes], cut: Callable[[str], list
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat, mask=texts.is_null())
 
 
-def _bucketed(docs: DataFrame, text_col: str, bucket_col: str, bucket: int) -> DataFrame:
-    """``docs`` with a bucket for each row, dealt out by it."""
-    size = docs.agg(F.sum(F.octet_length(text_col).cast("long") + 8)).first()[0] or 0
-    # types without a hash aside; equal rows share a bucket
-    hashed = [F.col(f"`{f.name.replace('`', '``')}`") for f in docs.schema if not re.search("map<|variant", f.dataType.simpleString())]
-    return docs.withColumn(bucket_col, F.pmod(F.xxhash64(*hashed), F.lit(max(1, -(-size // bucket)))).cast("long")).repartition(bucket_col)
-
-
-def _put_together(docs: DataFrame, pieces: Pieces, text_col: str, bucket: int, added: list[tuple[str, T.DataType]], make: Callable) -> DataFrame:
-    """``docs`` plus the ``added`` columns, which ``make`` gives for a slice of texts and their ids."""
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)
-    (bucket_col,) = free_name(docs, "bucket_")
-    keyed = _bucketed(docs, text_col, bucket_col, bucket)
-    units = _bucket_units(keyed, shared, bucket_col, text_col).repartition("unit")
-    # the number keeps filters of the lattice above the exchange of the units, so that it serves both sides
-    distinct = units.withColumn("number", F.monotonically_increasing_id()).groupBy("unit").agg(F.min("number").alias("number"))
+def _put_together(docs: DataFrame, pieces: Pieces, text_col: str, bucket: int, kept: list[str], added: list[tuple[str, T.DataType]], make: Callable) -> DataFrame:
+    """The ``kept`` columns plus the ``added`` ones, which ``make`` gives for a slice of texts and their ids."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(pieces), docs.columns.index(text_col)
+    packed = _packed(docs, text_col, bucket)
+    units = _bucket_units(packed, shared, at).repartition("unit")
+    # all columns and a number, so that no filter or projection of the lattice moves below the exchange
+    # of the units, and it serves both sides
+    distinct = units.withColumn("number", F.monotonically_increasing_id()).groupBy("unit").agg(F.min(F.struct("number", "bucket")).alias("number"))
     found = units.join(segment(distinct, pieces), "unit")
-    kept = [f for f in docs.schema if f.name not in [n for n, _ in added]]
-    schema = T.StructType([*kept, *(T.StructField(n, t) for n, t in added)])
+    schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(n, t) for n, t in added)])
+    places = [docs.columns.index(c) for c in kept]
 
     def run(mine: pa.Table, dictionary: pa.Table) -> pa.Table:
         known = _Known(shared.value)
         for batch in dictionary.select(["unit", "ids"]).to_batches():
             ids = batch.column(1)
-            flat, at = ids.flatten().to_numpy().astype("<i4").tobytes(), (np.asarray(ids.offsets) - ids.offsets[0].as_py()) * 4
-            known |= {u: flat[a:b] for u, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist())}
-        columns: list[list[pa.Array]] = [[] for _ in added]
-        for _, part in _sliced(mine.column(text_col)):
-            for column, values in zip(columns, make(part, _encoded(part, known, shared.value.units), shared.value)):
-                column.append(values)
-        out = {f.name: mine.column(f.name) for f in kept}
-        return pa.Table.from_arrays([*out.values(), *(pa.chunked_array(c) for c in columns)], [f.name for f in schema])
+            flat, ends = ids.flatten().to_numpy().astype("<i4").tobytes(), (np.asarray(ids.offsets) - ids.offsets[0].as_py()) * 4
+            known |= {u: flat[a:b] for u, a, b in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist())}
+        out = []
+        for rows in mine.column("rows"):
+            part = _unpacked(rows)
+            texts = part.column(at)
+            made = make(texts, _encoded(texts, known, shared.value.units), shared.value)
+            out.append(pa.RecordBatch.from_arrays([*(part.column(i) for i in places), *made], [f.name for f in schema]))
+        return pa.Table.from_batches(out)
 
-    return keyed.groupBy(bucket_col).cogroup(found.groupBy("bucket")).applyInArrow(run, schema)
+    return packed.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(run, schema)
 
 
 _IDS = T.ArrayType(T.IntegerType())
@@ -450,7 +458,8 @@ _IDS = T.ArrayType(T.IntegerType())
 
 def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_col: str = "ids", bucket: int = BUCKET) -> DataFrame:
     """``docs`` plus ``ids_col``: the piece ids of its whole texts."""
-    return _put_together(docs, pieces, text_col, bucket, [(ids_col, _IDS)], lambda texts, ids, _: [ids])
+    kept = [c for c in docs.columns if c != ids_col]
+    return _put_together(docs, pieces, text_col, bucket, kept, [(ids_col, _IDS)], lambda texts, ids, _: [ids])
 
 
 def _decoded(ids: pa.ListArray, pieces: Pieces) -> pa.Array:
@@ -487,9 +496,10 @@ def decode(docs: DataFrame, pieces: Pieces, ids_col: str = "ids", text_out: str
 
 
 def round_trip(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "round_trip", bucket: int = BUCKET) -> DataFrame:
-    """``docs`` plus ids and whether they decode to the text (null for a null text: true)."""
+    """``docs`` without the text, plus ids and whether they decode to the text (true for a null text)."""
 
     def make(texts: pa.Array, ids: pa.ListArray, pieces: Pieces) -> list[pa.Array]:
         return [ids, pc.fill_null(pc.equal(_decoded(ids, pieces), texts), True)]
 
-    return _put_together(docs, Pieces.load(path), text_col, bucket, [(ids_col, _IDS), (out_col, T.BooleanType())], make)
+    kept = [c for c in docs.columns if c not in (text_col, ids_col, out_col)]
+    return _put_together(docs, Pieces.load(path), text_col, bucket, kept, [(ids_col, _IDS), (out_col, T.BooleanType())], make)
