@@ -245,8 +245,8 @@ def segment(units: DataFrame, pieces: Pieces) -> DataFrame:
     else:
         edge = F.struct((end * PLACE + F.col("start")).alias("at"), "id", "score")
     edges = (
-        # a hash, which joins faster, and the piece itself
-        cuts.join(F.broadcast(table), (F.xxhash64("part") == F.col("key")) & (F.col("part") == F.col("piece")), "left")
+        # by a hash, as long keys join faster; the piece itself is compared as a range, which makes no second key
+        cuts.join(F.broadcast(table), (F.xxhash64("part") == F.col("key")) & (F.col("part") <= F.col("piece")) & (F.col("part") >= F.col("piece")), "left")
         # one row without a piece stays for each unit, so that one of unknown characters is kept
         .filter(F.col("id").isNotNull() | (end == 1))
         .groupBy("h", "unit")
@@ -431,7 +431,7 @@ def _put_together(docs: DataFrame, pieces: Pieces, text_col: str, bucket: int, k
     units = _bucket_units(packed, shared, at).repartition("unit")
     # all columns and a number, so that no filter or projection of the lattice moves below the exchange
     # of the units, and it serves both sides
-    distinct = units.withColumn("number", F.monotonically_increasing_id()).groupBy("unit").agg(F.min(F.struct("number", "bucket")).alias("number"))
+    distinct = units.withColumn("number", F.monotonically_increasing_id()).groupBy("unit").agg(F.min(F.struct("number", "bucket")).alias("number")).filter("number is not null")
     found = units.join(segment(distinct, pieces), "unit")
     schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(n, t) for n, t in added)])
     places = [docs.columns.index(c) for c in kept]
