@@ -73,7 +73,7 @@ def walk_forward(daily: DataFrame, share: float = 0.7) -> DataFrame:
     n, r = F.count(F.lit(1)).over(Window.partitionBy("symbol")), F.row_number().over(Window.partitionBy("symbol").orderBy("d"))
     part = F.when(r <= F.floor(n * share), "train").otherwise("test")
     x = daily.withColumn("part", part).withColumn("regime", regime(F.col("net_c"))).filter("ret is not null")
-    return x.groupBy("symbol", "part", "regime").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ret"), 4).alias("mean"), F.round(F.avg((F.col("ret") > 0).cast("int")) * 100, 2).alias("win_pct"))
+    return x.groupBy("symbol", "part", "regime").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ret"), 6).alias("mean"), F.round(F.avg((F.col("ret") > 0).cast("int")) * 100, 2).alias("win_pct"))
 
 
 def robustness(df: DataFrame, value: str, by: Sequence[str], trim: float = 0.05) -> DataFrame:

@@ -376,7 +376,7 @@ def signal_robustness(s, d):
 
 
 @query(FORWARD + """, p AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY d) <= floor(count(*) OVER (PARTITION BY symbol) * 0.7) THEN 'train' ELSE 'test' END AS part FROM fwd)
-SELECT symbol, part, CASE WHEN net_c > 0 THEN 'POSITIVE' WHEN net_c < 0 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS regime, count(*) AS n, round(avg(ret), 4) AS mean, round(avg(CASE WHEN ret > 0 THEN 1 ELSE 0 END) * 100, 2) AS win_pct FROM p WHERE ret IS NOT NULL GROUP BY ALL""")
+SELECT symbol, part, CASE WHEN net_c > 0 THEN 'POSITIVE' WHEN net_c < 0 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS regime, count(*) AS n, round(avg(ret), 6) AS mean, round(avg(CASE WHEN ret > 0 THEN 1 ELSE 0 END) * 100, 2) AS win_pct FROM p WHERE ret IS NOT NULL GROUP BY ALL""")
 def walk_forward(s, d):
     return R.walk_forward(_forward(s, d))
 
