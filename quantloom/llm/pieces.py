@@ -30,9 +30,9 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -111,11 +111,31 @@ class Pieces:
         parts = lambda p: (x for k in range(2, len(p)) for x in (p[:k], p[-k:]))
         return [(p, i, s, of[p], any(of.get(x, -1) >= of[p] for x in parts(p))) for p, i, s in self.rows]
 
-    def units(self, word: str) -> list[str]:
-        """A word, cut where no piece reaches across."""
-        joins, cuts = self.joins, [0]
-        cuts += [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joins]
-        return [word[a:b] for a, b in zip(cuts, [*cuts[1:], len(word)])]
+    def units(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """The units of some words one after the other, and how many each word has."""
+        place, holds = self._pairs
+        points = np.frombuffer((_END.join(words) + _END).encode("utf-32-le", "surrogatepass"), "<u4")
+        of = place[points]
+        last = points == ord(_END)
+        cut = np.flatnonzero(~holds[of[:-1], of[1:]] & ~last[:-1] & ~last[1:]) + 1
+        parts = np.insert(points, cut, ord(_END)).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")[:-1].split(_END) if words else []
+        ends = np.concatenate([[0], np.cumsum(np.isin(np.arange(len(points)), cut))])[np.flatnonzero(last)] if len(words) else np.zeros(0, np.int64)
+        return parts, np.diff(np.concatenate([[0], ends])) + 1
+
+    @cached_property
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each code point, and for two numbers whether some piece holds such characters side by side."""
+        letters = sorted({c for pair in self.joins for c in pair})
+        place, holds = np.zeros(0x110000, np.int32), np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        number = {c: i for i, c in enumerate(letters, 1)}
+        place[[ord(c) for c in letters]] = list(number.values())
+        for pair in self.joins:
+            holds[number[pair[0]], number[pair[1]]] = True
+        return place, holds
+
+
+#: No text holds this code point.
+_END = "\ud800"
 
 
 def words_of(text: str) -> list[str]:
@@ -323,7 +343,7 @@ def _words(texts: pa.Array) -> tuple[list[str], pa.Array]:
 
     Most texts are cut at single spaces, all at once; those with other blanks one by one.
     """
-    odd = pc.match_substring_regex(texts, f"^ |  | $|{BLANK}|^$")
+    odd = reduce(pc.or_, [pc.match_substring(texts, "  "), pc.match_substring(texts, BLANK), pc.starts_with(texts, " "), pc.ends_with(texts, " "), pc.equal(texts, "")])
     plain = texts.filter(pc.invert(odd))
     tokens = pc.split_pattern(plain, " ")
     coded = tokens.flatten().dictionary_encode()
@@ -382,21 +402,20 @@ def _bucket_units(packed: DataFrame, shared: Broadcast, at: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = shared.value.units
-        words: dict[int, set[str]] = defaultdict(set)
-        units: dict[int, set[str]] = defaultdict(set)
+        have: set[str] = set()
+        known: set[str] = set()
+        last = None
         for batch in batches:
             for bucket, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
-                have, known = words[bucket], units[bucket]
-                if len(have) > WORDS_HELD:
-                    have.clear()
-                    known.clear()
+                if bucket != last or len(have) > WORDS_HELD:
+                    have, known, last = set(), set(), bucket
                 new = [w for w in _words(_unpacked(rows).column(at))[0] if w not in have]
                 have.update(new)
-                fresh = {u for w in new for u in cut(w) if len(u) <= FOLDED} - known
+                fresh = {u for u in cut(new)[0] if len(u) <= FOLDED} - known
                 known |= fresh
                 yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(fresh), pa.int64()), pa.array(fresh, pa.string())], ["bucket", "unit"])
 
-    return packed.mapInArrow(run, "bucket long not null, unit string not null")
+    return packed.sortWithinPartitions("bucket").mapInArrow(run, "bucket long not null, unit string not null")
 
 
 class _Known(dict):
@@ -411,11 +430,12 @@ class _Known(dict):
         return np.array(self.find(unit), "<i4").tobytes()
 
 
-def _encoded(texts: pa.Array, known: dict[str, bytes], cut: Callable[[str], list[str]]) -> pa.ListArray:
+def _encoded(texts: pa.Array, known: dict[str, bytes], cut: Callable[[list[str]], tuple[list[str], np.ndarray]]) -> pa.ListArray:
     """The ids of texts from the ids of their units."""
     words, places = _words(texts)
-    ids = [b"".join([known[u] for u in cut(w)]) for w in words]
-    ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)])
+    units, counts = cut(words)
+    ids = [known[u] for u in units]
+    ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
     of_word = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32()))
     of_place = of_word.take(places.flatten())
     at = np.asarray(of_place.offsets) if len(of_place) else np.zeros(1, np.int64)

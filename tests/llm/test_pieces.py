@@ -80,8 +80,9 @@ def test_fold_and_helper_agree(spark, table, toy):
 def test_units_are_cut_where_no_piece_reaches(table):
     model = _library()
     for word in ("▁foo12,bar", "▁http://a.b/c_d", "x" * 70):
-        units = table.units(word)
-        assert "".join(units) == word
+        units, counts = table.units([word, "▁a", word])
+        assert "".join(units) == word + "▁a" + word and list(counts[[0, 2]]) == [(len(units) - counts[1]) // 2] * 2
+        units = units[: counts[0]]
         for a, b in zip(units, units[1:]):
             assert not any(a[-1] + b[0] in p for p, _, _ in table.rows)
     assert model.get_piece_size() > len(table.rows)
