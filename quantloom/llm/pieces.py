@@ -338,6 +338,10 @@ def finder(pieces: Pieces):
     return merged if pieces.merges else viterbi
 
 
+def _strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()  # several times as fast as to_pylist
+
+
 def _words(texts: pa.Array) -> tuple[list[str], pa.Array]:
     """The distinct words of some texts, and for each text the places of its words among them.
 
@@ -347,7 +351,7 @@ def _words(texts: pa.Array) -> tuple[list[str], pa.Array]:
     plain = texts.filter(pc.invert(odd))
     tokens = pc.split_pattern(plain, " ")
     coded = tokens.flatten().dictionary_encode()
-    known = [BLANK + w for w in coded.dictionary.to_pylist()]
+    known = [BLANK + w for w in _strings(coded.dictionary)]
     places, sizes, at = [np.asarray(coded.indices)], [np.diff(np.asarray(tokens.offsets))], {}
     if (rest := texts.filter(odd).drop_null()) and len(rest):
         at = {w: i for i, w in enumerate(known)}
@@ -461,12 +465,13 @@ def _put_together(docs: DataFrame, pieces: Pieces, text_col: str, bucket: int, k
         for batch in dictionary.select(["unit", "ids"]).to_batches():
             ids = batch.column(1)
             flat, ends = ids.flatten().to_numpy().astype("<i4").tobytes(), (np.asarray(ids.offsets) - ids.offsets[0].as_py()) * 4
-            known |= {u: flat[a:b] for u, a, b in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist())}
+            known |= {u: flat[a:b] for u, a, b in zip(_strings(batch.column(0)), ends[:-1].tolist(), ends[1:].tolist())}
         out = []
         for rows in mine.column("rows"):
             part = _unpacked(rows)
             texts = part.column(at)
             made = make(texts, _encoded(texts, known, shared.value.units), shared.value)
+            pa.default_memory_pool().release_unused()
             out.append(pa.RecordBatch.from_arrays([*(part.column(i) for i in places), *made], [f.name for f in schema]))
         return pa.Table.from_batches(out)
 
