@@ -121,24 +121,53 @@ def test_edit_distance():
         assert d == best == full(item, window[start:end])
 
 
-def test_recall_of_edited_items(spark):
+def _edited(words, edits, rng, word):
+    out = list(words)
+    for _ in range(edits):
+        kind, at = rng.random(), rng.randrange(len(out))
+        if kind < 0.34:
+            out[at] = word()
+        elif kind < 0.67 and len(out) > 1:
+            del out[at]
+        else:
+            out.insert(at, word())
+    return out
+
+
+@pytest.mark.parametrize("length", [2, 4, 5, 7, 8, 12, 30, 100, 300])
+def test_recall_with_all_edits(length):
+    rng = random.Random(length)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    items = [(i, " ".join(word() for _ in range(length))) for i in range(40)]
+    texts = [" ".join([word() for _ in range(rng.randint(0, 200))] + _edited(t.split(), D.allowed(length, 0.8), rng, word) + [word() for _ in range(50)]) for _, t in items]
+    found = {(k, i) for k, i, *_ in D.Items.build(items, 0.8, D.TABLES, D.SAMPLED).search(texts)}
+    assert len(found & {(i, i) for i, _ in items}) >= 0.95 * len(items)
+    assert not any(i for _, i, *_ in D.Items.build(items, 0.8, D.TABLES, D.SAMPLED).search([" ".join(word() for _ in range(500))]) if length > 4)
+
+
+def test_blocks(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choices("abcdefgh", k=4))
     items = [(i, " ".join(word() for _ in range(rng.randint(12, 60)))) for i in range(40)]
-    docs, planted = [], set()
-    for n in range(200):
-        i, text = rng.choice(items)
-        w = text.split()
-        for _ in range(rng.randint(0, D.allowed(len(w), 0.8))):
-            p = rng.randrange(len(w))
-            w[p : p + rng.randint(0, 1)] = [word()] * rng.randint(0, 1)
-        planted.add((n, i))
-        docs.append((n, " ".join(word() for _ in range(rng.randint(0, 300))) + " " + " ".join(w) + " " + " ".join(word() for _ in range(50))))
-    docs += [(1000 + n, " ".join(word() for _ in range(400))) for n in range(50)]
-    for block in (1000, 7):
-        found = {(r["doc_id"], r["item_id"]) for r in D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block=block).collect()}
-        assert len(found & planted) >= 0.95 * len(planted)
-        assert all(d < 1000 for d, _ in found)
+    docs = [(n, " ".join([word() for _ in range(100)] + items[n % 40][1].split() + [word() for _ in range(50)])) for n in range(80)]
+    for block in (D.BLOCK, 1500):
+        found = D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block=block).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in found} == {(n, n % 40) for n in range(80)}
+        assert all((r["distance"], r["start"], r["end"]) == (0, 100, 100 + len(items[r["item_id"]][1].split())) for r in found)
+
+
+def test_all_windows_brute_force(spark, sf_dir):
+    """Every text of sf0.001 against every item, by edit distance over the whole text."""
+    np = D.np
+    items = [(r["item_id"], D.words_of(r["text"])) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    number = {}
+    coded = [(i, np.array([number.setdefault(w, len(number) + 1) for w in words])) for i, words in items]
+    want = set()
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        text = np.array([number.get(w, 0) for w in D.words_of(r["text"])], int)
+        want |= {(r["doc_id"], i) for i, item in coded if len(text) and np.isin(item, text).sum() >= 0.8 * len(item) and D._last_row(item, text, True).min() <= D.allowed(len(item), 0.8)}
+    found = {(r["doc_id"], r["item_id"]) for r in Q.op8_decontamination(spark, sf_dir).collect()}
+    assert want and found <= want and len(found) >= 0.95 * len(want)
 
 
 def test_every_exact_leak(spark, sf_dir):
@@ -150,7 +179,12 @@ def test_every_exact_leak(spark, sf_dir):
 def test_decontamination_odd(spark, odd_docs):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "same text here"), (4, "word " * 20), (4, "word " * 20)], "item_id long, text string")
     found = {(r["doc_id"], r["item_id"]) for r in D.find_leaks(odd_docs, items).collect()}
-    assert found == {(7, 4)}
+    assert found == {(7, 4), (5, 3), (6, 3)}
+    left = D.drop_leaking(odd_docs.withColumn("leak_", F.lit(1)), items)
+    assert left.columns == [*odd_docs.columns, "leak_"]
+    assert sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "2", "3", "4", "8", "None"]
+    rows = spark.createDataFrame([(None, "so same text here it is"), (None, "no id"), (1, "no id")], "doc_id long, text string")
+    assert D.drop_leaking(rows, items).count() == 2 and D.find_leaks(rows, items).first()["doc_id"] is None
     assert D.find_leaks(odd_docs.limit(0), items).count() == 0 == D.find_leaks(odd_docs, items.limit(0)).count()
 
 

@@ -68,14 +68,14 @@ def test_chat_odd_rows(spark):
 # line dedup
 
 
-def _boilerplate(rows, ratio, least):
+def _boilerplate(rows, ratio):
     pages, lines = Counter(), Counter()
     for _, text, host in rows:
         if host is not None:
             pages[host] += 1
             for line in {x.strip(" ") for x in (text or "").split("\n")} - {""}:
                 lines[host, line] += 1
-    bad = {k for k, n in lines.items() if n >= least and n >= ratio * pages[k[0]]}
+    bad = {k for k, n in lines.items() if n > 1 and n > ratio * pages[k[0]]}
     return Counter(
         (i, text if text is None else "\n".join(x for x in text.split("\n") if x.strip(" ") == "" or (host, x.strip(" ")) not in bad)) for i, text, host in rows
     )
@@ -87,10 +87,14 @@ def test_line_dedup(spark, most):
     pool = ["menu", " menu ", "", "foot", "rare one", "x" * 500, "é"]
     rows = [(i, rng.choice([None, "", "\n".join(rng.choices(pool + [f"own {i}"], k=rng.randint(1, 6)))]), rng.choice(["a", "a", "a", "b", None])) for i in range(300)]
     df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, source string, keys_ long")
-    out = drop_boilerplate_lines(df, F.col("source"), ratio=0.2, min_pages=3, broadcast_keys=most)
+    out = drop_boilerplate_lines(df, F.col("source"), ratio=0.2, broadcast_keys=most)
     assert out.columns == [*df.columns, "n_dropped"]
-    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == _boilerplate(rows, 0.2, 3)
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == _boilerplate(rows, 0.2)
     assert drop_boilerplate_lines(df.limit(0), F.col("source")).count() == 0
+    kept = drop_boilerplate_lines(df.withColumn("n_dropped", F.lit(77)), F.col("source"), dropped_col=None)
+    assert {r["n_dropped"] for r in kept.collect()} == {77}
+    two = spark.createDataFrame([(1, "a\nb", "small"), (2, "a\nc", "small"), (3, "d", "one")], "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["text"] for r in drop_boilerplate_lines(two, F.col("source")).collect()} == {1: "b", 2: "c", 3: "d"}
 
 
 # sharding
@@ -156,6 +160,15 @@ def test_personal_data_made_up(spark, tmp_path):
     _check_base(Q.op5_personal_data(spark, str(tmp_path)).collect(), texts)
 
 
+def test_many_matches_take_linear_time(spark):
+    import time
+
+    rows = spark.createDataFrame([(1, "10.0.0.1 " * 32_000)], "doc_id long, text string")
+    began = time.time()
+    spans = find_personal_data(rows).first()["spans"]
+    assert len(spans) == 32_000 and spans[-1]["end"] == 32_000 * 9 - 1 and time.time() - began < 20
+
+
 def test_added_kinds(spark):
     df = spark.createDataFrame([(1, "my iban GB82 WEST 1234 5698 7654 32 ok"), (2, "GB82 WEST 1234 5698 7654 33"), (3, 'token = "' + "0af1" * 10 + '"')], "doc_id long, text string")
     kinds = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in find_personal_data(df).collect()}
