@@ -383,7 +383,7 @@ def _packed(docs: DataFrame, text_col: str, bucket: int) -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, filled, squeeze = TaskContext.get().partitionId() << 32, 0, zstandard.ZstdCompressor(3)
+        number, filled, squeeze = TaskContext.get().partitionId() << 32, 0, zstandard.ZstdCompressor(6)
         for batch in batches:
             for part, size in _sliced(batch, batch.column(at)):
                 if filled and filled + size > bucket:
@@ -422,25 +422,33 @@ def _bucket_units(packed: DataFrame, shared: Broadcast, at: int) -> DataFrame:
     return packed.sortWithinPartitions("bucket").mapInArrow(run, "bucket long not null, unit string not null")
 
 
-class _Known(dict):
-    """The ids of units as the bytes of 32-bit numbers; those of long units are found when asked for."""
-
-    def __init__(self, pieces: Pieces) -> None:
-        self.find = finder(pieces)
-
-    def __missing__(self, unit: str) -> bytes:
-        if len(unit) <= FOLDED:
-            raise KeyError(unit)
-        return np.array(self.find(unit), "<i4").tobytes()
-
-
-def _encoded(texts: pa.Array, known: dict[str, bytes], cut: Callable[[list[str]], tuple[list[str], np.ndarray]]) -> pa.ListArray:
+@dataclass(frozen=True)
+class _Known:
+    """The ids of units, in Arrow; those of long units are found when asked for."""
+
+    units: pa.Array
+    ids: pa.ListArray
+    find: Callable[[str], list[int]]
+
+    def of(self, units: list[str]) -> pa.ListArray:
+        asked = pa.array(units, pa.string())
+        place, ids = pc.index_in(asked, self.units), self.ids
+        if place.null_count:
+            missing = pc.unique(asked.filter(place.is_null()))
+            if short := [u for u in missing.to_pylist() if len(u) <= FOLDED]:
+                raise KeyError(short[0])
+            ids = pa.concat_arrays([ids, pa.array([self.find(u) for u in missing.to_pylist()], pa.list_(pa.int32()))])
+            place = pc.coalesce(place, pc.add(pc.index_in(asked, missing), pa.scalar(len(self.units), pa.int32())))
+        return ids.take(place)
+
+
+def _encoded(texts: pa.Array, known: _Known, cut: Callable[[list[str]], tuple[list[str], np.ndarray]]) -> pa.ListArray:
     """The ids of texts from the ids of their units."""
     words, places = _words(texts)
     units, counts = cut(words)
-    ids = [known[u] for u in units]
-    ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-    of_word = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32()))
+    ids = known.of(units)
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(), dtype=np.int64)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+    of_word = pa.LargeListArray.from_arrays(pa.array(ends), ids.flatten())
     of_place = of_word.take(places.flatten())
     at = np.asarray(of_place.offsets) if len(of_place) else np.zeros(1, np.int64)
     flat = of_place.flatten()
@@ -456,16 +464,13 @@ def _put_together(docs: DataFrame, pieces: Pieces, text_col: str, bucket: int, k
     # all columns and a number, so that no filter or projection of the lattice moves below the exchange
     # of the units, and it serves both sides
     distinct = units.withColumn("number", F.monotonically_increasing_id()).groupBy("unit").agg(F.min(F.struct("number", "bucket")).alias("number")).filter("number is not null")
-    found = units.join(segment(distinct, pieces), "unit")
+    narrow = "array<short>" if len(pieces.strings) < 1 << 15 else "array<int>"
+    found = units.join(segment(distinct, pieces), "unit").withColumn("ids", F.col("ids").cast(narrow))
     schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(n, t) for n, t in added)])
     places = [docs.columns.index(c) for c in kept]
 
     def run(mine: pa.Table, dictionary: pa.Table) -> pa.Table:
-        known = _Known(shared.value)
-        for batch in dictionary.select(["unit", "ids"]).to_batches():
-            ids = batch.column(1)
-            flat, ends = ids.flatten().to_numpy().astype("<i4").tobytes(), (np.asarray(ids.offsets) - ids.offsets[0].as_py()) * 4
-            known |= {u: flat[a:b] for u, a, b in zip(_strings(batch.column(0)), ends[:-1].tolist(), ends[1:].tolist())}
+        known = _Known(pa.concat_arrays([pa.array([], pa.string()), *dictionary.column("unit").chunks]), pa.concat_arrays([pa.array([], _LIST), *(c.cast(_LIST) for c in dictionary.column("ids").chunks)]), finder(shared.value))
         out = []
         for rows in mine.column("rows"):
             part = _unpacked(rows)
@@ -478,7 +483,7 @@ def _put_together(docs: DataFrame, pieces: Pieces, text_col: str, bucket: int, k
     return packed.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(run, schema)
 
 
-_IDS = T.ArrayType(T.IntegerType())
+_IDS, _LIST = T.ArrayType(T.IntegerType()), pa.list_(pa.int32())
 
 
 def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_col: str = "ids", bucket: int = BUCKET) -> DataFrame:
