@@ -51,34 +51,49 @@ def greeks(option_type: Column, s: Column, k: Column, t: Column, sigma: Column,
     }
 
 
-_erf = np.vectorize(math.erf, otypes=[float])
+def _cdf(x: np.ndarray) -> np.ndarray:
+    z = np.abs(x) / math.sqrt(2)
+    t = 1 / (1 + P * z)
+    half = 0.5 * ((((A[4] * t + A[3]) * t + A[2]) * t + A[1]) * t + A[0]) * t * np.exp(-z * z)
+    return np.where(x == 0, 0.5, np.where(x > 0, 1 - half, half))
 
 
 def _price(call: np.ndarray, s: np.ndarray, k: np.ndarray, t: np.ndarray, sigma: np.ndarray, r: float) -> np.ndarray:
     root = np.sqrt(t)
     d1 = (np.log(s / k) + (r + sigma * sigma / 2) * t) / (sigma * root)
-    cdf = lambda x: 0.5 * (1 + _erf(x / math.sqrt(2)))
     sign = np.where(call, 1.0, -1.0)
-    return sign * (s * cdf(sign * d1) - k * np.exp(-r * t) * cdf(sign * (d1 - sigma * root)))
+    return sign * (s * _cdf(sign * d1) - k * np.exp(-r * t) * _cdf(sign * (d1 - sigma * root)))
+
+
+#: The bracket of the volatility, and what counts as equal in price or volatility.
+LOW, HIGH, TOLERANCE = 0.001, 10.0, 1e-8
 
 
 def implied_vol(option_type: Column, s: Column, k: Column, t: Column, price: Column, r: float = 0.065) -> Column:
-    """struct<iv, status>. Status: SUCCESS, EXPIRED, INVALID_PRICE, BELOW_INTRINSIC or ABOVE_MAX."""
+    """struct<iv, status> by bisection; iv is null where there is none.
+
+    Status: SUCCESS, EXPIRED, INVALID_PRICE, BELOW_INTRINSIC, ABOVE_MAX (above the spot of a call or
+    the strike of a put) or NO_BRACKET. A price equal to the intrinsic value has the lowest volatility.
+    """
 
     @F.pandas_udf("iv double, status string")
     def solve(kind: pd.Series, s: pd.Series, k: pd.Series, t: pd.Series, price: pd.Series) -> pd.DataFrame:
         call, s, k, t, p = (kind == "CE").to_numpy(), *(x.to_numpy(float) for x in (s, k, t, price))
         inner = np.maximum(np.where(call, s - k, k - s), 0)
-        status = np.select([~(t > 0), ~(p > 0), p < inner, p > np.where(call, s, k)], ["EXPIRED", "INVALID_PRICE", "BELOW_INTRINSIC", "ABOVE_MAX"], "SUCCESS")
-        go = np.flatnonzero(status == "SUCCESS")
+        status = np.select([~(t > 0), ~(p > 0), p < inner - TOLERANCE, p > np.where(call, s, k)], ["EXPIRED", "INVALID_PRICE", "BELOW_INTRINSIC", "ABOVE_MAX"], "SUCCESS")
         iv = np.full(len(p), np.nan)
+        at_inner = (status == "SUCCESS") & (np.abs(p - inner) <= TOLERANCE)
+        iv[at_inner] = LOW
+        go = np.flatnonzero((status == "SUCCESS") & ~at_inner)
         call, s, k, t, p = call[go], s[go], k[go], t[go], p[go]
-        low, high = np.full(len(go), 0.001), np.full(len(go), 10.0)
-        for _ in range(60):  # half-width under 1e-8 long before
+        low, high = np.full(len(go), LOW), np.full(len(go), HIGH)
+        outside = (p < _price(call, s, k, t, low, r) - TOLERANCE) | (p > _price(call, s, k, t, high, r) + TOLERANCE)
+        status[go[outside]] = "NO_BRACKET"
+        for _ in range(34):  # the half-width is then under the tolerance
             mid = (low + high) / 2
             dear = _price(call, s, k, t, mid, r) > p
             low, high = np.where(dear, low, mid), np.where(dear, mid, high)
-        iv[go] = (low + high) / 2
-        return pd.DataFrame({"iv": iv, "status": status})
+        iv[go] = np.where(outside, np.nan, (low + high) / 2)
+        return pd.DataFrame({"iv": pd.Series(iv, dtype="Float64").where(~np.isnan(iv)), "status": status})
 
     return solve(option_type, s, k, t, price)

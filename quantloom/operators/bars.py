@@ -46,14 +46,14 @@ def daily_coverage(bars: DataFrame, expected: int = 24) -> DataFrame:
     )
 
 
-def missing_ranges(days: DataFrame, d: str = "d") -> DataFrame:
-    """Islands of weekdays without a row between the first and last day; a weekend ends an island."""
-    have = days.select(F.col(d).alias("d")).distinct()
-    span = have.agg(F.min("d").alias("a"), F.max("d").alias("b")).filter("a is not null")
-    weekdays = span.select(F.explode(F.sequence("a", "b")).alias("d")).filter(F.weekday("d") < 5)
-    gone = weekdays.join(have, "d", "left_anti")
-    run = F.datediff("d", F.lit("1970-01-01")) - F.row_number().over(Window.orderBy("d"))  # one row a calendar day
-    return gone.withColumn("run", run).groupBy("run").agg(F.min("d").alias("start"), F.max("d").alias("end"), F.count(F.lit(1)).alias("days")).drop("run")
+def missing_ranges(days: DataFrame, keys: Sequence[str] = ("symbol",), d: str = "d") -> DataFrame:
+    """By key, islands of weekdays without a row between the key's first and last day; a weekend ends an island."""
+    have = days.select(*keys, F.col(d).alias("d")).distinct()
+    span = have.groupBy(*keys).agg(F.min("d").alias("a"), F.max("d").alias("b")).filter("a is not null")
+    weekdays = span.select(*keys, F.explode(F.sequence("a", "b")).alias("d")).filter(F.weekday("d") < 5)
+    gone = weekdays.join(have, [*keys, "d"], "left_anti")
+    run = F.datediff("d", F.lit("1970-01-01")) - F.row_number().over(Window.partitionBy(*keys).orderBy("d"))
+    return gone.withColumn("run", run).groupBy(*keys, "run").agg(F.min("d").alias("start"), F.max("d").alias("end"), F.count(F.lit(1)).alias("days")).drop("run")
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, values: Sequence[str]) -> DataFrame:

@@ -6,8 +6,9 @@ Money is in cents (long) until the last step. Equity and drawdown of one account
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,24 +61,34 @@ def net_positions(fills: DataFrame) -> DataFrame:
     """Signed quantity, average entry price and realised result of each instrument, by an ordered fold.
 
     A fill on the same side averages in; on the other side it realises, and beyond flat it opens at
-    its own price. An instrument's fills are folded in one row: keep instruments apart by account.
+    its own price. Sorted fills stream through their task, which holds one instrument's state only.
     """
     signed = F.when(F.col("action") == "buy", F.col("quantity")).otherwise(-F.col("quantity"))
-    zero = F.struct(F.lit(0).cast("long").alias("q"), F.lit(0.0).alias("avg"), F.lit(0.0).alias("real"))
-
-    def step(s: Column, f: Column) -> Column:
-        q, price = f["q"], f["p"].cast("double")
-        same = (s["q"] == 0) | (F.signum(s["q"].cast("double")) == F.signum(q.cast("double")))
-        left = s["q"] + q
-        closed = F.least(F.abs(s["q"]), F.abs(q))
-        gain = closed * (price - s["avg"]) * F.signum(s["q"].cast("double"))
-        return F.when(same, F.struct(left.alias("q"), F.try_divide(s["avg"] * F.abs(s["q"]) + price * F.abs(q), F.abs(left)).alias("avg"), s["real"].alias("real"))).otherwise(
-            F.struct(left.alias("q"), F.when(left == 0, 0.0).when(F.signum(left.cast("double")) == F.signum(q.cast("double")), price).otherwise(s["avg"]).alias("avg"), (s["real"] + gain).alias("real"))
-        )
-
-    ordered = F.array_sort(F.collect_list(F.struct("seq", signed.alias("q"), F.col("price_c").alias("p"))))
-    done = fills.groupBy("instrument").agg(F.aggregate(ordered, zero, step).alias("s"))
-    return done.select("instrument", F.col("s.q").alias("net_quantity"), F.round(F.col("s.avg") / 100, 4).alias("average_price"), F.round(F.col("s.real") / 100, 2).alias("realized_pnl"))
+    ordered = fills.select("instrument", "seq", signed.alias("q"), "price_c").repartition("instrument").sortWithinPartitions("instrument", "seq", "price_c").select("instrument", "q", "price_c")
+    schema = pa.schema([("instrument", pa.int64()), ("net_quantity", pa.int64()), ("average_price", pa.float64()), ("realized_pnl", pa.float64())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, average, real = None, 0, 0.0, 0.0
+        for batch in batches:
+            done = []
+            for instrument, q, price in zip(*(c.to_numpy(zero_copy_only=False).tolist() for c in batch.columns)):
+                if instrument != current:
+                    if current is not None:
+                        done.append((current, held, round(average / 100, 4), round(real / 100, 2)))
+                    current, held, average, real = instrument, 0, 0.0, 0.0
+                if held == 0 or (held > 0) == (q > 0):
+                    average = (average * abs(held) + price * abs(q)) / abs(held + q) if held + q else 0.0
+                else:
+                    real += min(abs(held), abs(q)) * (price - average) * (1 if held > 0 else -1)
+                    if abs(q) >= abs(held):
+                        average = float(price) if abs(q) > abs(held) else 0.0
+                held += q
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
+        if current is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (current, held, round(average / 100, 4), round(real / 100, 2))))], schema=schema)
+
+    return ordered.mapInArrow(fold, "instrument long, net_quantity long, average_price double, realized_pnl double")
 
 
 def fifo_allocation(fills: DataFrame) -> DataFrame:
@@ -90,10 +101,11 @@ def fifo_allocation(fills: DataFrame) -> DataFrame:
     ends = fills.withColumn("end", F.sum("quantity").over(w)).filter("quantity > 0")
     axis = Window.partitionBy("instrument").orderBy("end")
     edges = ends.groupBy("instrument", "end").agg(F.max(F.when(F.col("action") == "buy", F.col("price_c"))).alias("buy"), F.max(F.when(F.col("action") == "sell", F.col("price_c"))).alias("sell"))
-    ahead = axis.rowsBetween(0, Window.unboundedFollowing)
+    # backwards, so that the frame ends at the current row and each row is looked at once
+    after = Window.partitionBy("instrument").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
     cut = edges.select(
         "instrument", F.coalesce(F.lag("end").over(axis), F.lit(0)).alias("start"), "end",
-        F.first("buy", ignorenulls=True).over(ahead).alias("buy_c"), F.first("sell", ignorenulls=True).over(ahead).alias("sell_c"),
+        F.last("buy", ignorenulls=True).over(after).alias("buy_c"), F.last("sell", ignorenulls=True).over(after).alias("sell_c"),
     )
     return cut.filter("buy_c is not null and sell_c is not null").groupBy("instrument").agg(F.sum(F.col("end") - F.col("start")).alias("matched"), F.sum((F.col("end") - F.col("start")) * (F.col("sell_c") - F.col("buy_c"))).alias("gain_c"))
 

@@ -21,7 +21,7 @@ def describe(df: DataFrame, value: str, *by: str) -> DataFrame:
     at = lambda i: F.max(F.when(F.col("_r") == i, v))
     n = F.col("_n")
     return x.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(v), 4).alias("mean"), F.round(F.median(v), 4).alias("median"), F.round(F.stddev_pop(v), 4).alias("std"),
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(v), 4).alias("mean"), F.round(F.median(v), 6).alias("median"), F.round(F.stddev_pop(v), 4).alias("std"),
         F.round(F.avg((v > 0).cast("int")) * 100, 2).alias("win_pct"), at(F.floor(n / 4)).alias("p25"), at(F.least(F.floor(3 * n / 4), n - 1)).alias("p75"), F.min(v).alias("min"), F.max(v).alias("max"),
     )
 

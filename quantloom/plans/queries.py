@@ -179,12 +179,13 @@ def bars_daily_coverage(s, d):
     return B.daily_coverage(_bars(s, d))
 
 
-@query("""have AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey % 40 = 0), span AS (SELECT min(d) AS a, max(d) AS b FROM have),
-w AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS d FROM span), gone AS (SELECT d FROM w WHERE isodow(d) < 6 AND d NOT IN (SELECT d FROM have)), r AS (SELECT d, d - CAST(row_number() OVER (ORDER BY d) AS INTEGER) AS run FROM gone)
-SELECT min(d) AS start, max(d) AS "end", count(*) AS days FROM r GROUP BY run""")
+@query("""have AS (SELECT DISTINCT o_orderpriority AS priority, o_orderstatus AS status, CAST(o_orderdate AS DATE) AS d FROM orders), span AS (SELECT priority, status, min(d) AS a, max(d) AS b FROM have GROUP BY ALL),
+w AS (SELECT priority, status, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS d FROM span), gone AS (SELECT * FROM w WHERE isodow(d) < 6 AND NOT EXISTS (SELECT 1 FROM have h WHERE h.priority = w.priority AND h.status = w.status AND h.d = w.d)),
+r AS (SELECT *, d - CAST(row_number() OVER (PARTITION BY priority, status ORDER BY d) AS INTEGER) AS run FROM gone) SELECT priority, status, min(d) AS start, max(d) AS "end", count(*) AS days FROM r GROUP BY priority, status, run""")
 def bars_missing_ranges(s, d):
-    # every fortieth order key is the series whose missing days are asked for
-    return B.missing_ranges(S.table(s, d, "orders").filter(F.col("o_orderkey") % 40 == 0).select(F.to_date("o_orderdate").alias("d")))
+    """Weekdays without an order, for each priority and status."""
+    orders = S.table(s, d, "orders").select(F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), F.to_date("o_orderdate").alias("d"))
+    return B.missing_ranges(orders, ["priority", "status"])
 
 
 @query(BARS + """ SELECT t.event_id, t.ts, t.event_type AS symbol, b.close AS asof_close FROM (SELECT * FROM events WHERE value IS NOT NULL) t ASOF LEFT JOIN (SELECT symbol, open_time + INTERVAL 1 HOUR AS at, close FROM bars) b ON t.event_type = b.symbol AND t.ts >= b.at""")
@@ -323,7 +324,7 @@ def position_exposure(s, d):
 # research
 
 
-DESCRIBE = """count(*) AS n, round(avg(ret), 4) AS mean, round(median(ret), 4) AS median, round(stddev_pop(ret), 4) AS std, round(avg(CASE WHEN ret > 0 THEN 1 ELSE 0 END) * 100, 2) AS win_pct, list_sort(list(ret))[1 + CAST(floor(count(*) / 4) AS INTEGER)] AS p25,
+DESCRIBE = """count(*) AS n, round(avg(ret), 4) AS mean, round(median(ret), 6) AS median, round(stddev_pop(ret), 4) AS std, round(avg(CASE WHEN ret > 0 THEN 1 ELSE 0 END) * 100, 2) AS win_pct, list_sort(list(ret))[1 + CAST(floor(count(*) / 4) AS INTEGER)] AS p25,
   list_sort(list(ret))[1 + CAST(least(floor(3 * count(*) / 4), count(*) - 1) AS INTEGER)] AS p75, min(ret) AS min, max(ret) AS max"""
 
 
@@ -410,13 +411,23 @@ def bs_greeks(s, d):
     return x.select("symbol", "d", "expiry", "strike", "option_type", *(F.round(g[n], 8 if n == "gamma" else 6 if n == "delta" else 4).alias(n) for n in ("price", "delta", "gamma", "vega", "theta")))
 
 
-@query()
+def _model(sigma: str) -> str:
+    """The model price in SQL, over s (1 or -1), spot, strike and t."""
+    d1 = f"((ln(spot / strike) + (0.065::DOUBLE + {sigma} * {sigma} / 2) * t) / ({sigma} * sqrt(t)))"
+    return f"s * (spot * {_cdf(f'(s * {d1})')} - strike * exp(-0.065::DOUBLE * t) * {_cdf(f'(s * ({d1} - {sigma} * sqrt(t)))')})"
+
+
+@query(PRICED + f""", a AS (SELECT *, CASE option_type WHEN 'CE' THEN 1.0 ELSE -1.0 END::DOUBLE AS s FROM o), p AS (SELECT *, {_model("sigma")} AS price, greatest(s * (spot - strike), 0) AS intr FROM a),
+q AS (SELECT *, CASE WHEN price <= 0 THEN 'INVALID_PRICE' WHEN price < intr - 1e-8 THEN 'BELOW_INTRINSIC' WHEN price > CASE option_type WHEN 'CE' THEN spot ELSE strike END THEN 'ABOVE_MAX' WHEN abs(price - intr) <= 1e-8 THEN 'SUCCESS'
+  WHEN price < {_model("0.001::DOUBLE")} - 1e-8 OR price > {_model("10::DOUBLE")} + 1e-8 THEN 'NO_BRACKET' ELSE 'SUCCESS' END AS status FROM p)
+SELECT symbol, d, expiry, strike, option_type, status, round(price, 4) AS price, CASE WHEN status = 'SUCCESS' THEN true END AS repriced FROM q""")
 def implied_vol(s, d):
-    """Solved back from model prices; deep options whose price does not depend on volatility differ."""
+    """Solved back from model prices: the model price at the volatility found is the price again."""
     x = _priced(s, d)
-    g = pricing.greeks(F.col("option_type"), F.col("spot").cast("double"), F.col("strike").cast("double"), F.col("t"), F.col("sigma"))
+    of = lambda sigma: pricing.greeks(F.col("option_type"), F.col("spot").cast("double"), F.col("strike").cast("double"), F.col("t"), sigma)["price"]
     iv = pricing.implied_vol(F.col("option_type"), F.col("spot").cast("double"), F.col("strike").cast("double"), F.col("t"), F.col("price"))
-    return x.withColumn("price", g["price"]).withColumn("solved", iv).select("symbol", "d", "expiry", "strike", "option_type", "sigma", "price", F.col("solved.iv").alias("iv"), F.col("solved.status").alias("status"))
+    x = x.withColumn("price", of(F.col("sigma"))).withColumn("solved", iv)
+    return x.select("symbol", "d", "expiry", "strike", "option_type", F.col("solved.status").alias("status"), F.round("price", 4).alias("price"), (F.abs(of(F.col("solved.iv")) - F.col("price")) < 1e-4).alias("repriced"))
 
 
 STRATEGIES = """SELECT name, array(struct(type1 AS type, action1 AS action, double(k1) AS strike, 1 AS qty, double(p1) AS premium), struct(type2 AS type, action2 AS action, double(k2) AS strike, 1 AS qty, double(p2) AS premium)) AS legs FROM VALUES
@@ -441,7 +452,8 @@ def spot_sweep(s, d):
     return O.spot_sweep(S.chain(s, d))
 
 
-@query()
+@query("""l(type, action, strike) AS (VALUES ('CE', 1, 1450), ('CE', -1, 1550), ('CE', 1, 1500), ('PE', 1, 1500), ('PE', 1, 1550), ('PE', -1, 1450), ('CE', -1, 1600), ('PE', -1, 1400)), g AS (SELECT type, action, CAST(strike AS DOUBLE) AS strike, shift::DOUBLE AS shift, vol::DOUBLE AS vol, 1500 * (1 + shift::DOUBLE) AS spot, 30::DOUBLE / 365 AS t, CASE type WHEN 'CE' THEN 1.0 ELSE -1.0 END::DOUBLE AS s
+FROM l, (SELECT unnest([-0.1, -0.05, 0.0, 0.05, 0.1]) AS shift), (SELECT unnest([0.1, 0.2, 0.3]) AS vol)) SELECT shift, vol, round(sum(action * """ + _model("vol") + """), 4) AS value FROM g GROUP BY shift, vol""")
 def scenario_matrix(s, d):
     legs = s.sql(STRATEGIES).select(F.inline("legs"))
     return O.scenario_matrix(legs, 1500.0, (-0.1, -0.05, 0.0, 0.05, 0.1), (0.1, 0.2, 0.3), 30 / 365)

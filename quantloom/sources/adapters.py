@@ -66,3 +66,29 @@ def strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").alias("part"),
     )
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("strategy_id")).agg(F.array_sort(F.collect_list(leg)).alias("legs"))
+
+
+def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open exposures of positions (suppliers), one an order line and side."""
+    return (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(F.col("l_suppkey").alias("position"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.when(F.col("l_linestatus") == "F", "buy").otherwise("sell").alias("side"))
+        .agg(F.sum(F.col("l_quantity").cast("long")).alias("remaining"))
+    )
+
+
+def strategy_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legs of executed strategies (orders), with entry and exit time and result."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("strategy_id"), F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("tag"), F.col("o_orderdate").alias("entry"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("strategy_id"), F.col("l_shipdate").alias("exit"), (F.col("l_linestatus") == "F").alias("closed"), (F.round(F.col("l_extendedprice") * 100).cast("long") - 3_500_000).alias("pnl_c"))
+    return orders.join(lines, "strategy_id")
+
+
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions with a mark; some have none."""
+    average = F.round(F.col("l_extendedprice") / F.col("l_quantity") * 100).cast("long")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("account"), F.concat(F.lit("S"), F.col("l_partkey") % 3).alias("symbol"), F.col("l_partkey").alias("instrument"), F.when(F.col("l_linestatus") == "F", "buy").otherwise("sell").alias("side"),
+        F.when(F.col("l_returnflag") == "A", "CE").otherwise("PE").alias("type"), F.col("l_quantity").cast("long").alias("quantity"), average.alias("average_c"),
+        F.when(F.col("l_partkey") % 997 != 0, average + (F.col("l_suppkey") % 41 - 20) * 100).alias("mark_c"),
+    )

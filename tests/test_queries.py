@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions import pricing
 from quantloom.operators import bars, gex, portfolio, research
-from quantloom.plans.queries import QUERIES, SQL
+from quantloom.plans import QUERIES, SQL
 from quantloom.streaming.ticks import stream_bars
 
 
@@ -78,7 +78,7 @@ def test_eligibility_order(spark):
 
 
 def test_change_guards_zero(spark):
-    daily = spark.createDataFrame([(date(2024, 1, i + 1), n) for i, n in enumerate([0, 50, 100])], "d date, net_c long")
+    daily = spark.createDataFrame([("S", date(2024, 1, i + 1), n) for i, n in enumerate([0, 50, 100])], "symbol string, d date, net_c long")
     assert [r["gex_change"] for r in gex.change(daily).orderBy("d").collect()] == [None, None, 50 * gex.SCALE]
     assert [r["gex_change"] for r in gex.change(daily, zero_is_missing=False).orderBy("d").collect()] == [None, 50 * gex.SCALE, 50 * gex.SCALE]
 
