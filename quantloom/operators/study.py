@@ -161,7 +161,7 @@ def regimes_by_percentile(data: DataFrame, feature: str, outcome: str) -> DataFr
     levels = data.groupBy("symbol").agg(F.percentile(feature, 0.2).alias("p20"), F.percentile(feature, 0.8).alias("p80"))
     v = F.col(feature)
     band = F.when(v <= F.col("p20"), "LOW").when(v >= F.col("p80"), "HIGH").otherwise("MID")
-    return data.join(levels, "symbol").filter(F.col(outcome).isNotNull()).groupBy("symbol", band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(outcome), 6).alias("mean"))
+    return data.join(levels, "symbol").filter(F.col(outcome).isNotNull()).groupBy("symbol", band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(outcome), 8).alias("mean"))
 
 
 def split_windows(data: DataFrame, outcome: str, train: int = 300, test: int = 100, step: int = 100) -> DataFrame:

@@ -107,7 +107,7 @@ def regime_t_test(s, d):
 
 
 @query(DATA + """, l AS (SELECT symbol, quantile_cont(net_c::DOUBLE, 0.2) AS p20, quantile_cont(net_c::DOUBLE, 0.8) AS p80 FROM data GROUP BY symbol)
-SELECT symbol, CASE WHEN net_c <= p20 THEN 'LOW' WHEN net_c >= p80 THEN 'HIGH' ELSE 'MID' END AS band, count(*) AS n, round(avg(ret_15), 6) AS mean FROM data JOIN l USING (symbol) WHERE ret_15 IS NOT NULL GROUP BY ALL""")
+SELECT symbol, CASE WHEN net_c <= p20 THEN 'LOW' WHEN net_c >= p80 THEN 'HIGH' ELSE 'MID' END AS band, count(*) AS n, round(avg(ret_15), 8) AS mean FROM data JOIN l USING (symbol) WHERE ret_15 IS NOT NULL GROUP BY ALL""")
 def percentile_bands(s, d):
     return R.regimes_by_percentile(_data(s, d), "net_c", "ret_15")
 

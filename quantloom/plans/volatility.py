@@ -60,7 +60,7 @@ def iv_changes(s, d):
 
 
 @query(FRONT + """, sp AS (SELECT DISTINCT symbol, d, spot FROM chain), x AS (SELECT symbol, d, iv - lag(iv) OVER w AS a, CAST(spot - lag(spot) OVER w AS DOUBLE) AS b FROM front JOIN sp USING (symbol, d) WINDOW w AS (PARTITION BY symbol ORDER BY d))
-SELECT symbol, count(*) AS n, round(corr(a, b), 6) AS r FROM x WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY symbol""")
+SELECT symbol, count(*) AS n, round(CASE WHEN count(*) >= 3 THEN corr(a, b) END, 6) AS r FROM x WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY symbol""")
 def iv_price_correlation(s, d):
     w = Window.partitionBy("symbol").orderBy("d")
     x = _front(s, d).join(S.chain(s, d).select("symbol", "d", "spot").distinct(), ["symbol", "d"])
