@@ -5,9 +5,9 @@ All windows are partitioned by symbol, or by symbol and day where a symbol alone
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -56,17 +56,27 @@ def missing_ranges(days: DataFrame, keys: Sequence[str] = ("symbol",), d: str =
     return gone.withColumn("run", run).groupBy(*keys, "run").agg(F.min("d").alias("start"), F.max("d").alias("end"), F.count(F.lit(1)).alias("days")).drop("run")
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, values: Sequence[str]) -> DataFrame:
+def as_of(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, values: Sequence[str], bucket: Callable[[Column], Column] | None = None
+) -> DataFrame:
     """Each left row with the latest right row at or before its time, by key; null if there is none.
 
-    Both sides meet in one union, and a window carries the last right values forward: one shuffle
-    on the keys, no range join. Put the day into ``keys`` where a symbol alone is too large.
+    Both sides meet in one union, and a window carries the last right values forward: one shuffle, no
+    range join. ``bucket`` (such as ``F.to_date``) splits a key's rows by time, so that a large key
+    spreads over tasks; the last values of the buckets before come from one row a bucket.
     """
     packed = F.struct(*(F.col(v) for v in values))
-    a = left.select(*keys, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(packed).schema[0].dataType).alias("_v"), F.struct(*left.columns).alias("_row"))
-    b = right.select(*keys, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), packed.alias("_v"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).filter("_side = 1").select("_row.*", *(F.col(f"_v.{v}").alias(f"asof_{v}") for v in values))
+    part = (lambda c: bucket(F.col(c))) if bucket else (lambda c: F.lit(0))
+    a = left.select(*keys, part(left_time).alias("_b"), F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(packed).schema[0].dataType).alias("_v"), F.struct(*left.columns).alias("_row"))
+    b = right.select(*keys, part(right_time).alias("_b"), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), packed.alias("_v"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"))
+    w = Window.partitionBy(*keys, "_b").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = a.unionByName(b)
+    found = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).filter("_side = 1")
+    if bucket:
+        ends = both.groupBy(*keys, "_b").agg(F.max_by("_v", F.when(F.col("_side") == 0, F.col("_t"))).alias("_end"))
+        earlier = ends.select(*keys, "_b", F.last("_end", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+        found = found.join(earlier, [*keys, "_b"]).withColumn("_v", F.coalesce("_v", "_carried"))
+    return found.select("_row.*", *(F.col(f"_v.{v}").alias(f"asof_{v}") for v in values))
 
 
 def forward_returns(bars: DataFrame, horizons: Sequence[int] = (1, 2, 3, 5, 10, 20)) -> DataFrame:

@@ -191,7 +191,7 @@ def bars_missing_ranges(s, d):
 @query(BARS + """ SELECT t.event_id, t.ts, t.event_type AS symbol, b.close AS asof_close FROM (SELECT * FROM events WHERE value IS NOT NULL) t ASOF LEFT JOIN (SELECT symbol, open_time + INTERVAL 1 HOUR AS at, close FROM bars) b ON t.event_type = b.symbol AND t.ts >= b.at""")
 def asof_spot(s, d):
     closed = _bars(s, d).select("symbol", (F.col("open_time") + F.expr("INTERVAL 1 HOUR")).alias("at"), "close")
-    return B.as_of(S.ticks(s, d).select("symbol", "ts", "event_id"), closed, ["symbol"], "ts", "at", ["close"])
+    return B.as_of(S.ticks(s, d).select("symbol", "ts", "event_id"), closed, ["symbol"], "ts", "at", ["close"], bucket=F.to_date)
 
 
 @query(BARS + " SELECT symbol, open_time, " + ", ".join(f"round((lead(close, {k}) OVER w - close) * 100 / nullif(close, 0), 4) AS ret_{k}" for k in (1, 2, 3, 5, 10, 20)) + """,
