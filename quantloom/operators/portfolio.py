@@ -39,8 +39,8 @@ def daily_pnl(trades: DataFrame) -> DataFrame:
 
 
 def streaks(trades: DataFrame, partition: str = "user_id") -> DataFrame:
-    """Longest and current runs of wins and losses; a breakeven ends both."""
-    w = Window.partitionBy(partition).orderBy("exit_date", "execution_id")
+    """Longest and current runs of wins and losses in order of entry; a breakeven ends both."""
+    w = Window.partitionBy(partition).orderBy("entry_date", "execution_id")
     x = trades.filter("closed").withColumn("r", result(F.col("pnl_c")))
     x = x.withColumn("new", F.when(F.lag("r").over(w).eqNullSafe(F.col("r")), 0).otherwise(1)).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     runs = x.groupBy(partition, "run", "r").agg(F.count(F.lit(1)).alias("n"))
@@ -50,11 +50,24 @@ def streaks(trades: DataFrame, partition: str = "user_id") -> DataFrame:
 
 
 def equity(trades: DataFrame, start_c: int = 10_000_000, partition: str = "user_id") -> DataFrame:
-    """Running equity, its peak so far and the drawdown of each closed trade."""
-    w = Window.partitionBy(partition).orderBy("exit_date", "execution_id").rowsBetween(Window.unboundedPreceding, 0)
-    x = trades.filter("closed").withColumn("equity_c", start_c + F.sum("pnl_c").over(w))
-    x = x.withColumn("peak_c", F.greatest(F.max("equity_c").over(w), F.lit(start_c)))
-    return x.select(partition, "execution_id", "exit_date", (F.col("equity_c") / 100.0).alias("equity"), ((F.col("equity_c") - F.col("peak_c")) / 100.0).alias("drawdown"), F.round(F.try_divide((F.col("equity_c") - F.col("peak_c")) * 100.0, F.col("peak_c")), 6).alias("drawdown_pct"))
+    """Running equity, its peak so far and the drawdown of each closed trade in order of entry.
+
+    A baseline row (``step`` 0, no trade) at the first exit date comes before them.
+    """
+    w = Window.partitionBy(partition).orderBy("entry_date", "execution_id")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    x = trades.filter("closed").withColumn("step", F.row_number().over(w)).withColumn("equity_c", start_c + F.sum("pnl_c").over(upto))
+    x = x.withColumn("peak_c", F.greatest(F.max("equity_c").over(upto), F.lit(start_c))).select(partition, "step", "execution_id", "exit_date", "equity_c", "peak_c")
+    first = x.groupBy(partition).agg(F.min("exit_date").alias("exit_date"))
+    base = first.select(partition, F.lit(0).alias("step"), F.lit(None).cast("long").alias("execution_id"), "exit_date", F.lit(start_c).cast("long").alias("equity_c"), F.lit(start_c).cast("long").alias("peak_c"))
+    fall = F.col("equity_c") - F.col("peak_c")
+    return base.unionByName(x).select(partition, "step", "execution_id", "exit_date", (F.col("equity_c") / 100.0).alias("equity"), (fall / 100.0).alias("drawdown"), F.round(F.try_divide(fall * 100.0, F.col("peak_c")), 6).alias("drawdown_pct"))
+
+
+def max_drawdown(curve: DataFrame, partition: str = "user_id") -> DataFrame:
+    """The deepest drawdown, the per cent at that point (the first of equal ones) and the current one."""
+    x = curve.groupBy(partition).agg(F.min(F.struct("drawdown", "step", "drawdown_pct")).alias("m"), F.max_by("drawdown", "step").alias("current"), F.max_by("equity", "step").alias("equity"))
+    return x.select(partition, F.col("m.drawdown").alias("max_drawdown"), F.col("m.drawdown_pct").alias("max_drawdown_pct"), "current", "equity")
 
 
 def net_positions(fills: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ DAILY = GEX + """, daily AS (SELECT symbol, d, spot, CAST(sum(g) AS BIGINT) AS n
 FORWARD = DAILY + """, fwd AS (SELECT *, round((lead(spot, 5) OVER (PARTITION BY symbol ORDER BY d) - spot) * 100.0 / spot, 4) AS ret FROM daily)"""
 BARS = """bars AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS open_time, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS volume
   FROM events WHERE value IS NOT NULL GROUP BY ALL)"""
-TRADES = """trades AS (SELECT o_orderkey AS execution_id, o_custkey AS user_id, o_orderpriority AS strategy, CAST(o_orderdate AS DATE) AS exit_date, CAST(round(o_totalprice * 100) AS BIGINT) - 25000000 AS pnl_c FROM orders WHERE o_orderstatus = 'F')"""
+TRADES = """trades AS (SELECT o_orderkey AS execution_id, o_custkey AS user_id, o_orderpriority AS strategy, CAST(o_orderdate AS DATE) AS exit_date, CAST(CAST(o_orderdate AS DATE) - CAST(o_orderkey % 10 AS INTEGER) AS DATE) AS entry_date, CAST(round(o_totalprice * 100) AS BIGINT) - 25000000 AS pnl_c FROM orders WHERE o_orderstatus = 'F')"""
 FILLS = """fills AS (SELECT l_suppkey AS instrument, (l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS seq, CASE WHEN l_linestatus = 'F' THEN 'buy' ELSE 'sell' END AS action,
   CAST(l_quantity AS BIGINT) AS quantity, CAST(round(l_extendedprice / l_quantity * 100) AS BIGINT) AS price_c FROM lineitem)"""
 METRICS = """count(*) AS trades, count(*) FILTER (pnl_c > 0) AS wins, count(*) FILTER (pnl_c < 0) AS losses, round(count(*) FILTER (pnl_c > 0) * 100.0::DOUBLE / count(*), 2) AS win_rate, round(CAST(sum(pnl_c) AS DOUBLE) / 100, 2) AS total,
@@ -285,19 +285,28 @@ def daily_pnl(s, d):
     return P.daily_pnl(S.trades(s, d))
 
 
-@query(TRADES + """, x AS (SELECT *, CASE WHEN pnl_c > 0 THEN 'WIN' WHEN pnl_c < 0 THEN 'LOSS' ELSE 'BREAKEVEN' END AS r FROM trades), y AS (SELECT *, CASE WHEN lag(r) OVER w IS NOT DISTINCT FROM r THEN 0 ELSE 1 END AS new FROM x WINDOW w AS (PARTITION BY user_id ORDER BY exit_date, execution_id)),
-z AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY exit_date, execution_id) AS run FROM y), g AS (SELECT user_id, run, r, count(*) AS n FROM z GROUP BY ALL)
+@query(TRADES + """, x AS (SELECT *, CASE WHEN pnl_c > 0 THEN 'WIN' WHEN pnl_c < 0 THEN 'LOSS' ELSE 'BREAKEVEN' END AS r FROM trades), y AS (SELECT *, CASE WHEN lag(r) OVER w IS NOT DISTINCT FROM r THEN 0 ELSE 1 END AS new FROM x WINDOW w AS (PARTITION BY user_id ORDER BY entry_date, execution_id)),
+z AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY entry_date, execution_id) AS run FROM y), g AS (SELECT user_id, run, r, count(*) AS n FROM z GROUP BY ALL)
 SELECT user_id, coalesce(max(n) FILTER (r = 'WIN'), 0) AS max_wins, coalesce(max(n) FILTER (r = 'LOSS'), 0) AS max_losses, arg_max(r, run) AS current_result, arg_max(n, run) AS current_length FROM g GROUP BY user_id""")
 def streaks(s, d):
     return P.streaks(S.trades(s, d))
 
 
-@query(TRADES + """, e AS (SELECT user_id, execution_id, exit_date, 10000000 + sum(pnl_c) OVER (PARTITION BY user_id ORDER BY exit_date, execution_id) AS e FROM trades), p AS (SELECT *, greatest(max(e) OVER (PARTITION BY user_id ORDER BY exit_date, execution_id), 10000000) AS p FROM e)
-SELECT user_id, execution_id, exit_date, CAST(e AS DOUBLE) / 100 AS equity, CAST(e - p AS DOUBLE) / 100 AS drawdown, round(CAST(e - p AS DOUBLE) * 100 / CAST(p AS DOUBLE), 6) AS drawdown_pct FROM p""")
+EQUITY = TRADES + """, e AS (SELECT user_id, execution_id, exit_date, CAST(row_number() OVER w AS INTEGER) AS step, 10000000 + sum(pnl_c) OVER w AS e FROM trades WINDOW w AS (PARTITION BY user_id ORDER BY entry_date, execution_id)),
+p AS (SELECT *, greatest(max(e) OVER (PARTITION BY user_id ORDER BY step), 10000000) AS p FROM e UNION ALL SELECT user_id, NULL, min(exit_date), 0, 10000000, 10000000 FROM e GROUP BY user_id),
+curve AS (SELECT user_id, step, execution_id, exit_date, CAST(e AS DOUBLE) / 100 AS equity, CAST(e - p AS DOUBLE) / 100 AS drawdown, round(CAST(e - p AS DOUBLE) * 100 / CAST(p AS DOUBLE), 6) AS drawdown_pct FROM p)"""
+
+
+@query(EQUITY + " SELECT * FROM curve")
 def equity_drawdown(s, d):
     return P.equity(S.trades(s, d))
 
 
+@query(EQUITY + " SELECT user_id, min(drawdown) AS max_drawdown, arg_min(drawdown_pct, (drawdown, step)) AS max_drawdown_pct, arg_max(drawdown, step) AS current, arg_max(equity, step) AS equity FROM curve GROUP BY user_id")
+def max_drawdown(s, d):
+    return P.max_drawdown(P.equity(S.trades(s, d)))
+
+
 @query()
 def net_positions(s, d):
     return P.net_positions(S.fills(s, d))

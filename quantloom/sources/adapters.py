@@ -37,6 +37,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("user_id"),
         F.col("o_orderpriority").alias("strategy"),
         F.to_date("o_orderdate").alias("exit_date"),
+        F.date_sub(F.to_date("o_orderdate"), (F.col("o_orderkey") % 10).cast("int")).alias("entry_date"),
         (F.round(F.col("o_totalprice") * 100).cast("long") - 25_000_000).alias("pnl_c"),
         (F.col("o_orderstatus") == "F").alias("closed"),
     )
