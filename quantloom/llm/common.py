@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: The word pattern of the corpus operators: runs without space, tab, line or page breaks.
@@ -50,6 +52,17 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that what a task makes of a batch is never all in memory at once.
+
+    Large buffers go back to the system when they are freed, not to a pool of the worker.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def free_name(df: DataFrame, *stems: str) -> list[str]:
     """For each stem a column name that ``df`` does not have, so caller columns never clash."""
     taken = {c.lower() for c in df.columns}

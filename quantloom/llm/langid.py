@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 UND = "und"
 #: Hashed features.
 BINS = 1 << 13
@@ -190,7 +192,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per
     sample = known.filter(luck < share).select(F.col(lang_col).alias("lang"), hashed.alias("h"), F.col(text_col).alias("text")).groupBy("lang", "h").agg(F.min("text").alias("text")).drop("h")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = {"lang": [], "at": [], "value": []}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if (x := features(text)) is not None:
@@ -215,7 +217,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_out: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [shared.value.predict(t) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*kept, lang_out, score_out])
@@ -237,7 +239,7 @@ def keep_known(docs: DataFrame, labelled: DataFrame, min_score: float = 0.1) ->
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([shared.value.knows(t, min_score) for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

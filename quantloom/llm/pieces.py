@@ -51,7 +51,7 @@ MAX_PIECES, BUCKET, SLICE = 1_000_000, 32 << 20, 2 << 20
 #: The most characters of a unit in the fold: its cuts and its end are bits of one long.
 FOLDED = 60
 #: Distinct words that a task remembers of a bucket before it starts anew.
-WORDS_HELD = 500_000
+WORDS_HELD = 150_000
 
 
 @dataclass(frozen=True)
@@ -383,6 +383,7 @@ def _packed(docs: DataFrame, text_col: str, bucket: int) -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
         number, filled, squeeze = TaskContext.get().partitionId() << 32, 0, zstandard.ZstdCompressor(6)
         for batch in batches:
             for part, size in _sliced(batch, batch.column(at)):
@@ -405,14 +406,17 @@ def _bucket_units(packed: DataFrame, shared: Broadcast, at: int) -> DataFrame:
     """bucket, unit: the distinct units of each bucket (some more than once)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
         cut = shared.value.units
         have: set[str] = set()
         known: set[str] = set()
         last = None
         for batch in batches:
             for bucket, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if bucket != last or len(have) > WORDS_HELD:
+                if bucket != last:
                     have, known, last = set(), set(), bucket
+                elif len(have) > WORDS_HELD:
+                    have.clear()
                 new = [w for w in _words(_unpacked(rows).column(at))[0] if w not in have]
                 have.update(new)
                 fresh = {u for u in cut(new)[0] if len(u) <= FOLDED} - known
@@ -470,13 +474,13 @@ def _put_together(docs: DataFrame, pieces: Pieces, text_col: str, bucket: int, k
     places = [docs.columns.index(c) for c in kept]
 
     def run(mine: pa.Table, dictionary: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
         known = _Known(pa.concat_arrays([pa.array([], pa.string()), *dictionary.column("unit").chunks]), pa.concat_arrays([pa.array([], _LIST), *(c.cast(_LIST) for c in dictionary.column("ids").chunks)]), finder(shared.value))
         out = []
         for rows in mine.column("rows"):
             part = _unpacked(rows)
             texts = part.column(at)
             made = make(texts, _encoded(texts, known, shared.value.units), shared.value)
-            pa.default_memory_pool().release_unused()
             out.append(pa.RecordBatch.from_arrays([*(part.column(i) for i in places), *made], [f.name for f in schema]))
         return pa.Table.from_batches(out)
 
