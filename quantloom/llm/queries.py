@@ -15,6 +15,7 @@ from .fill_middle import fill_in_middle, restored
 from .langid import fit, held_out, identify
 from .licenses import scan_licenses
 from .line_dedup import drop_boilerplate_lines
+from .neighbours import near_vectors
 from .pii import KINDS, find_personal_data
 from .pieces import round_trip
 from .quality import judge
@@ -122,8 +123,12 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_line_dedup, op3_rendezvous_shard, op4_language_id, op5_personal_data, op6_license_scan, op7_quality, op8_decontamination, op9_simhash_dedup, op10_sentencepiece, op11_fill_in_middle, op12_conversation_repair)}
+    return {f.__name__: f for f in (op1_chat_format, op2_line_dedup, op3_rendezvous_shard, op4_language_id, op5_personal_data, op6_license_scan, op7_quality, op8_decontamination, op9_simhash_dedup, op10_sentencepiece, op11_fill_in_middle, op12_conversation_repair, op13_embedding_dedup)}
 
 
 FILL_SQL = """
