@@ -1,6 +1,6 @@
 """The registered queries: importing this package fills ``QUERIES`` and ``SQL``."""
 
 from . import queries
-from . import checks, features, ledger, live, reports, strategies, study, volatility  # noqa: F401  isort: skip
+from . import checks, factors, features, ledger, live, orders, reports, strategies, study, volatility  # noqa: F401  isort: skip
 
 QUERIES, SQL = queries.QUERIES, queries.SQL
