@@ -5,8 +5,8 @@ for every run of other characters, square-rooted and scaled to length 1. Languag
 features are alike form a family. One linear support vector machine per family (against the rest)
 chooses it; within it, one for each pair of languages votes.
 
-The machines are fitted on a bounded sample (``per_language`` rows of each language, chosen by a
-hash of the text, of all labelled rows handed to ``fit``); every row is predicted.
+The machines are fitted on a bounded sample (``per_language`` texts of each language, those with the
+lowest hashes of all labelled texts handed to ``fit``); every row is predicted.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; rows with null labels
 teach nothing; one language only is always predicted; no labelled row at all gives ``und`` for
@@ -22,7 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -172,24 +172,23 @@ def train(rows: list[tuple[str, np.ndarray]]) -> Model:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS) -> Model:
-    """Fit on a sample of ``labelled``: up to about ``per_language`` rows a language, ``most_rows`` in all.
+    """Fit on a sample of ``labelled``: up to ``per_language`` texts a language, about ``most_rows`` in all.
 
-    Every language is learned, from ``LEAST_ROWS`` rows at least. The share of each language that is
-    taken follows from its count of rows; the rows with the lowest hash of text are in. Only sparse
-    features of those rows come to the driver.
+    Every language is learned, from ``LEAST_ROWS`` texts at least if it has as many. Equal texts of a
+    language are one; of its texts those with the lowest hashes are in. Only sparse features of those
+    come to the driver.
     """
     known = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()
-    if not counts:
+    known = known.select(F.col(lang_col).alias("lang"), F.xxhash64(F.lit("langid"), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    texts = known.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    languages = texts.count()
+    if not languages:
         return train([])
-    each = min(per_language, max(LEAST_ROWS, most_rows // len(counts)))
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col(lang_col) == r["lang"], F.lit(each / r["n"])).otherwise(share)
-    # equal texts teach once, however many rows have them
-    hashed = F.xxhash64(F.lit("langid"), F.col(text_col))
-    luck = F.shiftrightunsigned(hashed, 12) / F.lit(float(2**52))
-    sample = known.filter(luck < share).select(F.col(lang_col).alias("lang"), hashed.alias("h"), F.col(text_col).alias("text")).groupBy("lang", "h").agg(F.min("text").alias("text")).drop("h")
+    each = min(per_language, max(LEAST_ROWS, most_rows // languages))
+    # what may be among the lowest, with room to spare, so that few hashes are put in order
+    luck = F.shiftrightunsigned("h", 12) / F.lit(float(2**52))
+    near = known.join(texts, "lang").filter(luck * F.col("n") < max(4 * each, 256)).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    sample = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= each).select("lang", "text")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -149,11 +150,13 @@ class Scanner:
                     finds.append(found)
                     done = found[2]
         finds.sort(key=lambda f: (-(f[3] * len(self.templates[f[0]])), f[0], f[1]))
-        kept: list[tuple[str, int, int, float]] = []
-        for f in finds:
-            if not any(k[1] < f[2] and f[1] < k[2] for k in kept):
-                kept.append(f)
-        return sorted(kept, key=lambda f: (f[1], f[0]))
+        # finds that are kept lie apart, so a further one can only meet its neighbours in place
+        kept: list[tuple[int, int, str, float]] = []
+        for name, start, end, coverage in finds:
+            i = bisect_left(kept, (start,))
+            if (i == len(kept) or kept[i][0] >= end) and (i == 0 or kept[i - 1][1] <= start):
+                kept.insert(i, (start, end, name, coverage))
+        return [(name, start, end, coverage) for start, end, name, coverage in kept]
 
 
 def scan_licenses(

@@ -43,6 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import give_back
 
 BLANK = "▁"
 _WORD = re.compile(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
@@ -422,6 +423,8 @@ def _bucket_units(packed: DataFrame, shared: Broadcast, at: int) -> DataFrame:
                 fresh = {u for u in cut(new)[0] if len(u) <= FOLDED} - known
                 known |= fresh
                 yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(fresh), pa.int64()), pa.array(fresh, pa.string())], ["bucket", "unit"])
+        have, known = set(), set()
+        give_back()
 
     return packed.sortWithinPartitions("bucket").mapInArrow(run, "bucket long not null, unit string not null")
 
@@ -482,6 +485,8 @@ def _put_together(docs: DataFrame, pieces: Pieces, text_col: str, bucket: int, k
             texts = part.column(at)
             made = make(texts, _encoded(texts, known, shared.value.units), shared.value)
             out.append(pa.RecordBatch.from_arrays([*(part.column(i) for i in places), *made], [f.name for f in schema]))
+        del known, part, texts, made
+        give_back()
         return pa.Table.from_batches(out)
 
     return packed.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(run, schema)
