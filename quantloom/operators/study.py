@@ -23,7 +23,7 @@ def _series() -> Window:
 
 
 def dataset(chain: DataFrame, horizons: Sequence[int] = HORIZONS) -> DataFrame:
-    """Net exposure and its changes, regime, distance to the flip, first walls, open interest, and returns ahead."""
+    """Net exposure and its changes, regime, distance to the flip (above 0: the flip is above spot), first walls, open interest, and returns ahead."""
     strikes = gex.strike_totals(chain)
     flips = gex.flips(strikes).select("symbol", "d", "flip")
     wall = lambda s: F.max(F.when(F.col("side") == s, F.col("strike")))
@@ -31,7 +31,7 @@ def dataset(chain: DataFrame, horizons: Sequence[int] = HORIZONS) -> DataFrame:
     base = strikes.groupBy("symbol", "d", "spot").agg(F.sum("net_c").alias("net_c"), F.sum("oi").alias("oi"))
     x = base.join(flips, ["symbol", "d"]).join(walls, ["symbol", "d"], "left")
     w, spot = _series(), F.col("spot")
-    x = x.withColumn("before", F.lag("net_c").over(w)).withColumn("change", F.col("net_c") - F.col("before")).withColumn("dist", F.round(spot - F.col("flip"), 6))
+    x = x.withColumn("before", F.lag("net_c").over(w)).withColumn("change", F.col("net_c") - F.col("before")).withColumn("dist", F.round(F.col("flip") - spot, 6))
     ahead = [F.round(F.try_divide((F.lead("spot", k).over(w) - spot) * 100.0, spot), 4).alias(f"ret_{k}") for k in horizons]
     return x.select(
         "symbol", "d", "spot", "net_c", "before", "change", (F.col("change") - F.lag("change").over(w)).alias("accel"), gex.regime(F.col("net_c")).alias("regime"), "dist", "wall_pos", "wall_neg", "oi",
@@ -55,7 +55,7 @@ def signals(data: DataFrame, ret: str = "ret_15", slow: str = "ret_30") -> DataF
         ("negative_oi_up", (c("net_c") < 0) & (c("oi_change") > 0), -c(ret)),
         ("wall_rejection", (c("i") > 2) & c("wall_pos").isNotNull() & near(c("spot1"), c("wall1"), 0.5) & (c("spot") < c("spot1")), c(ret)),
         ("wall_breakout", (c("spot1") < c("wall1")) & (c("spot") > c("wall_pos")), c(ret)),
-        ("divergence", (c("up") > 0) & (c("change") <= 0), -c(ret)),
+        ("divergence", ((c("up") > 0) & (c("change") <= 0)) | ((c("up") <= 0) & (c("change") > 0)), F.when(c("up") > 0, -c(ret)).otherwise(c(ret))),
     ]
     found = F.explode(F.array_compact(F.array(*(F.when(when & value.isNotNull(), F.struct(F.lit(n).alias("signal"), value.alias("value"))) for n, when, value in rules))))
     return x.select("symbol", "d", found.alias("s")).select("symbol", "d", "s.*")

@@ -13,7 +13,7 @@ flips AS (SELECT symbol, d, round(arg_min(level, (abs(level - spot), level)) FIL
 wr AS (SELECT *, row_number() OVER (PARTITION BY symbol, d, net_c > 0 ORDER BY abs(net_c) DESC, strike) AS r FROM strikes WHERE net_c <> 0), walls AS (SELECT symbol, d, max(strike) FILTER (net_c > 0 AND r = 1) AS wall_pos, max(strike) FILTER (net_c < 0 AND r = 1) AS wall_neg FROM wr GROUP BY ALL)"""
 DATA = STRIKES + FLIPS + """, base AS (SELECT symbol, d, spot, CAST(sum(net_c) AS BIGINT) AS net_c, CAST(sum(oi) AS BIGINT) AS oi FROM strikes GROUP BY ALL),
 b1 AS (SELECT *, lag(net_c) OVER (PARTITION BY symbol ORDER BY d) AS before FROM base), b2 AS (SELECT *, net_c - before AS change FROM b1 JOIN flips USING (symbol, d) LEFT JOIN walls USING (symbol, d)),
-data AS (SELECT symbol, d, spot, net_c, before, change, change - lag(change) OVER w AS accel, CASE WHEN net_c > 0 THEN 'POSITIVE' WHEN net_c < 0 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS regime, round(spot - flip, 6) AS dist, wall_pos, wall_neg, oi,
+data AS (SELECT symbol, d, spot, net_c, before, change, change - lag(change) OVER w AS accel, CASE WHEN net_c > 0 THEN 'POSITIVE' WHEN net_c < 0 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS regime, round(flip - spot, 6) AS dist, wall_pos, wall_neg, oi,
   oi - lag(oi) OVER w AS oi_change, spot - lag(spot) OVER w AS up, spot - lag(spot, 3) OVER w AS momentum, """ + ", ".join(f"round((lead(spot, {k}) OVER w - spot) * 100.0::DOUBLE / spot, 4) AS ret_{k}" for k in H) + """ FROM b2 WINDOW w AS (PARTITION BY symbol ORDER BY d))"""
 
 
@@ -22,9 +22,9 @@ def _signals(source: str) -> str:
         ("regime_shift", "before < 0 AND net_c > 0", "ret_15"), ("flip_break", "dist1 < 0 AND dist > 0", "ret_15"), ("flip_rejection", "dist2 IS NOT NULL AND abs(dist1) < 30 AND abs(dist) > abs(dist1) * 1.5", "-ret_15"),
         ("positive_pin", "net_c > 0 AND abs(spot - wall_pos) * 100.0::DOUBLE / spot < 0.3", "abs(ret_30)"), ("negative_expansion", "net_c < 0 AND change < 0", "abs(ret_15)"), ("acceleration", "accel > 0", "ret_15"),
         ("negative_oi_up", "net_c < 0 AND oi_change > 0", "-ret_15"), ("wall_rejection", "i > 2 AND wall_pos IS NOT NULL AND abs(spot1 - wall1) * 100.0::DOUBLE / spot1 < 0.5 AND spot < spot1", "ret_15"),
-        ("wall_breakout", "spot1 < wall1 AND spot > wall_pos", "ret_15"), ("divergence", "up > 0 AND change <= 0", "-ret_15"),
+        ("wall_breakout", "spot1 < wall1 AND spot > wall_pos", "ret_15"), ("divergence", "(up > 0 AND change <= 0) OR (up <= 0 AND change > 0)", "(CASE WHEN up > 0 THEN -ret_15 ELSE ret_15 END)"),
     ]
-    found = " UNION ALL ".join(f"SELECT symbol, d, '{n}' AS signal, {v} AS value FROM lagged WHERE {when} AND {v} IS NOT NULL" for n, when, v in rules)
+    found = " UNION ALL ".join(f"SELECT symbol, d, '{n}' AS signal, {v} AS value FROM lagged WHERE ({when}) AND {v} IS NOT NULL" for n, when, v in rules)
     return f""", lagged AS (SELECT *, lag(dist) OVER w AS dist1, lag(dist, 2) OVER w AS dist2, lag(spot) OVER w AS spot1, lag(wall_pos) OVER w AS wall1, row_number() OVER w AS i FROM {source} WINDOW w AS (PARTITION BY symbol ORDER BY d)), signals AS ({found})"""
 
 
