@@ -1,6 +1,6 @@
 """The registered queries: importing this package fills ``QUERIES`` and ``SQL``."""
 
 from . import queries
-from . import checks, exposure, factors, features, ledger, live, orders, reports, spacing, strategies, study, volatility  # noqa: F401  isort: skip
+from . import checks, exposure, factors, features, ledger, live, lots, orders, reports, scenarios, spacing, strategies, study, volatility  # noqa: F401  isort: skip
 
 QUERIES, SQL = queries.QUERIES, queries.SQL

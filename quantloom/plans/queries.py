@@ -14,6 +14,7 @@ from ..operators import options as O
 from ..operators import portfolio as P
 from ..operators import research as R
 from ..sources import adapters as S
+from ..sources.scenarios import priced_strategies
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -439,20 +440,22 @@ def implied_vol(s, d):
     return x.select("symbol", "d", "expiry", "strike", "option_type", F.col("solved.status").alias("status"), F.round("price", 4).alias("price"), (F.abs(of(F.col("solved.iv")) - F.col("price")) < 1e-4).alias("repriced"))
 
 
-STRATEGIES = """SELECT name, array(struct(type1 AS type, action1 AS action, double(k1) AS strike, 1 AS qty, double(p1) AS premium), struct(type2 AS type, action2 AS action, double(k2) AS strike, 1 AS qty, double(p2) AS premium)) AS legs FROM VALUES
-  ('bull_call', 'CE', 'buy', 1450, 40, 'CE', 'sell', 1550, 12), ('straddle', 'CE', 'buy', 1500, 30, 'PE', 'buy', 1500, 25), ('bear_put', 'PE', 'buy', 1550, 60, 'PE', 'sell', 1450, 18), ('strangle', 'CE', 'sell', 1600, 9, 'PE', 'sell', 1400, 8) AS t(name, type1, action1, k1, p1, type2, action2, k2, p2)"""
-CURVE = """s(name, type, action, strike, premium) AS (VALUES ('bull_call', 'CE', 'buy', 1450, 40), ('bull_call', 'CE', 'sell', 1550, 12), ('straddle', 'CE', 'buy', 1500, 30), ('straddle', 'PE', 'buy', 1500, 25), ('bear_put', 'PE', 'buy', 1550, 60), ('bear_put', 'PE', 'sell', 1450, 18), ('strangle', 'CE', 'sell', 1600, 9), ('strangle', 'PE', 'sell', 1400, 8)),
-curve AS (SELECT name, CAST(price AS INTEGER) AS price, CAST(sum(CASE action WHEN 'buy' THEN 1 ELSE -1 END * (greatest(CASE type WHEN 'CE' THEN price - strike ELSE strike - price END, 0) - premium)) AS DOUBLE) AS pnl FROM s, generate_series(1200, 1800, 10) g(price) GROUP BY ALL)"""
+PAYOFF_LEGS = """legs AS (SELECT l_orderkey AS name, CASE l_returnflag WHEN 'A' THEN 'CE' ELSE 'PE' END AS type, CASE l_linestatus WHEN 'F' THEN 1 ELSE -1 END AS dir, CAST(1000 + 50 * (l_suppkey % 20) AS BIGINT) AS strike, 1 + l_linenumber % 3 AS qty,
+  CAST(CAST(round(l_discount * 100) AS BIGINT) * 700 + 500 AS BIGINT) / 100.0::DOUBLE AS premium FROM lineitem)"""
 
 
-@query(CURVE + " SELECT * FROM curve")
+def _curve(step: int) -> str:
+    return PAYOFF_LEGS + f""", curve AS (SELECT name, CAST(price AS INTEGER) AS price, round(CAST(sum(dir * qty * (greatest(CASE type WHEN 'CE' THEN price - strike ELSE strike - price END, 0) - premium)) AS DOUBLE), 6) AS pnl FROM legs, generate_series(1000, 2000, {step}) g(price) GROUP BY ALL)"""
+
+
+@query(_curve(50) + " SELECT * FROM curve")
 def payoff_curve(s, d):
-    return O.payoff_curve(s.sql(STRATEGIES), 1200, 1800, 10)
+    return O.payoff_curve(priced_strategies(s, d), 1000, 2000, 50)
 
 
-@query(CURVE + """, n AS (SELECT name, price, pnl, lead(price) OVER w AS p2, lead(pnl) OVER w AS v2 FROM curve WINDOW w AS (PARTITION BY name ORDER BY price)) SELECT name, round(price + (p2 - price) * (-pnl / (v2 - pnl)), 4) AS breakeven FROM n WHERE pnl * v2 < 0 OR (pnl = 0 AND v2 <> 0)""")
+@query(_curve(25) + """, n AS (SELECT name, price, pnl, lead(price) OVER w AS p2, lead(pnl) OVER w AS v2 FROM curve WINDOW w AS (PARTITION BY name ORDER BY price)) SELECT name, round(price + (p2 - price) * (-pnl / (v2 - pnl)), 4) AS breakeven FROM n WHERE pnl * v2 < 0 OR (pnl = 0 AND v2 <> 0)""")
 def payoff_breakevens(s, d):
-    return O.breakevens(O.payoff_curve(s.sql(STRATEGIES), 1200, 1800, 10))
+    return O.breakevens(O.payoff_curve(priced_strategies(s, d), 1000, 2000, 25))
 
 
 @query(CHAIN + """, c AS (SELECT symbol, d, spot, strike, CAST(sum(CASE option_type WHEN 'CE' THEN oi ELSE -oi END) AS BIGINT) AS oi FROM chain WHERE option_type <> 'XX' AND oi > 0 GROUP BY ALL), x AS (SELECT symbol, d, strike, oi, i, spot * (0.7::DOUBLE + 0.6::DOUBLE * i / 20) AS px, 30::DOUBLE / 365 AS t FROM c, generate_series(0, 20) g(i)),
@@ -461,8 +464,10 @@ def spot_sweep(s, d):
     return O.spot_sweep(S.chain(s, d))
 
 
-@query("""l(type, action, strike) AS (VALUES ('CE', 1, 1450), ('CE', -1, 1550), ('CE', 1, 1500), ('PE', 1, 1500), ('PE', 1, 1550), ('PE', -1, 1450), ('CE', -1, 1600), ('PE', -1, 1400)), g AS (SELECT type, action, CAST(strike AS DOUBLE) AS strike, shift::DOUBLE AS shift, vol::DOUBLE AS vol, 1500 * (1 + shift::DOUBLE) AS spot, 30::DOUBLE / 365 AS t, CASE type WHEN 'CE' THEN 1.0 ELSE -1.0 END::DOUBLE AS s
-FROM l, (SELECT unnest([-0.1, -0.05, 0.0, 0.05, 0.1]) AS shift), (SELECT unnest([0.1, 0.2, 0.3]) AS vol)) SELECT shift, vol, round(sum(action * """ + _model("vol") + """), 4) AS value FROM g GROUP BY shift, vol""")
+@query(PAYOFF_LEGS + """, book AS (SELECT type, CAST(strike AS DOUBLE) AS strike, CAST(sum(dir * qty) AS BIGINT) AS net FROM legs GROUP BY ALL), g AS (SELECT type, net, strike, shift::DOUBLE AS shift, vol::DOUBLE AS vol, 1500 * (1 + shift::DOUBLE) AS spot, 30::DOUBLE / 365 AS t, CASE type WHEN 'CE' THEN 1.0 ELSE -1.0 END::DOUBLE AS s
+FROM book, (SELECT unnest([-0.1, -0.05, 0.0, 0.05, 0.1]) AS shift), (SELECT unnest([0.1, 0.2, 0.3]) AS vol)) SELECT shift, vol, round(sum(net * """ + _model("vol") + """), 2) AS value FROM g GROUP BY shift, vol""")
 def scenario_matrix(s, d):
-    legs = s.sql(STRATEGIES).select(F.inline("legs"))
-    return O.scenario_matrix(legs, 1500.0, (-0.1, -0.05, 0.0, 0.05, 0.1), (0.1, 0.2, 0.3), 30 / 365)
+    """The whole book; legs of the same option are one before the grid is laid over them."""
+    legs = priced_strategies(s, d).select(F.explode("legs").alias("l")).groupBy("l.type", "l.strike").agg(F.sum(F.when(F.col("l.action") == "buy", F.col("l.qty")).otherwise(-F.col("l.qty"))).alias("net"))
+    book = legs.select("type", "strike", F.when(F.col("net") < 0, "sell").otherwise("buy").alias("action"), F.abs("net").alias("qty"))
+    return O.scenario_matrix(book, 1500.0, (-0.1, -0.05, 0.0, 0.05, 0.1), (0.1, 0.2, 0.3), 30 / 365).withColumn("value", F.round("value", 2))
