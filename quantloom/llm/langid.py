@@ -187,7 +187,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per
     each = min(per_language, max(LEAST_ROWS, most_rows // languages))
     # what may be among the lowest, with room to spare, so that few hashes are put in order
     luck = F.shiftrightunsigned("h", 12) / F.lit(float(2**52))
-    near = known.join(texts, "lang").filter(luck * F.col("n") < max(4 * each, 256)).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    # a row a language; while there are no more of them than rows to train on, they go to every task, else both sides meet by language
+    near = known.join(F.broadcast(texts) if languages <= most_rows else texts, "lang").filter(luck * F.col("n") < max(4 * each, 256)).groupBy("lang", "h").agg(F.min("text").alias("text"))
     sample = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= each).select("lang", "text")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

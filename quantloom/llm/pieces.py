@@ -49,6 +49,8 @@ BLANK = "▁"
 _WORD = re.compile(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
 #: Pieces that may be broadcast, bytes of text in a bucket, whose units one task holds, and in a slice.
 MAX_PIECES, BUCKET, SLICE = 1_000_000, 32 << 20, 2 << 20
+#: Bytes of text whose words are held at once when a bucket is put together.
+WORKED = 256 << 10
 #: The most characters of a unit in the fold: its cuts and its end are bits of one long.
 FOLDED = 60
 #: Distinct words that a task remembers of a bucket before it starts anew.
@@ -369,12 +371,12 @@ def _words(texts: pa.Array) -> tuple[list[str], pa.Array]:
     return known, lists.take(pa.array(order, pa.int64(), mask=missing))
 
 
-def _sliced(batch: pa.RecordBatch, texts: pa.Array) -> Iterator[tuple[pa.RecordBatch, int]]:
-    """Slices of a batch with about ``SLICE`` bytes of text, and those bytes."""
+def _sliced(batch: pa.RecordBatch, texts: pa.Array, most: int = SLICE) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """Slices of a batch with about ``most`` bytes of text, and those bytes."""
     ends, begin = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64) + 8), 0
     while begin < len(texts):
         before = ends[begin - 1] if begin else 0
-        end = max(begin + 1, int(np.searchsorted(ends, before + SLICE, "right")))
+        end = max(begin + 1, int(np.searchsorted(ends, before + most, "right")))
         yield batch.slice(begin, end - begin), int(ends[end - 1] - before)
         begin = end
 
@@ -481,11 +483,16 @@ def _put_together(docs: DataFrame, pieces: Pieces, text_col: str, bucket: int, k
         known = _Known(pa.concat_arrays([pa.array([], pa.string()), *dictionary.column("unit").chunks]), pa.concat_arrays([pa.array([], _LIST), *(c.cast(_LIST) for c in dictionary.column("ids").chunks)]), finder(shared.value))
         out = []
         for rows in mine.column("rows"):
-            part = _unpacked(rows)
-            texts = part.column(at)
-            made = make(texts, _encoded(texts, known, shared.value.units), shared.value)
-            out.append(pa.RecordBatch.from_arrays([*(part.column(i) for i in places), *made], [f.name for f in schema]))
-        del known, part, texts, made
+            packet = _unpacked(rows)
+            for part, _ in _sliced(packet, packet.column(at), WORKED):
+                texts = part.column(at)
+                made = make(texts, _encoded(texts, known, shared.value.units), shared.value)
+                # columns are copied, so that none keeps the whole packet
+                out.append(pa.RecordBatch.from_arrays([*(part.column(i).take(pa.array(range(len(part)))) for i in places), *made], [f.name for f in schema]))
+                del part, texts, made
+            del packet
+            give_back()
+        del known
         give_back()
         return pa.Table.from_batches(out)
 
