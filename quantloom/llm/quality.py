@@ -2,7 +2,12 @@
 
 Each rule looks at a few counts of the whole text and votes good, bad or abstains. Over all
 documents the vote patterns are counted; from these counts alone, expectation-maximisation
-estimates how often each rule is right where it votes (its accuracy). The posterior probability of good, given the pattern, is the verdict.
+estimates the share of good documents and, of each rule, how often it votes good or bad on good and
+on bad ones where it votes. The posterior probability of good, given the pattern, is the verdict.
+
+So no rule has to be passed: one that good documents trip now and then (unusual punctuation, a few
+symbols) is outvoted by the others, while one that they never trip decides. Symbols have two rules, as
+one vote alone could be outvoted by five that look at other defects.
 
 A pattern is one of 3^rules, so counts, posteriors and what comes to the driver are bounded.
 
@@ -79,21 +84,21 @@ def repeated_words(words: Sequence[str], window: int = WINDOW) -> int:
     return covered
 
 
-def _vote(bad: bool, good: bool = False) -> int:
-    return BAD if bad else GOOD if good else ABSTAIN
+def _vote(applies: bool, bad: bool, good: bool) -> int:
+    return ABSTAIN if not applies else BAD if bad else GOOD if good else ABSTAIN
 
 
-#: name -> vote. Thresholds are shares of the words or lines; a rule that only knows one defect
-#: abstains where it finds none.
+#: name -> vote. Thresholds are shares of the words or lines; a rule abstains where a text is too short
+#: (or, for the vocabulary, too long) to tell, and between its two thresholds.
 RULES: dict[str, Callable[[Counts], int]] = {
-    "symbols": lambda c: _vote(c.n_symbols > 0.1 * c.n_words),
-    "shouting": lambda c: _vote(c.n_words >= 5 and c.n_upper > 0.3 * c.n_words),
-    "repetition": lambda c: _vote(c.n_words >= 2 * WINDOW and c.n_repeat_words > 0.2 * c.n_words),
-    "lines": lambda c: _vote(c.n_lines >= 3 and c.n_dup_lines > 0.4 * c.n_lines),
-    "punctuation": lambda c: _vote(c.n_words >= 20 and not 0.05 * c.n_words <= c.n_marks <= 0.5 * c.n_words),
-    "vocabulary": lambda c: _vote(c.n_words >= 50 and c.n_distinct < 0.2 * c.n_words),
-    "word_length": lambda c: _vote(c.n_words >= 5 and not 2 * c.n_words <= c.word_chars <= 15 * c.n_words),
-    "prose": lambda c: _vote(False, c.n_symbols == 0 and 20 * c.n_upper < c.n_words and 0.07 * c.n_words <= c.n_marks <= 0.4 * c.n_words and 2 * c.n_distinct > c.n_words),
+    "symbols": lambda c: _vote(c.n_words > 0, c.n_symbols > 0.05 * c.n_words, c.n_symbols == 0 and c.n_words >= 20),
+    "markup": lambda c: _vote(c.n_words > 0, c.n_symbols > 0.2 * c.n_words, c.n_symbols <= 0.01 * c.n_words and c.n_words >= 20),
+    "shouting": lambda c: _vote(c.n_words >= 5, c.n_upper > 0.3 * c.n_words, c.n_upper <= 0.02 * c.n_words and c.n_words >= 20),
+    "repetition": lambda c: _vote(c.n_words >= 2 * WINDOW, c.n_repeat_words > 0.2 * c.n_words, c.n_repeat_words == 0),
+    "lines": lambda c: _vote(c.n_lines >= 3, c.n_dup_lines > 0.35 * c.n_lines, c.n_dup_lines == 0),
+    "punctuation": lambda c: _vote(c.n_words >= 20, not 0.1 * c.n_words <= c.n_marks <= 0.25 * c.n_words, 0.12 * c.n_words <= c.n_marks <= 0.2 * c.n_words),
+    "vocabulary": lambda c: _vote(50 <= c.n_words <= 1000, c.n_distinct < 0.5 * c.n_words, c.n_distinct >= 0.7 * c.n_words),
+    "word_length": lambda c: _vote(c.n_words >= 20, not 3 * c.n_words <= c.word_chars <= 6.5 * c.n_words, 4 * c.n_words <= c.word_chars <= 5.8 * c.n_words),
 }
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -116,38 +121,44 @@ def vote(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 @dataclass(frozen=True)
 class LabelModel:
-    """accuracy of each rule where it votes; posterior probability of good for each pattern."""
+    """How often each rule is right where it votes; probability of good for each pattern; share of good documents."""
 
     accuracy: dict[str, float]
     posterior: dict[str, float]
+    prior: float
+
+
+#: What is assumed of a rule before any document is seen, as shares of bad and good votes on bad and on
+#: good documents, and of the share of good ones; and how many votes, or documents, that counts as.
+FIRST_VOTES, FIRST_GOOD, VOTE_WEIGHT, GOOD_WEIGHT = ((0.6, 0.4), (0.1, 0.9)), 0.8, 20.0, 10.0
 
 
-def estimate(patterns: dict[str, int], rounds: int = 200, first: float = 0.9, prior: float = 0.6) -> LabelModel:
+def estimate(patterns: dict[str, int], rounds: int = 500) -> LabelModel:
     """Expectation-maximisation over pattern counts. An abstention is no evidence.
 
-    Every rule starts with accuracy ``first``, and stays at or above a half: rules are built to be
-    better than chance, which also settles which of the two classes is the good one. The prior is
-    fixed: estimated as well, it would let the many clean texts outvote a rare defect.
+    Where it starts (a rule votes bad more often on bad documents) settles which class is the good one.
     """
     keys = sorted(patterns)
     if not keys:
-        return LabelModel(dict.fromkeys(RULES, first), {})
+        return LabelModel(dict.fromkeys(RULES, FIRST_VOTES[1][1]), {}, FIRST_GOOD)
     votes = np.array([[int(v) for v in k] for k in keys])
     n = np.array([patterns[k] for k in keys], float)[:, None]
-    says = np.stack([votes == BAD, votes == GOOD]).astype(float)  # class, pattern, rule
-    voted = says.sum(0)
-    accuracy, good = np.full(len(RULES), first), np.full(len(keys), 0.5)
+    says = np.stack([votes == BAD, votes == GOOD], -1).astype(float)  # pattern, rule, vote
+    first = np.array(FIRST_VOTES)[:, None, :]
+    chance, prior, good = np.repeat(first, len(RULES), 1), FIRST_GOOD, None  # chance: class, rule, vote
     for _ in range(rounds):
-        odds = np.log(accuracy / (1 - accuracy))
-        log = (says[1] - says[0]) @ odds + np.log(prior / (1 - prior))
-        new = 1 / (1 + np.exp(-np.clip(log, -700, 700)))
-        right = says[0] * (1 - new[:, None]) + says[1] * new[:, None]
-        accuracy = np.clip(((n * right).sum(0) + 9 * first) / ((n * voted).sum(0) + 9), 0.5, 0.999)
-        done = np.abs(new - good).max() < 1e-9
-        good = new
+        log = np.einsum("prv,crv->pc", says, np.log(chance)) + np.log([1 - prior, prior])
+        both = np.exp(log - log.max(1, keepdims=True))
+        both /= both.sum(1, keepdims=True)
+        done = good is not None and np.abs(both[:, 1] - good).max() < 1e-9
+        good, weight = both[:, 1], both * n
+        counts = np.einsum("pc,prv->crv", weight, says) + VOTE_WEIGHT * first
+        chance = counts / counts.sum(2, keepdims=True)
+        prior = float((weight[:, 1].sum() + GOOD_WEIGHT * FIRST_GOOD) / (n.sum() + GOOD_WEIGHT))
         if done:
             break
-    return LabelModel(dict(zip(RULES, accuracy.tolist())), dict(zip(keys, good.tolist())))
+    right, voted = counts[0, :, 0] + counts[1, :, 1], counts.sum((0, 2))
+    return LabelModel(dict(zip(RULES, (right / voted).tolist())), dict(zip(keys, good.tolist())), prior)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from quantloom.llm import langid, licenses
+from quantloom.llm import langid, licenses, quality
 
 
 def test_a_language_of_few_distinct_texts_is_learned(spark):
@@ -36,3 +36,23 @@ def test_overlapping_license_finds_keep_the_best(monkeypatch):
     templates = {"long": "permission is hereby granted to any person obtaining this copy", "short": "granted to any person"}
     found = licenses.Scanner(templates, 0.8).scan("x permission is hereby granted to any person obtaining this copy y granted to any person z")
     assert [f[:3] for f in found] == [("long", 1, 11), ("short", 12, 16)]
+
+
+def test_good_votes_outvote_a_weak_rule_and_not_a_sure_one(spark):
+    """Texts on which the posterior and all-must-pass differ, rightly; the share of good ones is estimated."""
+    words = [f"{a}{b}{c}re" for a in "bcdfglmn" for b in "aeiou" for c in "stv"]
+    prose = lambda i, every: " ".join(w + ("." if k % every == every - 1 else "") for k, w in enumerate(words[i % 40 : i % 40 + 60]))
+    clean = [(i, prose(i, 7)) for i in range(400)]  # a mark to seven words
+    sparse = [(1000 + i, prose(i, 12)) for i in range(12)]  # few marks: the punctuation rule says bad
+    symbols = [(2000 + i, " ".join(w + "#" * (k % 2) for k, w in enumerate(prose(i, 7).split()))) for i in range(40)]
+    verdict = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(clean + sparse + symbols, "doc_id long, text string")).collect()}
+    votes = lambda t: {n: rule(quality.count(t)) for n, rule in quality.RULES.items()}
+    assert all(quality.BAD in votes(t).values() for _, t in sparse)  # all-must-pass drops them
+    assert all(verdict[i]["kept"] for i, _ in clean + sparse) and not any(verdict[i]["kept"] or verdict[i]["base_failed"] for i, _ in symbols)
+
+
+def test_the_share_of_good_documents_is_estimated():
+    base = "2" * len(quality.RULES)
+    for share in (0.5, 0.9):
+        patterns = {base: round(1000 * share), "0" * 4 + "2" * (len(base) - 4): round(1000 * (1 - share))}
+        assert abs(quality.estimate(patterns).prior - share) < 0.02
