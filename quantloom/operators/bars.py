@@ -97,5 +97,7 @@ def forward_range(bars: DataFrame, k: int = 10) -> DataFrame:
 
 
 def last_write_wins(bars: DataFrame, keys: Sequence[str], arrival: str) -> DataFrame:
-    """Upsert semantics over an append log: of rows with equal keys the latest arrival."""
-    return bars.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(arrival)))).filter("_n = 1").drop("_n")
+    """Upsert semantics over an append log: of rows with equal keys the latest arrival, kept by an aggregate that needs no sort of the log."""
+    rest = [c for c in bars.columns if c not in keys]
+    last = bars.groupBy(*keys).agg(F.max_by(F.struct(*rest), arrival).alias("_r"))
+    return last.select(*(F.col(c) if c in keys else F.col("_r")[c].alias(c) for c in bars.columns))

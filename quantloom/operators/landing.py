@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -49,10 +49,24 @@ def checkpoints(log: DataFrame, *by: str) -> DataFrame:
     return log.groupBy(*by).agg(of(F.min, "RUNNING").alias("started_at"), of(F.max, "COMPLETED").alias("completed_at"), F.max_by("status", F.struct("ts", "seq")).alias("status"), F.count(F.lit(1)).alias("updates"))
 
 
-def retained(rows: DataFrame, time_col: str, days: int, *by: str) -> DataFrame:
-    """Rows of the last ``days`` (one at least) before each group's latest; older ones go."""
-    last = F.max(time_col).over(Window.partitionBy(*by))
-    return rows.withColumn("_last", last).filter(F.col(time_col) >= F.col("_last") - F.make_interval(days=F.lit(max(1, days)))).drop("_last")
+#: Groups whose latest time may go to every task; a row each.
+FEW_GROUPS = 10_000
+
+
+def retained(rows: DataFrame, time_col: str, days: int, *by: str, now: Column | None = None) -> DataFrame:
+    """Rows of the last ``days`` (one at least) before ``now``, or else before each group's latest; older ones go.
+
+    The latest times are aggregated, not carried over sorted rows; while there are few groups they go to
+    the rows, which then are not shuffled at all. Rows without a time or group go.
+    """
+    span = F.make_interval(days=F.lit(max(1, days)))
+    if now is not None:
+        return rows.filter(F.col(time_col) >= now - span)
+    last = rows.groupBy(*by).agg(F.max(time_col).alias("_last"))
+    few = last.limit(FEW_GROUPS + 1).collect()
+    small = len(few) <= FEW_GROUPS
+    bounds = F.broadcast(rows.sparkSession.createDataFrame(few, last.schema)) if small else last
+    return rows.join(bounds, list(by)).filter(F.col(time_col) >= F.col("_last") - span).select(*rows.columns)
 
 
 def date_chunks(spans: DataFrame, days: int) -> DataFrame:

@@ -67,3 +67,23 @@ def test_observations(spark, tmp_path):
     got = sorted(spark.read.parquet(table).collect(), key=lambda r: (r["option_type"], r["spot"] is None))
     assert [(r["symbol"], r["strike"], r["option_type"], r["iv"], r["spot"], r["source"]) for r in got] == [("NIFTY", 100.0, "call", 0.2, 99.5, "s" * 32), ("NIFTY", 100.0, "call", 0.2, None, "chain"), ("NIFTY", 100.0, "put", 0.2, 99.5, "s" * 32)]
     assert all(r["observed_at"] is not None for r in got) and spark.read.parquet(log).first()["rows_rejected"] == 9
+
+
+def test_retention_by_group_and_from_now(spark, monkeypatch):
+    from quantloom.operators import landing
+
+    day = lambda n: datetime(2024, 1, n)
+    df = spark.createDataFrame([("a", day(1)), ("a", day(8)), ("a", day(9)), ("b", day(2)), ("b", day(3)), ("b", None), (None, day(9))], "g string, at timestamp")
+    want = [("a", 8), ("a", 9), ("b", 2), ("b", 3)]
+    for few in (10, 1):  # the latest times go to the rows, or both meet
+        monkeypatch.setattr(landing, "FEW_GROUPS", few)
+        assert sorted((r["g"], r["at"].day) for r in landing.retained(df, "at", 2, "g").collect()) == want
+    assert sorted(r["at"].day for r in landing.retained(df, "at", 0, now=F.lit(day(10))).collect()) == [9, 9]
+
+
+def test_last_write_wins(spark):
+    from quantloom.operators import bars
+
+    df = spark.createDataFrame([("a", 1, 5, "x"), ("a", 1, 7, "y"), ("a", 2, 1, None), ("b", 1, 1, "z")], "s string, t int, n int, v string")
+    got = bars.last_write_wins(df, ["s", "t"], "n")
+    assert got.columns == df.columns and sorted(tuple(r) for r in got.collect()) == [("a", 1, 7, "y"), ("a", 2, 1, None), ("b", 1, 1, "z")]
