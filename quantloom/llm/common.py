@@ -71,6 +71,12 @@ def give_back() -> None:
         trim(0)
 
 
+def without(names: list[str], *replaced: str | None) -> list[str]:
+    """The names but those that a new column replaces, in any case of letters, as Spark finds columns."""
+    gone = {r.lower() for r in replaced if r}
+    return [n for n in names if n.lower() not in gone]
+
+
 def free_name(df: DataFrame, *stems: str) -> list[str]:
     """For each stem a column name that ``df`` does not have, so caller columns never clash."""
     taken = {c.lower() for c in df.columns}

@@ -11,7 +11,7 @@ lowest hashes of all labelled texts handed to ``fit``); every row is predicted.
 Defined cases: a text that is null or has no letter is ``und`` with score 0; rows with null labels
 teach nothing; one language only is always predicted; no labelled row at all gives ``und`` for
 every row; equal texts get equal predictions; an empty table gives none; the columns of ``docs``
-pass through. Letters are characters for which ``str.isalpha`` holds.
+pass through, but for those named like the new ones (in any case of letters), which are replaced. Letters are characters for which ``str.isalpha`` holds.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, without
 
 UND = "und"
 #: Hashed features.
@@ -212,7 +212,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """``docs`` plus the predicted language of its whole texts and a score from 0 to 1."""
-    schema = T.StructType([f for f in docs.schema if f.name not in (lang_out, score_out)] + [T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
+    schema = T.StructType([docs.schema[c] for c in without(docs.columns, lang_out, score_out)] + [T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
     kept = [f.name for f in schema][:-2]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, written
+from .common import free_name, without, written
 
 #: Boilerplate line keys (16 bytes each, plus one row per host) that may be broadcast.
 BROADCAST_KEYS = 200_000
@@ -81,4 +81,4 @@ def drop_boilerplate_lines(
         .withColumn(text_col, F.when(F.col(gone) > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col)))
     )
     added = [F.col(gone).alias(dropped_col)] if dropped_col else []
-    return cleaned.select(*(c for c in pages.columns if c != dropped_col), *added)
+    return cleaned.select(*without(pages.columns, dropped_col), *added)

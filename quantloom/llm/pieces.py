@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back
+from .common import give_back, without
 
 BLANK = "▁"
 _WORD = re.compile(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
@@ -504,7 +504,7 @@ _IDS, _LIST = T.ArrayType(T.IntegerType()), pa.list_(pa.int32())
 
 def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_col: str = "ids", bucket: int = BUCKET) -> DataFrame:
     """``docs`` plus ``ids_col``: the piece ids of its whole texts."""
-    kept = [c for c in docs.columns if c != ids_col]
+    kept = without(docs.columns, ids_col)
     return _put_together(docs, pieces, text_col, bucket, kept, [(ids_col, _IDS)], lambda texts, ids, _: [ids])
 
 
@@ -527,7 +527,7 @@ def _decoded(ids: pa.ListArray, pieces: Pieces) -> pa.Array:
 
 def decode(docs: DataFrame, pieces: Pieces, ids_col: str = "ids", text_out: str = "decoded") -> DataFrame:
     """``docs`` plus the text of its ids; null ids have null text."""
-    kept = [f for f in docs.schema if f.name != text_out]
+    kept = [docs.schema[c] for c in without(docs.columns, text_out)]
     names, schema = [f.name for f in kept], T.StructType([*kept, T.StructField(text_out, T.StringType())])
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
@@ -547,5 +547,5 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text", ids_col: str
     def make(texts: pa.Array, ids: pa.ListArray, pieces: Pieces) -> list[pa.Array]:
         return [ids, pc.fill_null(pc.equal(_decoded(ids, pieces), texts), True)]
 
-    kept = [c for c in docs.columns if c not in (text_col, ids_col, out_col)]
+    kept = without(docs.columns, text_col, ids_col, out_col)
     return _put_together(docs, Pieces.load(path), text_col, bucket, kept, [(ids_col, _IDS), (out_col, T.BooleanType())], make)

@@ -56,3 +56,19 @@ def test_the_share_of_good_documents_is_estimated():
     for share in (0.5, 0.9):
         patterns = {base: round(1000 * share), "0" * 4 + "2" * (len(base) - 4): round(1000 * (1 - share))}
         assert abs(quality.estimate(patterns).prior - share) < 0.02
+
+
+def test_new_columns_replace_names_in_any_case(spark):
+    from pyspark.sql import functions as F
+
+    from quantloom.llm import line_dedup, pieces
+    from quantloom.llm.queries import PIECES
+
+    df = spark.createDataFrame([(i, "some words here\nand there", "h", 1, "x", 2.0, "i") for i in range(3)], "doc_id long, text string, source string, N_Dropped int, LANG_PRED string, Score double, IDS string")
+    assert line_dedup.drop_boilerplate_lines(df, F.col("source")).select("n_dropped").schema[0].dataType.simpleString() == "bigint"
+    model = langid.fit(df.selectExpr("text", "'en' as lang"))
+    assert [r["lang_pred"] for r in langid.identify(df, model).select("lang_pred", "score").collect()] == ["en"] * 3
+    table = pieces.Pieces.load(PIECES)
+    encoded = pieces.encode(df, table)
+    assert encoded.select("ids").schema[0].dataType.simpleString() == "array<int>"
+    assert {r["lang_pred"] for r in pieces.decode(encoded, table, text_out="lang_pred").select("lang_pred").collect()} == {df.first()["text"]}
