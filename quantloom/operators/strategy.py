@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.pricing import greeks
+
 
 def listed(chain: DataFrame) -> DataFrame:
     """symbol, d, spot, strikes, expiries: what is listed at each time."""
@@ -182,3 +184,21 @@ def validate_legs(strategies: DataFrame) -> DataFrame:
         .when(F.col("strike").isNull() | (F.col("strike") <= 0), "STRIKE").when(F.col("premium_c").isNull() | (F.col("premium_c") < 0), "PRICE")
     )
     return x.withColumn("problem", problem).filter("problem is not null").select("strategy_id", "leg", "problem")
+
+
+def strikes_by_delta(chain: DataFrame, targets: Sequence[tuple[str, int]], warn: int = 100, fail: int = 200) -> DataFrame:
+    """symbol, d, expiry, side, target, strike, delta, status: the listed option whose quoted delta is nearest to each target, in thousandths.
+
+    A quote's delta is that of its mean volatility. Ties go to the strike nearer to spot, then the lower.
+    RESOLVED, DELTA_OFF (more than ``warn`` away), or DELTA_TOO_FAR (more than ``fail``; no strike).
+    """
+    q = chain.filter("option_type in ('CE', 'PE') and iv_bp > 0 and expiry > d").groupBy("symbol", "d", "expiry", "strike", "option_type", "spot").agg((F.avg("iv_bp") / 10_000).alias("sigma"))
+    delta = greeks(F.col("option_type"), F.col("spot").cast("double"), F.col("strike").cast("double"), F.datediff("expiry", "d") / 365.0, F.col("sigma"))["delta"]
+    q = q.withColumn("delta", F.round(delta * 1000).cast("long"))
+    asked = F.array(*(F.struct(F.lit(s).alias("side"), F.lit(v).alias("target")) for s, v in targets))
+    x = q.withColumn("t", F.explode(F.filter(asked, lambda t: t["side"] == F.col("option_type"))))
+    best = F.min(F.struct(F.abs(F.col("delta") - F.col("t.target")).alias("off"), F.abs(F.col("strike") - F.col("spot")).alias("far"), "strike", "delta"))
+    g = x.groupBy("symbol", "d", "expiry", F.col("t.side").alias("side"), F.col("t.target").alias("target")).agg(best.alias("b"))
+    near = F.col("b.off") <= fail
+    status = F.when(~near, "DELTA_TOO_FAR").when(F.col("b.off") > warn, "DELTA_OFF").otherwise("RESOLVED")
+    return g.select("symbol", "d", "expiry", "side", "target", F.when(near, F.col("b.strike")).alias("strike"), F.when(near, F.col("b.delta")).alias("delta"), status.alias("status"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import strategy
 from ..sources import adapters as S
-from .queries import CHAIN, query
+from .queries import CHAIN, _cdf, query
 
 #: leg, strike mode, value, expiry mode, side
 FORMULAS = [
@@ -90,3 +90,14 @@ def invalid_legs(s, d):
     """Strikes are moved down, so that some are out of range."""
     moved = S.strategies(s, d).withColumn("legs", F.transform("legs", lambda x: x.withField("strike", x["strike"] - 1000)))
     return strategy.validate_legs(moved)
+
+
+DELTAS = [("CE", 500), ("CE", 250), ("PE", -300), ("PE", -950)]
+
+
+@query(CHAIN + f""", q AS (SELECT symbol, d, expiry, strike, option_type, spot, avg(iv_bp) / 10000 AS sigma, CAST(date_diff('day', d, expiry) AS DOUBLE) / 365 AS t FROM chain WHERE option_type <> 'XX' AND iv_bp > 0 AND expiry > d GROUP BY ALL),
+v AS (SELECT *, (ln(spot / strike) + (0.065::DOUBLE + sigma * sigma / 2) * t) / (sigma * sqrt(t)) AS d1 FROM q), w AS (SELECT *, CAST(round(({_cdf("d1")} - CASE option_type WHEN 'PE' THEN 1 ELSE 0 END) * 1000) AS BIGINT) AS delta FROM v),
+b AS (SELECT symbol, d, expiry, side, target, arg_min({{'off': abs(delta - target), 'strike': strike, 'delta': delta}}, (abs(delta - target), abs(strike - spot), strike)) AS b FROM w JOIN (VALUES {", ".join(f"('{s}', {v})" for s, v in DELTAS)}) a(side, target) ON side = option_type GROUP BY ALL)
+SELECT symbol, d, expiry, side, CAST(target AS INTEGER) AS target, CASE WHEN b.off <= 200 THEN b.strike END AS strike, CASE WHEN b.off <= 200 THEN b.delta END AS delta, CASE WHEN b.off > 200 THEN 'DELTA_TOO_FAR' WHEN b.off > 100 THEN 'DELTA_OFF' ELSE 'RESOLVED' END AS status FROM b""")
+def strikes_by_delta(s, d):
+    return strategy.strikes_by_delta(S.chain(s, d), DELTAS)

@@ -87,3 +87,19 @@ def test_a_feature_adds_what_price_does_not_tell(spark):
     x, y = [r[3] for r in rows], [r[5] for r in rows]
     assert got["f"]["combined_r2"] == pytest.approx(statistics.correlation(x, y) ** 2, abs=1e-6) and got["f"]["adds_information"]
     assert not got["flat"]["adds_information"] and got["flat"]["incremental_r2"] == 0 and not math.isnan(got["flat"]["baseline_r2"])
+
+
+def test_strikes_by_quoted_delta(spark):
+    from quantloom.operators import strategy
+
+    rows = [("X", date(2024, 1, 1), date(2024, 1, 31), k, t, 100, 2000) for k in (80, 95, 100, 105, 130) for t in ("CE", "PE")] + [("X", date(2024, 1, 1), date(2024, 1, 1), 100, "CE", 100, 2000), ("X", date(2024, 1, 1), date(2024, 1, 31), 100, "XX", 100, 2000)]
+    df = spark.createDataFrame(rows, "symbol string, d date, expiry date, strike long, option_type string, spot long, iv_bp long")
+    cdf = lambda x: (1 + math.erf(x / math.sqrt(2))) / 2
+    t = 30 / 365
+    delta = {k: round(1000 * cdf((math.log(100 / k) + (0.065 + 0.02) * t) / (0.2 * math.sqrt(t)))) for k in (80, 95, 100, 105, 130)}
+    targets = [("CE", 540), ("CE", 250), ("PE", -300), ("CE", 700), ("PE", -1500)]
+    got = {(r["side"], r["target"]): (r["strike"], r["delta"], r["status"]) for r in strategy.strikes_by_delta(df, targets).collect()}
+    assert len(got) == 5 and got["CE", 540] == (100, delta[100], "RESOLVED") and got["CE", 250] == (105, delta[105], "RESOLVED")
+    assert got["PE", -300] == (95, delta[95] - 1000, "DELTA_OFF") and got["PE", -1500] == (None, None, "DELTA_TOO_FAR")
+    off = min(abs(v - 700) for v in delta.values())
+    assert got["CE", 700][2] == ("DELTA_OFF" if off > 100 else "RESOLVED")
