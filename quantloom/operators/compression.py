@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .factors import exact_mean
+
 
 def _series() -> Window:
     return Window.partitionBy("symbol").orderBy("d")
@@ -50,9 +52,9 @@ def stability(rows: DataFrame, value: str = "abs_gex", range_col: str = "range_1
     last = F.least(F.floor(F.col("at") / step), F.floor((F.col("end") - days) / step))
     x = x.filter(first <= last).withColumn("k", F.explode(F.sequence(first, last)))
     x = _levels(x, value, "symbol", "k").filter(F.col("n") >= least)
-    side = lambda when: F.avg(F.when(when, F.col("range")))
+    side = lambda when: exact_mean(F.col("range"), when)
     g = x.groupBy("symbol", F.date_add("begin", (F.col("k") * step).cast("int")).alias("start"), "n").agg(side(F.col(value) < F.col("q20")).alias("low"), side(F.col(value) > F.col("q80")).alias("high"))
-    return g.filter("low is not null and high is not null").select("symbol", "start", "n", F.round("low", 6).alias("low_range"), F.round("high", 6).alias("high_range"), F.round(F.col("low") - F.col("high"), 6).alias("compression"))
+    return g.filter("low is not null and high is not null").select("symbol", "start", "n", F.col("low").alias("low_range"), F.col("high").alias("high_range"), (F.col("low") - F.col("high")).alias("compression"))
 
 
 def straddles(chain: DataFrame) -> DataFrame:
@@ -71,11 +73,11 @@ def straddle_study(rows: DataFrame, pairs: DataFrame, horizons: Sequence[str], v
     x = rows.join(pairs.select("symbol", "d", "premium"), ["symbol", "d"])
     x = _levels(x, value, "symbol").withColumn("first", F.min(F.struct("d", "spot")).over(Window.partitionBy("symbol"))["spot"])
     x = x.withColumn("side", F.when(F.col(value) > F.col("q80"), "HIGH").when(F.col(value) < F.col("q20"), "LOW")).filter("side is not null")
-    g = x.groupBy("symbol", "side", "first").agg(F.count(F.lit(1)).alias("n"), F.avg("premium").alias("p"), *(F.avg(f"range_{h}").alias(f"r_{h}") for h in horizons))
+    g = x.groupBy("symbol", "side", "first").agg(F.count(F.lit(1)).alias("n"), exact_mean(F.col("premium")).alias("p"), *(exact_mean(F.col(f"range_{h}")).alias(f"r_{h}") for h in horizons))
     points = F.col(f"r_{horizons[0]}") / 100 * F.col("first")
     return g.select(
-        "symbol", "side", "n", F.round("p", 4).alias("premium"), *(F.round(f"r_{h}", 6).alias(f"range_{h}") for h in horizons), F.round(F.col("p") * cost, 4).alias("cost"),
-        F.round(F.col("p") - points, 4).alias("result"), F.round(F.col("p") - points - F.col("p") * cost, 4).alias("result_after_cost"),
+        "symbol", "side", "n", F.col("p").alias("premium"), *(F.col(f"r_{h}").alias(f"range_{h}") for h in horizons), (F.col("p") * cost).alias("cost"),
+        (F.col("p") - points).alias("result"), (F.col("p") - points - F.col("p") * cost).alias("result_after_cost"),
     )
 
 

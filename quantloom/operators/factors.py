@@ -115,8 +115,15 @@ def _tested(groups: DataFrame) -> DataFrame:
     return groups.withColumn("t_stat", t).withColumn("p_value", F.round(tail_p(F.col("t_stat"), F.col("n")), 8)).withColumn("effect", F.round(F.coalesce(F.try_divide("m", "sd"), F.lit(0.0)), 6)).withColumn("t_stat", F.round("t_stat", 6))
 
 
+def exact_mean(value: Column, when: Column | None = None) -> Column:
+    """The mean of values of four digits from a sum of integers, so it does not depend on their order."""
+    scaled = F.round(value * 10_000).cast("long")
+    kept = scaled if when is None else F.when(when, scaled)
+    return F.try_divide(F.sum(kept), F.count(kept)) / 10_000.0
+
+
 def _moments(ret: str = "ret") -> list[Column]:
-    return [F.count(F.lit(1)).alias("n"), F.avg(ret).alias("m"), F.stddev_samp(ret).alias("sd"), F.round(F.avg(F.when(F.col(ret) > 0, 100.0).otherwise(0.0)), 6).alias("win_pct")]
+    return [F.count(F.lit(1)).alias("n"), exact_mean(F.col(ret)).alias("m"), F.stddev_samp(ret).alias("sd"), F.round(F.avg(F.when(F.col(ret) > 0, 100.0).otherwise(0.0)), 8).alias("win_pct")]
 
 
 def screen(rows: DataFrame, numeric: Sequence[str] = NUMERIC, grouped: Sequence[str] = GROUPED, horizons: Sequence[str] = tuple(HORIZONS)) -> DataFrame:
@@ -132,14 +139,14 @@ def screen(rows: DataFrame, numeric: Sequence[str] = NUMERIC, grouped: Sequence[
     long = long.withColumn("total", F.count(F.lit(1)).over(by)).withColumn("i", F.row_number().over(by.orderBy("value", "d")) - 1)
     quarter = F.when(F.col("cls").isNotNull(), 0).when(F.col("i") < F.floor(F.col("total") / 4), 1).when(F.col("i") >= F.floor(3 * F.col("total") / 4), 4)
     kept = long.withColumn("q", quarter).filter(F.col("q").isNotNull() & (F.col("total") >= F.when(F.col("cls").isNull(), 20).otherwise(10)))
-    mean = lambda q: F.round(F.avg(F.when(F.col("q") == q, F.col("ret"))), 6)
-    tests = _tested(kept.groupBy("symbol", "horizon", "feature", "cls").agg(*_moments(), mean(1).alias("q1_mean"), mean(4).alias("q4_mean"), F.avg(F.when(F.col("q") == 4, F.col("ret"))).alias("a4"), F.avg(F.when(F.col("q") == 1, F.col("ret"))).alias("a1")))
+    mean = lambda q: exact_mean(F.col("ret"), F.col("q") == q)
+    tests = _tested(kept.groupBy("symbol", "horizon", "feature", "cls").agg(*_moments(), mean(1).alias("q1_mean"), mean(4).alias("q4_mean")))
     order = ("p_value", "horizon", "feature", F.coalesce("cls", F.lit("")))
     up = Window.partitionBy("symbol").orderBy(*order)
     size = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
     tests = tests.withColumn("raw", F.least(F.col("p_value") * size / F.row_number().over(up), F.lit(1.0)))
     adjusted = F.min("raw").over(up.rowsBetween(0, Window.unboundedFollowing))
-    return tests.select("symbol", "horizon", "feature", "cls", "n", "q1_mean", "q4_mean", F.round(F.coalesce(F.col("a4") - F.col("a1"), F.col("m")), 6).alias("spread"), F.round("m", 6).alias("mean"), "win_pct", "t_stat", "p_value", F.round(adjusted, 8).alias("adj_p_value"), "effect")
+    return tests.select("symbol", "horizon", "feature", "cls", "n", "q1_mean", "q4_mean", F.coalesce(F.col("q4_mean") - F.col("q1_mean"), F.col("m")).alias("spread"), F.col("m").alias("mean"), "win_pct", "t_stat", "p_value", F.round(adjusted, 8).alias("adj_p_value"), "effect")
 
 
 def _families() -> dict[str, Column]:
@@ -163,7 +170,7 @@ def combinations(rows: DataFrame, ret: str = "ret_15m", least: int = 10, least_a
     long = rows.filter(F.col(ret).isNotNull()).select("symbol", F.col(ret).alias("ret"), F.explode(named).alias("f")).select("symbol", "ret", "f.*").filter("grp is not null")
     found = _tested(long.groupBy("symbol", "family", "grp").agg(*_moments()))
     enough = F.when(F.col("family").isin("positive_wall", "negative_wall"), least_at_walls).otherwise(least)
-    return found.filter(F.col("n") >= enough).select("symbol", "family", "grp", "n", F.round("m", 6).alias("mean"), "win_pct", "t_stat", "p_value")
+    return found.filter(F.col("n") >= enough).select("symbol", "family", "grp", "n", F.col("m").alias("mean"), "win_pct", "t_stat", "p_value")
 
 
 def interaction(rows: DataFrame, a: str, b: str, ret: str, least: int = 50) -> DataFrame:
@@ -175,11 +182,11 @@ def interaction(rows: DataFrame, a: str, b: str, ret: str, least: int = 50) -> D
     x = x.filter(F.col("n") >= least).select("symbol", "a", "b", "ret", "n", at("a", 1).alias("t1a"), at("a", 2).alias("t2a"), at("b", 1).alias("t1b"), at("b", 2).alias("t2b"))
     level = lambda c: F.when(F.col(c) <= F.col(f"t1{c}"), "L").when(F.col(c) >= F.col(f"t2{c}"), "H").otherwise("M")
     x = x.withColumn("cell", F.concat(level("a"), level("b")))
-    mean = lambda cell: F.coalesce(F.avg(F.when(F.col("cell") == cell, F.col("ret"))), F.lit(0.0))
+    mean = lambda cell: F.coalesce(exact_mean(F.col("ret"), F.col("cell") == cell), F.lit(0.0))
     count = lambda cell: F.count_if(F.col("cell") == cell).alias(f"n_{cell.lower()}")
     g = x.groupBy("symbol", "n", "t1a", "t2a", "t1b", "t2b").agg((mean("ML") - mean("LL")).alias("low"), (mean("MH") - mean("LH")).alias("high"), *(count(p + q) for p in "LMH" for q in "LMH"))
     cells = [f"n_{p}{q}" for p in "lmh" for q in "lmh"]
-    return g.select("symbol", "n", "t1a", "t2a", "t1b", "t2b", *cells, F.round("low", 6).alias("effect_at_low_b"), F.round("high", 6).alias("effect_at_high_b"), F.round(F.abs(F.col("high") - F.col("low")), 6).alias("magnitude"))
+    return g.select("symbol", "n", "t1a", "t2a", "t1b", "t2b", *cells, F.col("low").alias("effect_at_low_b"), F.col("high").alias("effect_at_high_b"), F.abs(F.col("high") - F.col("low")).alias("magnitude"))
 
 
 def _candidates() -> dict[str, Column]:
@@ -202,7 +209,7 @@ def walk_forward(rows: DataFrame, ret: str = "ret_15m", splits: tuple[float, flo
     found = _tested(long.groupBy("symbol", "candidate", "part").agg(*_moments()))
     enough = F.col("n") >= least
     told = [F.when(enough, F.col(c)).alias(c) for c in ("win_pct", "t_stat", "p_value")]
-    return found.select("symbol", "candidate", "part", "n", enough.alias("sufficient"), F.when(enough, F.round("m", 6)).alias("mean"), *told)
+    return found.select("symbol", "candidate", "part", "n", enough.alias("sufficient"), F.when(enough, F.col("m")).alias("mean"), *told)
 
 
 def block_bootstrap(rows: DataFrame, value: str, by: Sequence[str], order: str, block: int = 2, replicates: int = 2000, level: float = 0.95, least: int | None = None) -> DataFrame:
@@ -233,6 +240,6 @@ def block_bootstrap(rows: DataFrame, value: str, by: Sequence[str], order: str,
     rank = F.row_number().over(Window.partitionBy(*by).orderBy("m", "rep")) - 1
     tail = (1 - level) / 2
     low, high = math.floor(tail * replicates + 1e-9), math.floor((1 - tail) * replicates + 1e-9) - 1
-    at = lambda k: F.round(F.max(F.when(F.col("rank") == k, F.col("m"))), 6)
+    at = lambda k: F.max(F.when(F.col("rank") == k, F.col("m")))
     told = means.withColumn("rank", rank).groupBy(*by).agg(at(low).alias("ci_low"), at(high).alias("ci_high"), F.round(F.stddev_samp("m"), 6).alias("se"))
-    return size.join(told, list(by), "left").select(*by, "n", F.round(F.col("total") / F.col("n") / 10_000.0, 6).alias("mean"), "ci_low", "ci_high", "se")
+    return size.join(told, list(by), "left").select(*by, "n", (F.col("total") / F.col("n") / 10_000.0).alias("mean"), "ci_low", "ci_high", "se")

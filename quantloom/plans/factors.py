@@ -35,7 +35,7 @@ RETURNS = FEATURES + ", data AS (SELECT *, " + ", ".join(f"round((lead(spot, {k}
 TEST = """, CASE WHEN sd > 0 THEN m / (sd / sqrt(n)) ELSE 0 END AS t, CASE WHEN sd > 0 THEN round(m / sd, 6) ELSE 0 END AS effect"""
 P = """round(CASE WHEN n < 2 THEN 1.0::DOUBLE WHEN n > 31 THEN least(2 * CASE WHEN abs(t) > 0 THEN exp(-0.5::DOUBLE * abs(t) * abs(t)) / (abs(t) * sqrt(2 * pi())) ELSE 0.5::DOUBLE END, 1.0::DOUBLE)
   WHEN abs(t) > 4 THEN 0.001 WHEN abs(t) > 3 THEN 0.005 WHEN abs(t) > 2.5 THEN 0.02 WHEN abs(t) > 2.0 THEN 0.05 WHEN abs(t) > 1.5 THEN 0.15 ELSE 0.3 END, 8) AS p_value"""
-MOMENTS = "count(*) AS n, avg(ret) AS m, stddev_samp(ret) AS sd, round(avg(CASE WHEN ret > 0 THEN 100.0::DOUBLE ELSE 0 END), 6) AS win_pct"
+MOMENTS = "count(*) AS n, CAST(sum(CAST(round(ret * 10000) AS BIGINT)) AS DOUBLE) / count(ret) / 10000 AS m, stddev_samp(ret) AS sd, round(avg(CASE WHEN ret > 0 THEN 100.0::DOUBLE ELSE 0 END), 8) AS win_pct"
 
 
 def _rows(s, d):
@@ -52,9 +52,9 @@ def _screen_sql() -> str:
     grouped = " UNION ALL ".join(f"SELECT symbol, d, '{h}', '{c}', {c}, NULL, ret_{h} FROM data WHERE ret_{h} IS NOT NULL" for h in HORIZONS for c in R.GROUPED)
     return f""", long AS ({numeric} UNION ALL {grouped}), ranked AS (SELECT *, row_number() OVER (PARTITION BY symbol, horizon, feature, cls ORDER BY value, d) - 1 AS i, count(*) OVER (PARTITION BY symbol, horizon, feature, cls) AS total FROM long),
 kept AS (SELECT *, i >= 3 * total // 4 AS top FROM ranked WHERE CASE WHEN cls IS NULL THEN total >= 20 AND (i < total // 4 OR i >= 3 * total // 4) ELSE total >= 10 END),
-g AS (SELECT symbol, horizon, feature, cls, {MOMENTS}, avg(ret) FILTER (cls IS NULL AND NOT top) AS a1, avg(ret) FILTER (cls IS NULL AND top) AS a4 FROM kept GROUP BY ALL), t1 AS (SELECT *{TEST} FROM g), t2 AS (SELECT *, {P} FROM t1),
+g AS (SELECT symbol, horizon, feature, cls, {MOMENTS}, CAST(sum(CAST(round(ret * 10000) AS BIGINT)) FILTER (cls IS NULL AND NOT top) AS DOUBLE) / count(ret) FILTER (cls IS NULL AND NOT top) / 10000 AS a1, CAST(sum(CAST(round(ret * 10000) AS BIGINT)) FILTER (cls IS NULL AND top) AS DOUBLE) / count(ret) FILTER (cls IS NULL AND top) / 10000 AS a4 FROM kept GROUP BY ALL), t1 AS (SELECT *{TEST} FROM g), t2 AS (SELECT *, {P} FROM t1),
 t3 AS (SELECT *, least(p_value * count(*) OVER (PARTITION BY symbol) / row_number() OVER w, 1.0::DOUBLE) AS raw, row_number() OVER w AS place FROM t2 WINDOW w AS (PARTITION BY symbol ORDER BY p_value, horizon, feature, coalesce(cls, '')))
-SELECT symbol, horizon, feature, cls, n, round(a1, 6) AS q1_mean, round(a4, 6) AS q4_mean, round(coalesce(a4 - a1, m), 6) AS spread, round(m, 6) AS mean, win_pct, round(t, 6) AS t_stat, p_value,
+SELECT symbol, horizon, feature, cls, n, a1 AS q1_mean, a4 AS q4_mean, coalesce(a4 - a1, m) AS spread, m AS mean, win_pct, round(t, 6) AS t_stat, p_value,
   round(min(raw) OVER (PARTITION BY symbol ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 8) AS adj_p_value, effect FROM t3"""
 
 
@@ -75,7 +75,7 @@ FAMILIES = {
 
 
 @query(RETURNS + ", long AS (" + " UNION ALL ".join(f"SELECT symbol, '{n}' AS family, {g} AS grp, ret_15m AS ret FROM data WHERE ret_15m IS NOT NULL AND {when}" for n, (g, when) in FAMILIES.items()) + f"""), g AS (SELECT symbol, family, grp, {MOMENTS} FROM long GROUP BY ALL), t1 AS (SELECT *{TEST} FROM g)
-SELECT symbol, family, grp, n, round(m, 6) AS mean, win_pct, round(t, 6) AS t_stat, {P} FROM t1 WHERE n >= CASE WHEN family LIKE '%wall' THEN 5 ELSE 10 END""")
+SELECT symbol, family, grp, n, m AS mean, win_pct, round(t, 6) AS t_stat, {P} FROM t1 WHERE n >= CASE WHEN family LIKE '%wall' THEN 5 ELSE 10 END""")
 def factor_combinations(s, d):
     return R.combinations(_rows(s, d))
 
@@ -83,11 +83,11 @@ def factor_combinations(s, d):
 def _interaction_sql(a: str, b: str, ret: str) -> str:
     level = "CASE WHEN {0} <= t1{0} THEN 'L' WHEN {0} >= t2{0} THEN 'H' ELSE 'M' END".format
     counts = ", ".join(f"count(*) FILTER (cell = '{p}{q}') AS n_{p.lower()}{q.lower()}" for p in "LMH" for q in "LMH")
-    mean = "coalesce(avg(ret) FILTER (cell = '{}'), 0)".format
+    mean = "coalesce(CAST(sum(CAST(round(ret * 10000) AS BIGINT)) FILTER (cell = '{0}') AS DOUBLE) / count(ret) FILTER (cell = '{0}') / 10000, 0)".format
     return f""", p AS (SELECT symbol, CAST({a} AS DOUBLE) AS a, CAST({b} AS DOUBLE) AS b, {ret} AS ret FROM data WHERE {a} IS NOT NULL AND {b} IS NOT NULL AND {ret} IS NOT NULL),
 l AS (SELECT symbol, count(*) AS n, list_sort(list(a)) AS sa, list_sort(list(b)) AS sb FROM p GROUP BY symbol HAVING count(*) >= 50), c AS (SELECT symbol, n, sa[n // 3 + 1] AS t1a, sa[2 * n // 3 + 1] AS t2a, sb[n // 3 + 1] AS t1b, sb[2 * n // 3 + 1] AS t2b FROM l),
 x AS (SELECT *, {level("a")} || {level("b")} AS cell FROM p JOIN c USING (symbol)), g AS (SELECT symbol, n, t1a, t2a, t1b, t2b, {mean("ML")} - {mean("LL")} AS low, {mean("MH")} - {mean("LH")} AS high, {counts} FROM x GROUP BY ALL)
-SELECT * EXCLUDE (low, high), round(low, 6) AS effect_at_low_b, round(high, 6) AS effect_at_high_b, round(abs(high - low), 6) AS magnitude FROM g"""
+SELECT * EXCLUDE (low, high), low AS effect_at_low_b, high AS effect_at_high_b, abs(high - low) AS magnitude FROM g"""
 
 
 @query(RETURNS + _interaction_sql("net_gex", "oi_change", "ret_15m"))
@@ -104,7 +104,7 @@ CANDIDATES = {
 
 @query(RETURNS + ", parted AS (SELECT *, CASE WHEN idx < floor(n * 0.6) THEN 'Train' WHEN idx < floor(n * 0.8) THEN 'Val' ELSE 'Test' END AS part FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM data)), long AS (" + " UNION ALL ".join(f"SELECT symbol, part, '{n}' AS candidate, ret_15m AS ret FROM parted WHERE ret_15m IS NOT NULL AND {when}" for n, when in CANDIDATES.items()) + f"""),
 g AS (SELECT symbol, candidate, part, {MOMENTS} FROM long GROUP BY ALL), t1 AS (SELECT *{TEST} FROM g), t2 AS (SELECT *, {P} FROM t1)
-SELECT symbol, candidate, part, n, n >= 5 AS sufficient, CASE WHEN n >= 5 THEN round(m, 6) END AS mean, CASE WHEN n >= 5 THEN win_pct END AS win_pct, CASE WHEN n >= 5 THEN round(t, 6) END AS t_stat, CASE WHEN n >= 5 THEN p_value END AS p_value FROM t2""")
+SELECT symbol, candidate, part, n, n >= 5 AS sufficient, CASE WHEN n >= 5 THEN m END AS mean, CASE WHEN n >= 5 THEN win_pct END AS win_pct, CASE WHEN n >= 5 THEN round(t, 6) END AS t_stat, CASE WHEN n >= 5 THEN p_value END AS p_value FROM t2""")
 def factor_walk_forward(s, d):
     return R.walk_forward(_rows(s, d))
 
@@ -116,8 +116,8 @@ def _bootstrap_sql(by: str, block: int, replicates: int, least: int) -> str:
 s AS (SELECT {by}, n, sum(v) AS total FROM x GROUP BY ALL), r AS (SELECT {by}, n, rep, b FROM s, generate_series(0, {replicates - 1}) g(rep), LATERAL (SELECT unnest(range(CAST(ceil(n / {block}::DOUBLE) AS BIGINT))) AS b) WHERE n >= {least}),
 w AS (SELECT {by}, n, rep, b * {block} + o AS place, ('0x' || substr(md5(rep || ':' || b), 1, 8))::BIGINT % (n - {block - 1}) + o AS i FROM r, range({block}) k(o)),
 m AS (SELECT {", ".join("w." + c for c in by.split(", "))}, rep, CAST(sum(x.v) AS DOUBLE) / any_value(w.n) / 10000 AS m FROM w JOIN x ON {" AND ".join(f"w.{c} = x.{c}" for c in by.split(", "))} AND w.i = x.i WHERE place < w.n GROUP BY ALL),
-o AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY m, rep) - 1 AS place FROM m), told AS (SELECT {by}, round(max(m) FILTER (place = {low}), 6) AS ci_low, round(max(m) FILTER (place = {high}), 6) AS ci_high, round(stddev_samp(m), 6) AS se FROM o GROUP BY {by})
-SELECT {by}, n, round(CAST(total AS DOUBLE) / n / 10000, 6) AS mean, ci_low, ci_high, se FROM s LEFT JOIN told USING ({by})"""
+o AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY m, rep) - 1 AS place FROM m), told AS (SELECT {by}, max(m) FILTER (place = {low}) AS ci_low, max(m) FILTER (place = {high}) AS ci_high, round(stddev_samp(m), 6) AS se FROM o GROUP BY {by})
+SELECT {by}, n, CAST(total AS DOUBLE) / n / 10000 AS mean, ci_low, ci_high, se FROM s LEFT JOIN told USING ({by})"""
 
 
 @query(RETURNS + ", series AS (SELECT symbol, d, ret_15m AS v FROM data)" + _bootstrap_sql("symbol", 2, 2000, 4))

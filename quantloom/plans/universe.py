@@ -48,8 +48,8 @@ def _ranged(s, d):
 @query(RANGES + """, x AS (SELECT symbol, d, abs_gex, range_15m AS range, min(d) OVER (PARTITION BY symbol) AS begin, max(d) OVER (PARTITION BY symbol) AS finish FROM ranged WHERE range_15m IS NOT NULL),
 w AS (SELECT x.*, CAST(begin + to_days(CAST(30 * k AS INTEGER)) AS DATE) AS start FROM x, range(400) g(k) WHERE d >= begin + to_days(CAST(30 * k AS INTEGER)) AND d < begin + to_days(CAST(30 * k + 90 AS INTEGER)) AND begin + to_days(CAST(30 * k + 90 AS INTEGER)) <= finish),
 l AS (SELECT symbol, start, count(*) AS n, list_sort(list(abs_gex)) AS g FROM w GROUP BY ALL HAVING count(*) >= 20),
-o AS (SELECT w.symbol, w.start, n, avg(range) FILTER (abs_gex < g[20 * (n - 1) // 100 + 1]) AS low, avg(range) FILTER (abs_gex > g[80 * (n - 1) // 100 + 1]) AS high FROM w JOIN l USING (symbol, start) GROUP BY ALL)
-SELECT symbol, start, n, round(low, 6) AS low_range, round(high, 6) AS high_range, round(low - high, 6) AS compression FROM o WHERE low IS NOT NULL AND high IS NOT NULL""")
+o AS (SELECT w.symbol, w.start, n, CAST(sum(CAST(round(range * 10000) AS BIGINT)) FILTER (abs_gex < g[20 * (n - 1) // 100 + 1]) AS DOUBLE) / count(range) FILTER (abs_gex < g[20 * (n - 1) // 100 + 1]) / 10000 AS low, CAST(sum(CAST(round(range * 10000) AS BIGINT)) FILTER (abs_gex > g[80 * (n - 1) // 100 + 1]) AS DOUBLE) / count(range) FILTER (abs_gex > g[80 * (n - 1) // 100 + 1]) / 10000 AS high FROM w JOIN l USING (symbol, start) GROUP BY ALL)
+SELECT symbol, start, n, low AS low_range, high AS high_range, low - high AS compression FROM o WHERE low IS NOT NULL AND high IS NOT NULL""")
 def compression_windows(s, d):
     return C.stability(_ranged(s, d))
 
@@ -58,8 +58,8 @@ def compression_windows(s, d):
 near AS (SELECT symbol, d, arg_min({'c': call, 'p': put}, (abs(strike - spot), strike, expiry)) AS m FROM pairs GROUP BY ALL), sold AS (SELECT symbol, d, m.c + m.p AS premium FROM near WHERE m.c + m.p IS NOT NULL),
 x AS (SELECT * FROM ranged JOIN sold USING (symbol, d)), l AS (SELECT symbol, count(*) AS n, list_sort(list(abs_gex)) AS g, arg_min(spot, d) AS first FROM x GROUP BY symbol),
 y AS (SELECT x.*, first, CASE WHEN abs_gex > g[80 * (n - 1) // 100 + 1] THEN 'HIGH' WHEN abs_gex < g[20 * (n - 1) // 100 + 1] THEN 'LOW' END AS side FROM x JOIN l USING (symbol)),
-z AS (SELECT symbol, side, first, count(*) AS n, avg(premium) AS p, avg(range_15m) AS a, avg(range_30m) AS b, avg(range_60m) AS c FROM y WHERE side IS NOT NULL GROUP BY ALL)
-SELECT symbol, side, n, round(p, 4) AS premium, round(a, 6) AS range_15m, round(b, 6) AS range_30m, round(c, 6) AS range_60m, round(p * 0.0015::DOUBLE, 4) AS cost, round(p - a / 100 * first, 4) AS result, round(p - a / 100 * first - p * 0.0015::DOUBLE, 4) AS result_after_cost FROM z""")
+z AS (SELECT symbol, side, first, count(*) AS n, CAST(sum(CAST(round(premium * 10000) AS BIGINT)) AS DOUBLE) / count(premium) / 10000 AS p, CAST(sum(CAST(round(range_15m * 10000) AS BIGINT)) AS DOUBLE) / count(range_15m) / 10000 AS a, CAST(sum(CAST(round(range_30m * 10000) AS BIGINT)) AS DOUBLE) / count(range_30m) / 10000 AS b, CAST(sum(CAST(round(range_60m * 10000) AS BIGINT)) AS DOUBLE) / count(range_60m) / 10000 AS c FROM y WHERE side IS NOT NULL GROUP BY ALL)
+SELECT symbol, side, n, p AS premium, a AS range_15m, b AS range_30m, c AS range_60m, p * 0.0015::DOUBLE AS cost, p - a / 100 * first AS result, p - a / 100 * first - p * 0.0015::DOUBLE AS result_after_cost FROM z""")
 def straddle_study(s, d):
     return C.straddle_study(_ranged(s, d), C.straddles(S.chain(s, d)), tuple(HORIZONS))
 
