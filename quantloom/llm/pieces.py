@@ -49,8 +49,6 @@ BLANK = "▁"
 _WORD = re.compile(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
 #: Pieces that may be broadcast, bytes of text in a bucket, whose units one task holds, and in a slice.
 MAX_PIECES, BUCKET, SLICE = 1_000_000, 32 << 20, 2 << 20
-#: Bytes of text whose words are held at once when a bucket is put together.
-WORKED = 256 << 10
 #: The most characters of a unit in the fold: its cuts and its end are bits of one long.
 FOLDED = 60
 #: Distinct words that a task remembers of a bucket before it starts anew.
@@ -465,7 +463,7 @@ def _encoded(texts: pa.Array, known: _Known, cut: Callable[[list[str]], tuple[li
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat, mask=texts.is_null())
 
 
-def _put_together(docs: DataFrame, pieces: Pieces, text_col: str, bucket: int, kept: list[str], added: list[tuple[str, T.DataType]], make: Callable) -> DataFrame:
+def _put_together(docs: DataFrame, pieces: Pieces, text_col: str, bucket: int, kept: list[str], added: list[tuple[str, T.DataType]], make: Callable, worked: int = SLICE) -> DataFrame:
     """The ``kept`` columns plus the ``added`` ones, which ``make`` gives for a slice of texts and their ids."""
     shared, at = docs.sparkSession.sparkContext.broadcast(pieces), docs.columns.index(text_col)
     packed = _packed(docs, text_col, bucket)
@@ -484,7 +482,7 @@ def _put_together(docs: DataFrame, pieces: Pieces, text_col: str, bucket: int, k
         out = []
         for rows in mine.column("rows"):
             packet = _unpacked(rows)
-            for part, _ in _sliced(packet, packet.column(at), WORKED):
+            for part, _ in _sliced(packet, packet.column(at), worked):
                 texts = part.column(at)
                 made = make(texts, _encoded(texts, known, shared.value.units), shared.value)
                 # columns are copied, so that none keeps the whole packet
@@ -541,11 +539,14 @@ def decode(docs: DataFrame, pieces: Pieces, ids_col: str = "ids", text_out: str
     return docs.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "round_trip", bucket: int = BUCKET) -> DataFrame:
-    """``docs`` without the text, plus ids and whether they decode to the text (true for a null text)."""
+def round_trip(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "round_trip", bucket: int = BUCKET, worked: int = SLICE) -> DataFrame:
+    """``docs`` without the text, plus ids and whether they decode to the text (true for a null text).
+
+    ``worked``: bytes of text whose words are held at once; fewer take less memory and more time, as units are looked up anew for each.
+    """
 
     def make(texts: pa.Array, ids: pa.ListArray, pieces: Pieces) -> list[pa.Array]:
         return [ids, pc.fill_null(pc.equal(_decoded(ids, pieces), texts), True)]
 
     kept = without(docs.columns, text_col, ids_col, out_col)
-    return _put_together(docs, Pieces.load(path), text_col, bucket, kept, [(ids_col, _IDS), (out_col, T.BooleanType())], make)
+    return _put_together(docs, Pieces.load(path), text_col, bucket, kept, [(ids_col, _IDS), (out_col, T.BooleanType())], make, worked)
