@@ -37,6 +37,8 @@ from .common import WORD, discard, slices, written
 _WORD = re.compile(WORD)
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 LOW = 0xFFFFFFFF
+#: The most links whose labels Spark may broadcast.
+BROADCAST = 300_000
 
 
 def fingerprint(text: str | None, words_per_shingle: int = 3, seed: int = 42) -> int:
@@ -85,18 +87,22 @@ def _variants(nodes: DataFrame) -> DataFrame:
 def _stars(members: DataFrame, *keys: str) -> DataFrame:
     """Links from each member of a group to the group's smallest."""
     low = members.groupBy(*keys).agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return members.join(low, list(keys)).select("a", F.col("fp").alias("b")).filter("a <> b")
+    return members.join(low.hint("merge"), list(keys)).select("a", F.col("fp").alias("b")).filter("a <> b")
 
 
 def links(nodes: DataFrame, bucket: int = 32) -> DataFrame:
-    """a, b: links between distinct fingerprints ``fp`` that keep their components whole."""
+    """a, b: links between distinct fingerprints ``fp`` that keep their components whole.
+
+    Spark takes an exploded table for as small as the table before it, and would broadcast millions of
+    variants through the driver; so joins of variants are hinted to be merge joins.
+    """
     index = _variants(nodes)
     counts = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = written(index.join(counts, "key"), "variants")
+    shared = written(index.join(counts.hint("merge"), "key"), "variants")
     few = shared.filter(F.col("n") <= bucket).select("key", "fp")
     pairs = (
         few.withColumnRenamed("fp", "a")
-        .join(few.withColumnRenamed("fp", "b"), "key")
+        .join(few.withColumnRenamed("fp", "b").hint("merge"), "key")
         .filter((F.col("a") < F.col("b")) & (_distance("a", "b") <= 2))
         .select("a", "b")
         .distinct()
@@ -126,21 +132,24 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     for _ in range(max_rounds):
+        size = edges.count()
+        # a file of labels may take many times its size in memory, so a large one is not left to be broadcast
+        held = lambda low: low.hint("merge") if size > BROADCAST else low  # noqa: E731, B023
         # large star: larger neighbours go to the smallest of the neighbourhood
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b").distinct()
+        large = both.join(held(low), "u").filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b").distinct()
         # small star: smaller neighbours and the node itself go to the smallest
         low = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
         small = (
             large.select(F.col("b").alias("u"), F.col("a").alias("v"))
-            .join(low, "u")
+            .join(held(low), "u")
             .select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b"))
             .filter("a <> b")
             .distinct()
         )
         new = written(small, "edges")
-        same = new.count() == edges.count() and new.exceptAll(edges).isEmpty()
+        same = new.count() == size and new.exceptAll(edges).isEmpty()
         discard(edges)
         edges = new
         if same:
