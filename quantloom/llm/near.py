@@ -8,13 +8,14 @@ differ in about 10 places, where segments short enough to agree no longer tell t
 
 Every proposed pair is verified: the exact similarity of the whole shingle sets decides.
 
-Work is on distinct shingle sets; exact copies share one. A variant that more than ``bucket`` sets
-share is not joined with itself. Its members get the variants of the next segment too; those that
-agree in both are joined, and if there still are too many, each is held against the group's centre
-only: the member that most other members of full buckets agree with. Members that no links join to
-each other are then held against a few others of their groups, in up to ``turns`` turns, until a turn
-finds no more links. So no group of pairs is written out, but members of a full group that are linked
-by few pairs only, none of them in a smaller bucket, can be missed.
+Work is on distinct shingle sets; exact copies share one. What is asked is components, so the join on
+variants is not written out in full: each member of a variant's group is held against the group's
+centre (the member that shares most), and the links found give each set a label. Then, in every group
+that holds several labels, each member without the group's commonest label is held against every
+member of another label. A pair that shares a variant is thus compared unless its two sets are linked
+already, so components are those of all such pairs, whatever the size of a group. Groups of more than
+``FEW`` are compared in blocks inside the tasks, which return links only; no pairs of theirs are written
+out. The time for a group of texts that share a variant and are not linked grows with its square.
 
 Defined cases: a null text is one without words, and such texts are copies of each other; a text of
 fewer words than a shingle is one shingle; rows without an id, or with a repeated one, are rows like
@@ -24,12 +25,12 @@ any other; an empty table gives none.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, free_name, slices, written
@@ -37,6 +38,8 @@ from .simhash import _LOWER, _WORD, components
 
 SEGMENTS, VALUES = 8, 5
 _SEEDS = np.random.default_rng(42).integers(1, 2**63, (2, SEGMENTS * VALUES), np.uint64)
+#: The most members of a group whose pairs are written out, and the members of a block of a larger one.
+FEW, BLOCK = 32, 400
 _NODES = "row long, digest binary, n long, keys array<long>"
 
 
@@ -74,47 +77,75 @@ def _similar(pairs: DataFrame, texts: DataFrame, words_per_shingle: int, similar
     return wide.mapInArrow(run, "a long, b long")
 
 
-def _crowds(members: DataFrame, key: str, bucket: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs within the groups of up to ``bucket`` members, and the members of the fuller groups."""
-    counts = members.groupBy(key).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = written(members.join(counts, key), "variants")
-    few = shared.filter(F.col("size") <= bucket).select(key, "node", "n")
-    pairs = few.toDF(key, "a", "an").join(few.toDF(key, "b", "bn"), key).filter("a < b")
-    return pairs, shared.filter(F.col("size") > bucket)
+def _near(an: Column, bn: Column, similarity: float) -> Column:
+    """Whether the sizes of two sets allow the similarity."""
+    return F.least(an, bn) >= F.lit(similarity) * F.greatest(an, bn) - 1e-9
 
 
-def _ordered(pairs: list[DataFrame], similarity: float) -> DataFrame:
-    """Distinct pairs a < b whose sizes allow the similarity."""
-    near = F.least("an", "bn") >= F.lit(similarity) * F.greatest("an", "bn") - 1e-9
-    found = [p.filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) for p in pairs]
-    return reduce(DataFrame.union, found).distinct()
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def candidates(nodes: DataFrame, similarity: float, bucket: int = 32) -> tuple[DataFrame, DataFrame]:
-    """a, b: the pairs of ``node, n, keys`` to verify; and the members of the full groups, by ``fine``."""
-    index = nodes.select("node", "n", "keys", F.posexplode("keys").alias("at", "key"))
-    following = lambda i: F.element_at("keys", ((F.floor(F.col("at") / VALUES) + 1) % SEGMENTS * VALUES + i + 1).cast("int"))
-    index = index.select("node", "n", "key", F.array(*[following(i) for i in range(VALUES)]).alias("next"))
-    pairs, many = _crowds(index, "key", bucket)
-    finer = many.select("node", "n", F.explode(F.transform("next", lambda x: F.xxhash64("key", x))).alias("fine"))
-    more, crowd = _crowds(finer, "fine", bucket)
-    weights = written(crowd.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
-    crowd = written(crowd.join(weights, "node"), "crowd")
-    centres = crowd.groupBy("fine").agg(F.max(F.struct("weight", "node", "n")).alias("c"))
-    stars = crowd.join(centres, "fine").select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("c.node").alias("b"), F.col("c.n").alias("bn")).filter("a <> b")
-    return _ordered([pairs, more, stars], similarity), crowd.select("fine", "node", "n")
+def groups(nodes: DataFrame) -> DataFrame:
+    """key, node, n, centre, cn: the members of each variant that several sets of ``node, n, keys`` share."""
+    index = nodes.select("node", "n", F.explode("keys").alias("key"))
+    counts = index.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = written(index.join(counts.hint("merge"), "key"), "variants")
+    weighed = shared.join(shared.groupBy("node").agg(F.sum("size").alias("weight")), "node")
+    centres = weighed.groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("c"))
+    return shared.join(centres, "key").select("key", "node", "n", F.col("c.node").alias("centre"), F.col("c.n").alias("cn"))
 
 
-def apart(crowd: DataFrame, labels: DataFrame, similarity: float, turn: int, picks: int = 4) -> DataFrame:
-    """a, b: each member of a full group against a few others of it, where no links join the two yet."""
-    member = crowd.join(labels, "node", "left").select("fine", "node", "n", F.coalesce("label", "node").alias("label"))
-    luck = [F.struct(F.xxhash64(F.lit(turn * picks + i), "fine", "node").alias("luck"), "node", "n", "label") for i in range(picks)]
-    picked = member.groupBy("fine").agg(F.array(*[F.min(x) for x in luck]).alias("picked"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    pairs = member.join(picked.select("fine", "picked"), "fine").select("node", "n", "label", F.explode("picked").alias("p")).filter("label <> p.label")
-    return _ordered([pairs.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("p.node").alias("b"), F.col("p.n").alias("bn"))], similarity)
+def stars(members: DataFrame, similarity: float) -> DataFrame:
+    """a, b: each member of a group and its centre."""
+    return members.filter((F.col("node") != F.col("centre")) & _near(F.col("n"), F.col("cn"), similarity)).select(*_ordered("node", "centre")).distinct()
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8, turns: int = 4) -> DataFrame:
+def mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members but the centres, with label, commonest label and number, of the groups in which these have several labels."""
+    member = members.filter("node <> centre").join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+    sizes = member.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("size", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("size").alias("size")).filter("labels > 1")
+    return member.join(main.select("key", "main", "size"), "key")
+
+
+def across(members: DataFrame, similarity: float) -> DataFrame:
+    """a, b: the pairs within a group of ``mixed`` whose labels differ."""
+    few = members.filter("label <> main").select("key", F.col("node").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"))
+    every = members.select("key", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"), "main")
+    # two without the commonest label meet twice, of which once counts
+    once = (F.col("bl") == F.col("main")) | (F.col("a") < F.col("b"))
+    return few.join(every, (few["key"] == every["key"]) & (F.col("al") != F.col("bl")) & once & _near(F.col("an"), F.col("bn"), similarity)).select(*_ordered("a", "b")).distinct()
+
+
+def blocks(members: DataFrame, texts: DataFrame, words_per_shingle: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """a, b: links that join the labels within the groups of ``mixed``, every two blocks of a group in a call of their own."""
+
+    def run(group: pa.Table) -> pa.Table:
+        nodes, own, labels = (group.column(c).to_numpy().copy() for c in ("node", "own", "label"))
+        sets = [shingles(t, words_per_shingle) for t in group.column("text").to_pylist()]
+        n, found = np.array([len(s) for s in sets]), []
+        left, right = (np.flatnonzero(own == group.column(c)[0].as_py()) for c in ("i", "j"))
+        # which sets of the right block hold a shingle
+        known, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(sets[r] for r in right)]), return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        holders, begins = np.repeat(np.arange(len(right)), n[right])[order], np.searchsorted(at[order], np.arange(len(known) + 1))
+        for a in left:
+            place = np.flatnonzero(np.isin(known, sets[a], assume_unique=True))
+            both = np.bincount(np.concatenate([np.zeros(0, np.int64), *(holders[begins[p] : begins[p + 1]] for p in place)]), minlength=len(right))
+            for b in right[both >= similarity * (n[a] + n[right] - both) - 1e-9]:
+                if labels[a] != labels[b]:
+                    found.append((nodes[a], nodes[b]))
+                    labels[labels == labels[b]] = labels[a]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    parts = F.ceil(F.col("size") / block).cast("int")
+    placed = members.select("key", "node", "label", F.pmod(F.xxhash64("node"), parts).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    placed = placed.select("key", "node", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return placed.join(texts.toDF("node", "text"), "node").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near copies: the one with the smallest id, null ids last."""
     (row,) = free_name(docs, "row_")
     rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
@@ -133,25 +164,25 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     order = rows.select(F.col(row).alias("row"), F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"), F.col(row).alias("row")).alias("low"))
     nodes = prints.join(order, "row").groupBy("digest").agg(F.min("row").alias("node"), F.min("low").alias("low"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     nodes = written(nodes.select("node", "low", "n", "keys"), "nodes")
-    pairs, crowd = candidates(nodes.filter("n > 0").select("node", "n", "keys"), similarity)
+    members = written(groups(nodes.filter("n > 0").select("node", "n", "keys")), "groups")
     texts = rows.select(F.col(row).alias("node"), F.col(text_col).alias("text"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "pairs")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted_texts = written(texts.join(wanted, "node"), "texts")
         found = written(_similar(pairs, wanted_texts, words_per_shingle, similarity), "similar")
-        discard(pairs)
         discard(wanted_texts)
         return found
 
-    links = verified(pairs)
-    labels = components(links)
-    for turn in range(turns):
-        found = verified(apart(crowd, labels, similarity, turn))
-        if found.isEmpty():
-            break
-        links = links.union(found)
-        labels = components(links)
+    first = written(stars(members, similarity), "pairs")
+    links = verified(first)
+    rest = written(mixed(members, components(links)), "mixed")
+    full = rest.filter(F.col("size") > FEW)
+    second = written(across(rest.filter(F.col("size") <= FEW), similarity).join(first, ["a", "b"], "left_anti"), "pairs")
+    full_texts = written(texts.join(full.select("node").distinct(), "node"), "texts")
+    joined = written(blocks(full, full_texts, words_per_shingle, similarity), "similar")
+    labels = components(links.union(verified(second)).union(joined))
+    for used in (members, first, rest, second, full_texts, joined):
+        discard(used)
     kept = nodes.select("node", "low").join(labels, "node", "left").groupBy(F.coalesce("label", "node")).agg(F.min("low").alias("low")).select(F.col("low.row").alias(row))
     return rows.join(kept, row, "left_semi").select(*docs.columns)

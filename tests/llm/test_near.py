@@ -68,3 +68,31 @@ def test_rows_without_id_and_with_repeated_ids(spark):
     got = near.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = [rows[0], rows[1], rows[4], rows[5]]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def _template(members, own):
+    """Texts of one passage with words of their own, too far from each other; every fortieth has a near copy."""
+    draw, rows = random.Random(9), []
+    base = [f"w{i}" for i in range(150)]
+    for i in range(members):
+        words = base + [f"x{i}_{k}" for k in range(own)]
+        rows.append((len(rows), " ".join(words)))
+        if i % 40 == 0:
+            words[draw.randrange(150, 150 + own)] = f"y{i}"
+            rows.append((len(rows), " ".join(words)))
+    return rows
+
+
+def test_few_links_within_a_full_group(spark, monkeypatch):
+    """All pairs of a full group count, and few are written out."""
+    rows, written_out, similar = _template(300, 24), [], near._similar
+
+    def counted(pairs, *rest):
+        written_out.append(pairs.count())
+        return similar(pairs, *rest)
+
+    monkeypatch.setattr(near, "_similar", counted)
+    got = {r[0] for r in near.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 0.7 < _similarity(rows[2][1], rows[3][1]) < 0.8 < _similarity(rows[0][1], rows[1][1])
+    assert got == {i for i, text in rows if " y" not in text}
+    assert sum(written_out) < 20 * len(rows)
