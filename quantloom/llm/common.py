@@ -38,13 +38,26 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[context.applicationId]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, safe from lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def placed(df: DataFrame, key: str, name: str, **options: str) -> DataFrame:
+    """``df`` as a table of ``written`` in buckets of ``key``: joins on it shuffle their other side only.
+
+    A retried task must find the same rows again, so ``df`` should read files.
+    """
+    spark = df.sparkSession
+    name, n = f"{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.format("parquet").options(path=f"{shared_dir(spark)}/{name}", **options).bucketBy(n, key).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # only its name: the files are in the shared folder
+    return out
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of ``written`` that no later step reads."""
     spark = df.sparkSession

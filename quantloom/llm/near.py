@@ -17,6 +17,10 @@ already, so components are those of all such pairs, whatever the size of a group
 ``FEW`` are compared in blocks inside the tasks, which return links only; no pairs of theirs are written
 out. The time for a group of texts that share a variant and are not linked grows with its square.
 
+All texts are shuffled once, into buckets of their row's number. Both rounds of verifying and the choice
+of the rows that stay join on that number: numbers travel to the texts, and of these only the ones that are
+compared move again.
+
 Defined cases: a null text is one without words, and such texts are copies of each other; a text of
 fewer words than a shingle is one shingle; rows without an id, or with a repeated one, are rows like
 any other; an empty table gives none.
@@ -33,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, slices, written
+from .common import discard, free_name, placed, slices, written
 from .simhash import _LOWER, _WORD, components
 
 SEGMENTS, VALUES = 8, 5
@@ -148,7 +152,9 @@ def blocks(members: DataFrame, texts: DataFrame, words_per_shingle: int, similar
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near copies: the one with the smallest id, null ids last."""
     (row,) = free_name(docs, "row_")
-    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    raw = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows", compression="zstd")
+    rows = placed(raw, row, "rows", compression="zstd")
+    discard(raw)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -185,4 +191,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     for used in (members, first, rest, second, full_texts, joined):
         discard(used)
     kept = nodes.select("node", "low").join(labels, "node", "left").groupBy(F.coalesce("label", "node")).agg(F.min("low").alias("low")).select(F.col("low.row").alias(row))
+    kept = written(kept, "kept")
+    for used in (nodes, labels):
+        discard(used)
     return rows.join(kept, row, "left_semi").select(*docs.columns)

@@ -96,3 +96,26 @@ def test_few_links_within_a_full_group(spark, monkeypatch):
     assert 0.7 < _similarity(rows[2][1], rows[3][1]) < 0.8 < _similarity(rows[0][1], rows[1][1])
     assert got == {i for i, text in rows if " y" not in text}
     assert sum(written_out) < 20 * len(rows)
+
+
+def test_texts_are_shuffled_once(spark):
+    """However many joins look texts up, and with none of them broadcast; the few that are compared move to each other."""
+    draw, rows = random.Random(11), []
+    for i in range(120):
+        words = [f"{draw.getrandbits(64):x}" for _ in range(1000)]
+        rows.append((i, " ".join(words)))
+        if i < 5:
+            words[draw.randrange(1000)] = f"y{i}"
+            rows.append((1000 + i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    moved = lambda: sum(e.totalShuffleWrite() for e in map(store.executorList(False).apply, range(store.executorList(False).size())))
+    store, before = spark.sparkContext._jsc.sc().statusStore(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        began = moved()
+        got = {r[0] for r in near.keep_one(docs).collect()}
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        assert got == set(range(120))
+        assert moved() - began < 1.6 * sum(len(t) for _, t in rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
