@@ -16,7 +16,7 @@
    times) get the same result in linear space inside the tasks.
 4. Rows are packed in compressed slices, in buckets of about ``bucket`` bytes of text from one input
    partition, and the buckets are dealt out once. A bucket's distinct units are joined with their ids,
-   and each bucket is put together from its own units.
+   and each bucket is put together from its own units; its distinct words are cut and looked up once.
 
 A character without a piece costs more than any piece and becomes its UTF-8 bytes.
 
@@ -33,6 +33,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +52,8 @@ _WORD = re.compile(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
 MAX_PIECES, BUCKET, SLICE = 1_000_000, 32 << 20, 2 << 20
 #: The most characters of a unit in the fold: its cuts and its end are bits of one long.
 FOLDED = 60
-#: Distinct words that a task remembers of a bucket before it starts anew.
-WORDS_HELD = 150_000
+#: Words of a bucket's packets that wait to be made distinct, and units sent on at once.
+WORDS_WAITING, UNITS_SENT = 500_000, 20_000
 
 
 @dataclass(frozen=True)
@@ -114,14 +115,30 @@ class Pieces:
 
     def units(self, words: list[str]) -> tuple[list[str], np.ndarray]:
         """The units of some words one after the other, and how many each word has."""
+        parts, counts = self.cut(pa.array(words, pa.string()))
+        return parts.to_pylist(), counts
+
+    def cut(self, words: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+        """``units`` on Arrow arrays; no word is empty. The units lie on the words' own characters."""
         place, holds = self._pairs
-        points = np.frombuffer((_END.join(words) + _END).encode("utf-32-le", "surrogatepass"), "<u4")
-        of = place[points]
-        last = points == ord(_END)
-        cut = np.flatnonzero(~holds[of[:-1], of[1:]] & ~last[:-1] & ~last[1:]) + 1
-        parts = np.insert(points, cut, ord(_END)).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")[:-1].split(_END) if words else []
-        ends = np.concatenate([[0], np.cumsum(np.isin(np.arange(len(points)), cut))])[np.flatnonzero(last)] if len(words) else np.zeros(0, np.int64)
-        return parts, np.diff(np.concatenate([[0], ends])) + 1
+        ends = np.frombuffer(words.buffers()[1], "<i4")[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, "<i4")
+        raw = words.buffers()[2][int(ends[0]) : int(ends[-1])] if len(words) else b""
+        of = place[np.frombuffer(bytes(raw).decode().encode("utf-32-le"), "<u4")]
+        # the first byte of each character, and whether a word or a unit begins there
+        at = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+        first = np.zeros(ends[-1] - ends[0] + 1, bool)
+        first[ends[:-1] - ends[0]] = True
+        first = first[at]
+        begins = first.copy()
+        begins[1:] |= ~holds.ravel()[of[:-1] * len(holds) + of[1:]]
+        bounds = np.append(at[begins], ends[-1] - ends[0]).astype("<i4")
+        parts = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(raw))
+        return parts, np.diff(np.append(np.flatnonzero(first[begins]), len(parts)))
+
+    @cached_property
+    def raw(self) -> pa.LargeBinaryArray:
+        """The bytes that each id decodes to."""
+        return pa.array([bytes([s]) if isinstance(s, int) else (s or "").encode() for s in self.strings], pa.large_binary())
 
     @cached_property
     def _pairs(self) -> tuple[np.ndarray, np.ndarray]:
@@ -135,10 +152,6 @@ class Pieces:
         return place, holds
 
 
-#: No text holds this code point.
-_END = "\ud800"
-
-
 def words_of(text: str) -> list[str]:
     """The words of a text, with blanks for spaces and one blank before it."""
     return _WORD.findall(BLANK + text.replace(" ", BLANK)) if text else []
@@ -339,34 +352,27 @@ def finder(pieces: Pieces):
     return merged if pieces.merges else viterbi
 
 
-def _strings(values: pa.Array) -> list[str]:
-    return values.to_numpy(zero_copy_only=False).tolist()  # several times as fast as to_pylist
-
-
-def _words(texts: pa.Array) -> tuple[list[str], pa.Array]:
-    """The distinct words of some texts, and for each text the places of its words among them.
+def _words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of some texts one after the other, coded, and how many each text has.
 
     Most texts are cut at single spaces, all at once; those with other blanks one by one.
     """
-    odd = reduce(pc.or_, [pc.match_substring(texts, "  "), pc.match_substring(texts, BLANK), pc.starts_with(texts, " "), pc.ends_with(texts, " "), pc.equal(texts, "")])
-    plain = texts.filter(pc.invert(odd))
-    tokens = pc.split_pattern(plain, " ")
+    odd = pc.fill_null(reduce(pc.or_, [pc.match_substring(texts, "  "), pc.match_substring(texts, BLANK), pc.starts_with(texts, " "), pc.ends_with(texts, " "), pc.equal(texts, "")]), True)
+    tokens = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
     coded = tokens.flatten().dictionary_encode()
-    known = [BLANK + w for w in _strings(coded.dictionary)]
-    places, sizes, at = [np.asarray(coded.indices)], [np.diff(np.asarray(tokens.offsets))], {}
-    if (rest := texts.filter(odd).drop_null()) and len(rest):
-        at = {w: i for i, w in enumerate(known)}
-        for text in rest.to_pylist():
-            found = [at.setdefault(w, len(at)) for w in words_of(text)]
-            places.append(np.array(found, np.int64))
-            sizes.append(np.array([len(found)]))
-        known = list(at)
-    ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(places), pa.int32()))
-    # back to the order of the texts; nulls stay null
-    is_odd, missing = np.asarray(pc.fill_null(odd, False)), np.asarray(texts.is_null())
-    order = np.where(is_odd, len(plain.drop_null()) + np.cumsum(is_odd) - 1, np.cumsum(~is_odd & ~missing) - 1)
-    return known, lists.take(pa.array(order, pa.int64(), mask=missing))
+    coded = pa.DictionaryArray.from_arrays(coded.indices, pc.binary_join_element_wise(pa.scalar(BLANK), coded.dictionary.cast(pa.string()), pa.scalar("")))
+    sizes, is_odd = np.zeros(len(texts), np.int64), np.asarray(odd)
+    sizes[~is_odd] = np.diff(np.asarray(tokens.offsets))
+    if is_odd.any():
+        found = [words_of(text or "") for text in texts.filter(odd).to_pylist()]
+        sizes[is_odd] = [len(words) for words in found]
+        rest = pa.array([w for words in found for w in words], pa.string()).dictionary_encode()
+        both = pa.chunked_array([coded, rest]).unify_dictionaries()
+        # back to the order of the texts
+        places, of_odd = np.empty(sizes.sum(), np.int32), np.repeat(is_odd, sizes)
+        places[~of_odd], places[of_odd] = np.asarray(both.chunk(0).indices), np.asarray(both.chunk(1).indices)
+        coded = pa.DictionaryArray.from_arrays(pa.array(places), both.chunk(0).dictionary)
+    return coded, sizes
 
 
 def _sliced(batch: pa.RecordBatch, texts: pa.Array, most: int = SLICE) -> Iterator[tuple[pa.RecordBatch, int]]:
@@ -404,26 +410,25 @@ def _unpacked(rows: pa.BinaryScalar) -> pa.RecordBatch:
 
 
 def _bucket_units(packed: DataFrame, shared: Broadcast, at: int) -> DataFrame:
-    """bucket, unit: the distinct units of each bucket (some more than once)."""
+    """bucket, unit: the distinct units of each bucket; its words are cut once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())
-        cut = shared.value.units
-        have: set[str] = set()
-        known: set[str] = set()
-        last = None
-        for batch in batches:
-            for bucket, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if bucket != last:
-                    have, known, last = set(), set(), bucket
-                elif len(have) > WORDS_HELD:
-                    have.clear()
-                new = [w for w in _words(_unpacked(rows).column(at))[0] if w not in have]
-                have.update(new)
-                fresh = {u for u in cut(new)[0] if len(u) <= FOLDED} - known
-                known |= fresh
-                yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(fresh), pa.int64()), pa.array(fresh, pa.string())], ["bucket", "unit"])
-        have, known = set(), set()
+        rows = ((bucket, packet) for batch in batches for bucket, packet in zip(batch.column(0).to_pylist(), batch.column(1)))
+        for bucket, packets in groupby(rows, lambda r: r[0]):
+            words = pa.array([], pa.string())
+            waiting: list[pa.Array] = []
+            for _, packet in packets:
+                waiting.append(_words(_unpacked(packet).column(at))[0].dictionary)
+                if sum(map(len, waiting)) > WORDS_WAITING:
+                    words, waiting = pc.unique(pa.chunked_array([words, *waiting])), []
+            units = pc.unique(shared.value.cut(pc.unique(pa.chunked_array([words, *waiting])))[0])
+            units = units.filter(pc.less_equal(pc.utf8_length(units), FOLDED))
+            del words, waiting
+            for k in range(0, len(units), UNITS_SENT):
+                part = units.slice(k, UNITS_SENT)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), bucket)), part], ["bucket", "unit"])
+            del units
         give_back()
 
     return packed.sortWithinPartitions("bucket").mapInArrow(run, "bucket long not null, unit string not null")
@@ -437,30 +442,36 @@ class _Known:
     ids: pa.ListArray
     find: Callable[[str], list[int]]
 
-    def of(self, units: list[str]) -> pa.ListArray:
-        asked = pa.array(units, pa.string())
+    def of(self, asked: pa.Array) -> pa.ListArray:
         place, ids = pc.index_in(asked, self.units), self.ids
         if place.null_count:
             missing = pc.unique(asked.filter(place.is_null()))
             if short := [u for u in missing.to_pylist() if len(u) <= FOLDED]:
                 raise KeyError(short[0])
-            ids = pa.concat_arrays([ids, pa.array([self.find(u) for u in missing.to_pylist()], pa.list_(pa.int32()))])
+            ids = pa.concat_arrays([ids, pa.array([self.find(u) for u in missing.to_pylist()], ids.type)])
             place = pc.coalesce(place, pc.add(pc.index_in(asked, missing), pa.scalar(len(self.units), pa.int32())))
         return ids.take(place)
 
 
-def _encoded(texts: pa.Array, known: _Known, cut: Callable[[list[str]], tuple[list[str], np.ndarray]]) -> pa.ListArray:
-    """The ids of texts from the ids of their units."""
-    words, places = _words(texts)
-    units, counts = cut(words)
-    ids = known.of(units)
-    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(), dtype=np.int64)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-    of_word = pa.LargeListArray.from_arrays(pa.array(ends), ids.flatten())
-    of_place = of_word.take(places.flatten())
-    at = np.asarray(of_place.offsets) if len(of_place) else np.zeros(1, np.int64)
-    flat = of_place.flatten()
-    bounds = (at - at[0])[np.asarray(places.offsets) - places.offsets[0].as_py()]
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat, mask=texts.is_null())
+class _Encoder:
+    """The ids of the texts of a bucket, whose distinct words are cut and looked up once."""
+
+    def __init__(self, texts: Iterable[pa.Array], known: _Known, cut: Callable[[pa.Array], tuple[pa.Array, np.ndarray]]) -> None:
+        found = [_words(t) for t in texts]
+        coded = pa.chunked_array([c for c, _ in found], pa.dictionary(pa.int32(), pa.string())).unify_dictionaries()
+        self.places = [c.indices for c in coded.chunks]
+        self.ends = [np.concatenate([[0], np.cumsum(sizes)]) for _, sizes in found]
+        units, counts = cut(coded.chunk(0).dictionary if len(found) else pa.array([], pa.string()))
+        ids = known.of(units)
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(), dtype=np.int64)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        self.of_word = pa.LargeListArray.from_arrays(pa.array(ends), ids.flatten())
+
+    def ids(self, k: int, start: int, texts: pa.Array) -> pa.ListArray:
+        """The ids of ``texts``, which are those of the array ``k`` from ``start`` on."""
+        ends = self.ends[k][start : start + len(texts) + 1]
+        of_place = self.of_word.take(self.places[k].slice(ends[0], ends[-1] - ends[0]))
+        bounds = np.asarray(of_place.offsets)[ends - ends[0]] if len(of_place) else np.zeros(len(texts) + 1, np.int32)
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), of_place.flatten().cast(pa.int32()), mask=texts.is_null())
 
 
 def _put_together(docs: DataFrame, pieces: Pieces, text_col: str, bucket: int, kept: list[str], added: list[tuple[str, T.DataType]], make: Callable, worked: int = SLICE) -> DataFrame:
@@ -478,26 +489,32 @@ def _put_together(docs: DataFrame, pieces: Pieces, text_col: str, bucket: int, k
 
     def run(mine: pa.Table, dictionary: pa.Table) -> pa.Table:
         pa.set_memory_pool(pa.system_memory_pool())
-        known = _Known(pa.concat_arrays([pa.array([], pa.string()), *dictionary.column("unit").chunks]), pa.concat_arrays([pa.array([], _LIST), *(c.cast(_LIST) for c in dictionary.column("ids").chunks)]), finder(shared.value))
+        of_unit = pa.list_(pa.int16() if narrow == "array<short>" else pa.int32())
+        known = _Known(pa.concat_arrays([pa.array([], pa.string()), *dictionary.column("unit").chunks]), pa.concat_arrays([pa.array([], of_unit), *(c.cast(of_unit) for c in dictionary.column("ids").chunks)]), finder(shared.value))
+        # packets are opened twice, so that one is held at a time
+        encoder = _Encoder((_unpacked(rows).column(at) for rows in mine.column("rows")), known, shared.value.cut)
+        del known
+        give_back()
         out = []
-        for rows in mine.column("rows"):
-            packet = _unpacked(rows)
+        for k, rows in enumerate(mine.column("rows")):
+            packet, start = _unpacked(rows), 0
             for part, _ in _sliced(packet, packet.column(at), worked):
                 texts = part.column(at)
-                made = make(texts, _encoded(texts, known, shared.value.units), shared.value)
+                made = make(texts, encoder.ids(k, start, texts), shared.value)
+                start += len(part)
                 # columns are copied, so that none keeps the whole packet
                 out.append(pa.RecordBatch.from_arrays([*(part.column(i).take(pa.array(range(len(part)))) for i in places), *made], [f.name for f in schema]))
                 del part, texts, made
             del packet
             give_back()
-        del known
+        del encoder
         give_back()
         return pa.Table.from_batches(out)
 
     return packed.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(run, schema)
 
 
-_IDS, _LIST = T.ArrayType(T.IntegerType()), pa.list_(pa.int32())
+_IDS = T.ArrayType(T.IntegerType())
 
 
 def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_col: str = "ids", bucket: int = BUCKET) -> DataFrame:
@@ -508,8 +525,7 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_col: str
 
 def _decoded(ids: pa.ListArray, pieces: Pieces) -> pa.Array:
     """The texts of ids. Bytes that are no UTF-8 become U+FFFD."""
-    strings = pa.array([bytes([s]) if isinstance(s, int) else (s or "").encode() for s in pieces.strings], pa.large_binary())
-    flat, ends = strings.take(ids.flatten()), np.asarray(ids.offsets)
+    flat, ends = pieces.raw.take(ids.flatten()), np.asarray(ids.offsets)
     sizes = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(flat)), dtype=np.int64)])
     raw = b"".join(flat.to_pylist()) if flat.offset else flat.buffers()[2].to_pybytes()[: sizes[-1]] if len(flat) else b""
     bounds = sizes[ends - ends[0]]
@@ -542,7 +558,7 @@ def decode(docs: DataFrame, pieces: Pieces, ids_col: str = "ids", text_out: str
 def round_trip(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "round_trip", bucket: int = BUCKET, worked: int = SLICE) -> DataFrame:
     """``docs`` without the text, plus ids and whether they decode to the text (true for a null text).
 
-    ``worked``: bytes of text whose words are held at once; fewer take less memory and more time, as units are looked up anew for each.
+    ``worked``: bytes of text whose ids are made and decoded at once; fewer take less memory and a little more time.
     """
 
     def make(texts: pa.Array, ids: pa.ListArray, pieces: Pieces) -> list[pa.Array]:

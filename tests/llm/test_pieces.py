@@ -3,6 +3,7 @@
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,5 +101,27 @@ def test_round_trip(spark, odd_docs, table, bucket):
         assert r["ids"] == (None if r["text"] is None else model.encode(r["text"]))
 
 
+def test_words_of_a_bucket_are_cut_and_looked_up_once(table):
+    slices = [["the cat sat", "the  dog sat", None, ""], [], [None], ["the cat", "é😀 sat\nthe dog", "a▁the cat ", "x" * 70, "the cat sat"]]
+    texts, find, asked, looked = [pa.array(s, pa.string()) for s in slices], pieces.finder(table), [], []
+
+    def cut(words):
+        asked.extend(words.to_pylist())
+        return table.cut(words)
+
+    class Known(pieces._Known):
+        def of(self, units):
+            looked.append(len(units))
+            return super().of(units)
+
+    units = sorted({u for s in slices for t in s if t for u in table.units(pieces.words_of(t))[0] if len(u) <= pieces.FOLDED})
+    encoder = pieces._Encoder(texts, Known(pa.array(units), pa.array([find(u) for u in units], pa.list_(pa.int16())), find), cut)
+    assert len(asked) == len(set(asked)) and len(looked) == 1
+    model = _library()
+    for k, s in enumerate(slices):
+        for at in range(len(s)):
+            assert encoder.ids(k, at, texts[k][at : at + 2]).to_pylist() == [None if t is None else model.encode(t) for t in s[at : at + 2]]
+
+
 def test_empty_table(spark, odd_docs, table):
     assert pieces.encode(odd_docs.limit(0), table).count() == 0
