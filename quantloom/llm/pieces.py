@@ -52,8 +52,8 @@ _WORD = re.compile(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
 MAX_PIECES, BUCKET, SLICE = 1_000_000, 32 << 20, 2 << 20
 #: The most characters of a unit in the fold: its cuts and its end are bits of one long.
 FOLDED = 60
-#: Words of a bucket's packets that wait to be made distinct, and units sent on at once.
-WORDS_WAITING, UNITS_SENT = 500_000, 20_000
+#: Words of a bucket's packets that wait to be made distinct, words cut at once, and units sent on at once.
+WORDS_WAITING, WORDS_CUT, UNITS_SENT = 250_000, 20_000, 20_000
 
 
 @dataclass(frozen=True)
@@ -119,10 +119,14 @@ class Pieces:
         return parts.to_pylist(), counts
 
     def cut(self, words: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
-        """``units`` on Arrow arrays; no word is empty. The units lie on the words' own characters."""
+        """``units`` on Arrow arrays; no word is empty. Few words are cut at once, as a character takes many bytes meanwhile."""
+        done = [self._cut(words.slice(k, WORDS_CUT)) for k in range(0, len(words), WORDS_CUT)]
+        return pa.concat_arrays([pa.array([], pa.string()), *(u for u, _ in done)]), np.concatenate([np.zeros(0, np.int64), *(n for _, n in done)])
+
+    def _cut(self, words: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
         place, holds = self._pairs
-        ends = np.frombuffer(words.buffers()[1], "<i4")[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, "<i4")
-        raw = words.buffers()[2][int(ends[0]) : int(ends[-1])] if len(words) else b""
+        ends = np.frombuffer(words.buffers()[1], "<i4")[words.offset : words.offset + len(words) + 1]
+        raw = words.buffers()[2][int(ends[0]) : int(ends[-1])]
         of = place[np.frombuffer(bytes(raw).decode().encode("utf-32-le"), "<u4")]
         # the first byte of each character, and whether a word or a unit begins there
         at = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
@@ -461,7 +465,10 @@ class _Encoder:
         coded = pa.chunked_array([c for c, _ in found], pa.dictionary(pa.int32(), pa.string())).unify_dictionaries()
         self.places = [c.indices for c in coded.chunks]
         self.ends = [np.concatenate([[0], np.cumsum(sizes)]) for _, sizes in found]
-        units, counts = cut(coded.chunk(0).dictionary if len(found) else pa.array([], pa.string()))
+        words = coded.chunk(0).dictionary if found else pa.array([], pa.string())
+        del found, coded
+        give_back()
+        units, counts = cut(words)
         ids = known.of(units)
         ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(), dtype=np.int64)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
         self.of_word = pa.LargeListArray.from_arrays(pa.array(ends), ids.flatten())
