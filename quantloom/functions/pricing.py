@@ -58,7 +58,8 @@ def _cdf(x: np.ndarray) -> np.ndarray:
     return np.where(x == 0, 0.5, np.where(x > 0, 1 - half, half))
 
 
-def _price(call: np.ndarray, s: np.ndarray, k: np.ndarray, t: np.ndarray, sigma: np.ndarray, r: float) -> np.ndarray:
+def prices(call: np.ndarray, s: np.ndarray, k: np.ndarray, t: np.ndarray, sigma: np.ndarray, r: float) -> np.ndarray:
+    """The price of ``greeks``, for Arrow batches."""
     root = np.sqrt(t)
     d1 = (np.log(s / k) + (r + sigma * sigma / 2) * t) / (sigma * root)
     sign = np.where(call, 1.0, -1.0)
@@ -87,11 +88,11 @@ def implied_vol(option_type: Column, s: Column, k: Column, t: Column, price: Col
         go = np.flatnonzero((status == "SUCCESS") & ~at_inner)
         call, s, k, t, p = call[go], s[go], k[go], t[go], p[go]
         low, high = np.full(len(go), LOW), np.full(len(go), HIGH)
-        outside = (p < _price(call, s, k, t, low, r) - TOLERANCE) | (p > _price(call, s, k, t, high, r) + TOLERANCE)
+        outside = (p < prices(call, s, k, t, low, r) - TOLERANCE) | (p > prices(call, s, k, t, high, r) + TOLERANCE)
         status[go[outside]] = "NO_BRACKET"
         for _ in range(34):  # the half-width is then under the tolerance
             mid = (low + high) / 2
-            dear = _price(call, s, k, t, mid, r) > p
+            dear = prices(call, s, k, t, mid, r) > p
             low, high = np.where(dear, low, mid), np.where(dear, mid, high)
         iv[go] = np.where(outside, np.nan, (low + high) / 2)
         return pd.DataFrame({"iv": pd.Series(iv, dtype="Float64").where(~np.isnan(iv)), "status": status})

@@ -43,4 +43,4 @@ def named_scenarios(s, d):
 @query(_sql(_cells()) + """ SELECT strategy_id, count(*) AS cells, count(*) FILTER (partial OR pnl IS NULL) AS empty, min(pnl) FILTER (NOT partial) AS worst_pnl, arg_min(scenario, (pnl, scenario)) FILTER (NOT partial AND pnl IS NOT NULL) AS worst_cell,
   max(pnl) FILTER (NOT partial) AS best_pnl, arg_min(scenario, (-pnl, scenario)) FILTER (NOT partial AND pnl IS NOT NULL) AS best_cell FROM told GROUP BY strategy_id""")
 def scenario_extremes(s, d):
-    return X.matrix_extremes(X.evaluate(S.scenario_legs(s, d), S.marks(s, d), X.grid()))
+    return X.extremes(S.scenario_legs(s, d), S.marks(s, d), X.grid())

@@ -26,7 +26,17 @@ def scenario_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """symbol, strike, type, iv, ltp: the last quote of each option that the chain lists; some strikes are not listed, some have no volatility."""
-    last = F.max(F.struct("d", "ltp", "iv_bp"))
-    x = chain(spark, sf_dir).filter("option_type <> 'XX' and strike % 350 <> 0").groupBy("symbol", "strike", F.col("option_type").alias("type")).agg(last.alias("q"))
-    return x.select("symbol", "strike", "type", F.when(F.col("q.ltp") % 11 != 0, F.col("q.iv_bp") / 10_000.0).alias("iv"), F.when(F.col("q.ltp") % 13 != 0, F.col("q.ltp").cast("double")).alias("ltp"))
+    """symbol, strike, type, iv, ltp: the last quote of each option that the chain lists; some strikes are not listed, some have no volatility.
+
+    The last days are found first, so that only their quotes are compared whole. The chain has three symbols,
+    twenty strikes and two types, so both the last days and the quotes go to every task.
+    """
+    keys = ["symbol", "strike", "type"]
+    quotes = chain(spark, sf_dir).filter("option_type <> 'XX' and strike % 350 <> 0").select("symbol", "strike", F.col("option_type").alias("type"), "d", "ltp", "iv_bp")
+    days = quotes.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.max("d").alias("_d"))
+    same = F.lit(True)
+    for c in (*keys, "d"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    x = quotes.join(F.broadcast(days), same, "left_semi").groupBy(*keys).agg(F.max(F.struct("ltp", "iv_bp")).alias("q"))
+    x = x.select(*keys, F.when(F.col("q.ltp") % 11 != 0, F.col("q.iv_bp") / 10_000.0).alias("iv"), F.when(F.col("q.ltp") % 13 != 0, F.col("q.ltp").cast("double")).alias("ltp"))
+    return F.broadcast(x)
